@@ -27,7 +27,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "2 * n_dup_lines > n_lines"),
 )
 BIT = {name: 1 << b for b, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -71,7 +71,9 @@ def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("d
         F.expr("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND _s[k - 1].h = x.h) OR (k + 1 < size(_s) AND _s[k + 1].h = x.h)), x -> x.i))").alias("_p"),
     )
     covered = F.expr("aggregate(transform(_p, (p, k) -> CASE WHEN k + 1 < size(_p) THEN least(3, _p[k + 1] - p) ELSE 3 END), 0L, (a, x) -> a + x)")
-    return d.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_lines")
+    repeats = F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words")
+    # A generator, as a filter on measurements would otherwise move below them and repeat their work.
+    return d.select(*names, F.inline(F.array(F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", repeats, "n_lines"))))
 
 
 def failure_bits() -> Column:

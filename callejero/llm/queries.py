@@ -124,7 +124,7 @@ m AS (
   FROM d LEFT JOIN rep USING (u) LEFT JOIN lin USING (u)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_dup_lines > 3 * n_lines) AS kept FROM v
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM v
 """,
     "op8_topk_search": r"""
 WITH v AS (

@@ -113,35 +113,52 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
     return spark.createDataFrame(rows, "before string, candidate string, after string, label int")
 
 
-def _share(node) -> float:
-    stats = list(node.impurityStats().stats())
-    return stats[1] / sum(stats)
-
+def flattened(trees: list) -> dict[str, list]:
+    """Trained trees as one table of nodes: feature (-1: leaf), threshold, left, right, share of secrets; and the roots."""
+    table: dict[str, list] = {"feature": [], "threshold": [], "left": [], "right": [], "share": [], "roots": []}
+
+    def add(node) -> int:
+        at = len(table["feature"])
+        for column in ("feature", "threshold", "left", "right", "share"):
+            table[column].append(0)
+        if node.subtreeDepth() == 0:
+            stats = list(node.impurityStats().stats())
+            table["feature"][at], table["share"][at] = -1, stats[1] / sum(stats)
+        else:
+            split = node.split()
+            table["feature"][at], table["threshold"][at] = split.featureIndex(), split.threshold()
+            table["left"][at], table["right"][at] = add(node.leftChild()), add(node.rightChild())
+        return at
 
-def _expression(node) -> Column:
-    """A node of a trained tree as nested CASE expressions over FEATURES."""
-    if node.subtreeDepth() == 0:
-        return F.lit(_share(node))
-    split = node.split()
-    return F.when(F.col(FEATURES[split.featureIndex()]) <= split.threshold(), _expression(node.leftChild())).otherwise(_expression(node.rightChild()))
+    table["roots"] = [add(tree._call_java("rootNode")) for tree in trees]
+    return table
 
 
-def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Column]:
-    """One expression per tree, each giving the share of secrets in the leaf, from (before, candidate, after, label)."""
+def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> dict[str, list]:
+    """The forest as a table of nodes, from (before, candidate, after, label)."""
     rows = described(labelled).coalesce(1).select(*FEATURES, F.col("label").cast("double").alias("label"))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="v").transform(rows)
     model = RandomForestClassifier(featuresCol="v", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(vectors)
-    return [_expression(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree._call_java("rootNode")) for tree in model.trees]
+    return flattened(model.trees)
+
+
+def forest_score(forest: dict[str, list], values: str, depth: int = DEPTH) -> Column:
+    """The mean share of secrets in the leaves that the array ``values`` of features falls in."""
+    arrays = {k: F.array(*[F.lit(float(x) if k in ("threshold", "share") else x) for x in v]) for k, v in forest.items()}
+    at = lambda name, node: F.get(arrays[name], node)
+    step = lambda node, _: F.when(at("feature", node) < 0, node).otherwise(F.when(F.get(F.col(values), at("feature", node)) <= at("threshold", node), at("left", node)).otherwise(at("right", node)))
+    leaf = lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(depth)), root, step)
+    return F.aggregate(arrays["roots"], F.lit(0.0), lambda total, root: total + at("share", leaf(root))) / len(forest["roots"])
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, start, length, candidate, score, is_secret of every candidate."""
     forest = train(labelled if labelled is not None else labelled_examples(docs.sparkSession))
-    d = described(findings(docs))
-    votes = [f"_v{i}" for i in range(len(forest))]
-    d = d.select("doc_id", "start", "candidate", *[e.alias(v) for v, e in zip(votes, forest)])
-    score = sum(map(F.col, votes[1:]), F.col(votes[0])) / len(votes)
-    return d.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), "candidate", F.round(score, 9).alias("score")).withColumn("is_secret", F.col("score") >= threshold)
+    d = described(findings(docs)).select("doc_id", "start", "candidate", F.array(*FEATURES).alias("_f"))
+    score = F.round(forest_score(forest, "_f"), 9).alias("score")
+    # A generator keeps filters on the score from moving below it and repeating its work.
+    d = d.select("doc_id", "start", F.length("candidate").cast("long").alias("length"), "candidate", F.inline(F.array(F.struct(score))))
+    return d.withColumn("is_secret", F.col("score") >= threshold)
 
 
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
