@@ -29,7 +29,8 @@ def segment_distance(lng: Column, lat: Column, lng0: Column, lat0: Column, lng1:
 
 def edges(rings: DataFrame) -> DataFrame:
     """ubigeo, ring, x0, y0, x1, y1 of (ubigeo, ring, points: closed array of (lng, lat)), with the district's box."""
-    box = {f"{f}_{a}": (F.array_min if f == "min" else F.array_max)(F.transform("points", lambda p, a=a: p[a])) for f in ("min", "max") for a in ("lng", "lat")}
+    of = lambda axis: F.transform("points", lambda p: p.getField(axis))
+    box = {f"{end}_{axis}": (F.array_min if end == "min" else F.array_max)(of(axis)) for end in ("min", "max") for axis in ("lng", "lat")}
     boxed = rings.select("ubigeo", "ring", "points", *[v.alias(k) for k, v in box.items()])
     pairs = F.expr("transform(sequence(0, size(points) - 2), i -> struct(points[i].lng AS x0, points[i].lat AS y0, points[i + 1].lng AS x1, points[i + 1].lat AS y1))")
     return boxed.select("ubigeo", "ring", "min_lng", "max_lng", "min_lat", "max_lat", F.inline(pairs))

@@ -115,7 +115,8 @@ def merge_seed(official: DataFrame, seed: DataFrame) -> DataFrame:
     """Official rows with the seed's accents (where names agree by key), zone and aliases."""
     s = seed.select(F.col("code"), *[F.col(c).alias(f"s_{c}") for c in ("district", "zone", "aliases", "weak_aliases")])
     same = T.key(F.col("district")) == T.key(F.col("s_district"))
-    zone = F.when(F.substring("code", 1, 4).isin("1501", "0701"), "lima_callao").otherwise(F.concat(F.lit("dep_"), F.substring("code", 1, 2)))
+    part = lambda n: F.substring("code", 1, n)
+    zone = F.when(part(4) == "1501", "LIMA_METRO").when(part(4) == "0701", "CALLAO").when(part(2) == "15", "LIMA_PROVINCIAS").otherwise(F.replace(T.key(F.col("department")), F.lit(" "), F.lit("_")))
     joined = official.join(s, "code", "left")
     both = lambda c: F.array_distinct(F.concat(F.coalesce(F.col(c), F.array()), F.coalesce(F.col(f"s_{c}"), F.array())))
     return joined.select("code", "department", "province", F.when(same, F.col("s_district")).otherwise(F.col("district")).alias("district"), F.coalesce(F.nullif(F.col("s_zone"), F.lit("")), zone).alias("zone"), both("aliases").alias("aliases"), both("weak_aliases").alias("weak_aliases"))
