@@ -43,7 +43,7 @@ KNOWN = 65_536
 STATES = 6
 WARM, WARM_PASSES, PASSES = 2000, 8, 2
 #: Distinct tokens that a task holds before it passes their counts on, and documents per slice.
-HOLD, SLICE = 150_000, 256
+HOLD, SLICE = 100_000, 256
 END = b""
 CLASSES = 1 + OWN + HASHED
 
@@ -75,6 +75,22 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows (token, c) of the most frequent tokens, at most so many: those above a count that a histogram gives.
+
+    The histogram has sixteen bins per doubling, so the driver gets some hundred bins and then the tokens alone.
+    """
+    bin_of = F.floor(F.log2("c") * 16).cast("int")
+    left, least = most, None
+    for r in sorted(counts.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bin"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["bin"]
+    if least is None:
+        return []
+    return sorted(counts.where(bin_of >= least).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
+
+
 class Lexicon(dict):
     """Class of a token: its own, or one of the hashed ones."""
 
@@ -177,8 +193,8 @@ def improved(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = Model(*held.value), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE):
-                counts = expected(m, Packed(unpack(batch.column(0).slice(at, 4 * SLICE))))
+            for at in range(0, batch.num_rows, 2 * SLICE):
+                counts = expected(m, Packed(unpack(batch.column(0).slice(at, 2 * SLICE))))
                 total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
@@ -191,7 +207,7 @@ def improved(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
     return Model.of_counts(counts, base, states)
 
 
-def encode(docs: DataFrame, own: dict[bytes, int], known: dict[bytes, tuple[float, float, int]], unseen_end: tuple[float, float]) -> DataFrame:
+def encode(docs: DataFrame, own: dict[bytes, int], known: dict[bytes, tuple[float, float, int]]) -> DataFrame:
     """uid, doc_id, held_out, n_tokens, classes (16-bit), sums over known tokens, and the other tokens with their counts in the text."""
     shared = docs.sparkSession.sparkContext.broadcast((own, known))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -237,8 +253,8 @@ def class_log_likelihood(encoded: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4 * SLICE):
-                part = batch.slice(at, 4 * SLICE)
+            for at in range(0, batch.num_rows, 2 * SLICE):
+                part = batch.slice(at, 2 * SLICE)
                 packed = Packed(unpack(part.column(1)))
                 out = np.empty(part.num_rows)
                 out[packed.order] = forward(m, packed, False)[0]
@@ -250,7 +266,7 @@ def class_log_likelihood(encoded: DataFrame, model: Model) -> DataFrame:
 def score(docs: DataFrame, states: int = STATES, passes: int = PASSES, warm: int = WARM, warm_passes: int = WARM_PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     counts = stored(token_counts(docs.where(id_residue(FOLDS) != HELD_OUT)), "lm-counts")
-    frequent = counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()
+    frequent = most_frequent(counts, KNOWN)
     own = {END: 0}
     for r in frequent:
         if bytes(r["token"]) != END and len(own) <= OWN:
@@ -269,7 +285,7 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES, warm: int
     known.setdefault(END, (base_of(0), 0.0, 0))
     prior = (n_class + 0.5) / (n_class + 0.5).sum()
 
-    encoded = stored(encode(docs, own, known, (0.0, 0.0)), "lm-encoded")
+    encoded = stored(encode(docs, own, known), "lm-encoded")
     train = encoded.where("NOT held_out").select("uid", "classes")
     model = Model.first(states, prior)
     if total:
