@@ -1,0 +1,260 @@
+"""Each corpus operator against brute force, an exact round trip or an oracle, and on odd inputs."""
+
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from callejero.llm import bpe, hmm_lm, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, topk_search, warc
+from callejero.llm.queries import ORACLES, queries, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, range string"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
+
+
+def odd(spark):
+    """Nulls everywhere, empty and long texts, ties, repeated rows, extra columns with clashing names."""
+    prose = "one two three four five six seven eight nine ten " * 6
+    rows = [
+        (1, prose + "\n" + prose, "en", "a", 10, "x", "y"), (1, prose + "\n" + prose, "en", "a", 10, "x", "y"), (2, None, None, None, None, None, None), (None, prose, "en", None, 5, "x", None),
+        (3, "", "en", "b", 0, "", ""), (4, LONG, "en", "b", len(LONG), "z", "z"), (5, " \n\t ", "de", "b", 4, None, "z"), (6, prose + "\n" + prose, None, "ñ", None, "z", None), (1, "other text", "en", "a", 1, "q", "q"),
+    ]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_oracle(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, want = queries()[name](spark, SF), con.sql(ORACLES[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(want.columns)
+    near = lambda v: round(v, 6) if isinstance(v, float) else v
+    got = sorted((tuple(near(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(near(r[want.columns.index(c)]) for c in cols) for r in want.fetchall()), key=repr)
+
+
+def test_quality_odd(spark):
+    rows = quality_rules.ledger(odd(spark)).collect()
+    assert len(rows) == 9 and {r.n_words for r in rows if r.doc_id in (2, 3, 5)} == {0}
+    assert quality_rules.ledger(empty(spark)).count() == 0
+    kept = quality_rules.reject(odd(spark))
+    assert kept.columns == odd(spark).columns and {r.doc_id for r in kept.collect()} == {4}
+    a = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(odd(spark)), "base").collect()}
+    assert a["few_words"].n_docs == 9 and a["few_words"].n_failed == 4
+
+
+def test_mixing_odd(spark):
+    m = mixing.mixture(odd(spark)).collect()
+    assert len(m) == 9 and all(r.taken <= 3 * r.size for r in m) and mixing.mixture(empty(spark)).count() == 0
+    assert mixing.mix(odd(spark)).columns == odd(spark).columns
+    sizes = {r.source: r.source_size for r in m}
+    total = sum(r.size for r in m)
+    targets = {r.source: r.target for r in m}
+    assert math.isclose(sum(targets.values()), total) and all(targets[s] <= 3 * sizes[s] for s in sizes)
+
+
+def test_line_dedup_odd(spark):
+    out = line_dedup.line_dedup(odd(spark), tally=True).collect()
+    assert len(out) == 9 and line_dedup.line_dedup(empty(spark)).count() == 0
+    by = {(r.doc_id, r.n_lines): r for r in out}
+    assert by[1, 2].n_removed == 1 and by[6, 2].text == "" and by[6, 2].n_removed == 2 and by[2, 0].text is None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_brute(spark, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(f"l{i}w{j}" for j in range(rng.choice([0, 3, 20, 60]))) for i in range(8)]
+    docs = [(d, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12)))) for d in range(12)]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen, gone = set(), {}
+    cut = {d: t.split("\n") for d, t in docs}
+    runs = [(d, s, e) for d in cut for s in range(len(cut[d])) for e in range(s, len(cut[d])) if sum(len(x.split()) for x in cut[d][s : e + 1]) >= 50]
+    for d, s, e in sorted(runs):
+        run = tuple(cut[d][s : e + 1])
+        if run in seen:
+            gone.setdefault(d, set()).update(range(s, e + 1))
+        seen.add(run)
+    assert got == {d: "\n".join(x for i, x in enumerate(cut[d]) if i not in gone.get(d, ())) for d in cut}
+
+
+def test_warc(spark, tmp_path):
+    body = "<p>" + "x" * 200
+    rows = [(3, "http://a/\n1", body, "e"), (1, "http://b", body, "e"), (2, None, None, None), (5, "u", "short", "e"), (6, "v", "short", "e"), (1, "http://b", body, "e"), (None, "w", body, None), (9, "ü", "ä" * 70_000, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
+    got = {(r.page_id, r.record_type): r for r in warc.page_records(pages).collect()}
+    assert got[3, "revisit"].refers_to == 1 and got[None, "revisit"].refers_to == 1 and got[6, "response"].refers_to is None
+    assert got[2, "response"].payload_bytes == 0 and got[9, "response"].payload_digest == hashlib.sha256(("ä" * 70_000).encode()).hexdigest()
+    assert warc.page_records(pages.limit(0)).count() == 0
+    path = f"file://{tmp_path}/w"
+    warc.archive(pages, path)
+    only = warc.read_archive(spark, path).where("record_type = 'revisit' AND page_id = 3")
+    assert [bytes(r.payload) for r in only.collect()] == [b""]
+    assert warc.read_archive(spark, path, payload=False).where("payload IS NOT NULL").count() == 0
+    reader = warc.WarcReader(path, True, 1)
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+    assert [type(f) for f in reader.pushFilters([EqualTo(("record_type",), "response"), GreaterThan(("page_id",), 3)])] == [GreaterThan]
+    read = [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+    assert {x["record_type"] for x in read} == {"response"} and len(read) == 6
+
+
+def test_bpe(spark):
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(tokenizer_path())
+    texts = ["", "<|endoftext|>a <|endoftext|>", " \x1c x\x85y​ 　 q", "I'll we've 'S", "日本語①½ ٣٤", "a" * 700 + "é" * 300, "\n\n \t x  \n", "\U0001F469‍\U0001F469", "x\x00y\x7f", LONG[:5000]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    ids = {r.doc_id: list(r.ids) for r in bpe.encode(docs, tokenizer_path()).collect()}
+    assert ids == {i: ref.encode(t, add_special_tokens=False).ids for i, t in enumerate([*texts])} | {99: []}
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path()).collect()}
+    assert back == dict(enumerate(texts)) | {99: ""}
+    assert bpe.round_trip(empty(spark), tokenizer_path()).count() == 0 and bpe.round_trip(odd(spark), tokenizer_path()).count() == 9
+
+
+def test_classifier(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality_classifier.classify(docs, labels)
+    judged = out.join(labels, "doc_id").where("held_out").select("quality", "predicted").collect()
+    assert sum(r.quality == r.predicted for r in judged) / len(judged) > 0.9
+    some = quality_classifier.classify(odd(spark), labels.limit(0)).collect()
+    assert len(some) == 9 and all(0 <= r.score <= 1 for r in some)
+    assert quality_classifier.classify(empty(spark), labels).count() == 0
+
+
+def test_language_model(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in hmm_lm.score(docs).collect()}
+    texts = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in texts}
+    c = Counter(t for d, ts in texts.items() if not held[d] for t in ts)
+    n, v = sum(c.values()), len(c)
+    for d, ts in texts.items():
+        assert got[d].held_out == held[d] and got[d].n_tokens == len(ts) and got[d].n_known == sum(t in c for t in ts) and got[d].train_tokens == n
+        assert math.isclose(got[d].base_score, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), rel_tol=1e-9)
+    away = [d for d in held if held[d]]
+    assert sum(got[d].score for d in away) > sum(got[d].base_score for d in away)
+    assert len(hmm_lm.score(odd(spark)).collect()) == 9 and hmm_lm.score(empty(spark)).count() == 0
+
+
+def test_forward_and_counts():
+    rng = np.random.default_rng(1)
+    norm = lambda x: x / x.sum(-1, keepdims=True)
+    m = hmm_lm.Model(norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 3))).T)
+    seqs = [np.array([0, 2, 1, 1]), np.array([1]), np.array([2, 0])]
+    packed = hmm_lm.Packed(seqs)
+    from itertools import product
+
+    def brute(s, want=None):
+        total = 0.0
+        for path in product(range(2), repeat=len(s)):
+            p = m.start[path[0]] * m.emit[s[0], path[0]]
+            for a, b, x in zip(path, path[1:], s[1:]):
+                p *= m.move[a, b] * m.emit[x, b]
+            total += p if want is None else p * want(path)
+        return total
+
+    out = np.empty(3)
+    out[packed.order] = hmm_lm.forward(m, packed, False)[0]
+    assert np.allclose(out, [math.log10(brute(s)) for s in seqs])
+    counts = hmm_lm.expected(m, packed)
+    assert np.isclose(counts[0], sum(brute(s, lambda p: p[0] == 0) / brute(s) for s in seqs))
+    assert np.isclose(counts[2 + 1], sum(brute(s, lambda p: sum((a, b) == (0, 1) for a, b in zip(p, p[1:]))) / brute(s) for s in seqs))
+
+
+def test_search(spark):
+    rng = random.Random(4)
+    rows = [(i % 400, [rng.choice([-1.0, 0.5, 0.25, 3.0]) for _ in range(8)]) for i in range(420)] + [(20, [1.0, None]), (None, [1.0] * 8), (40, [float("nan")] * 8), (60, None), (80, []), (100, []), (7, [1.0, 2.0])]
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], "vec_id long, embedding array<float>, score string, rank int")
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q in sorted({i for i, _ in good if i % 20 == 0}):
+        hits = [(-sum(a * b for a, b in zip(v, w)), j) for i, v in good if i == q for j, w in good if j != q and len(v) == len(w)]
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(sorted(hits)[:20])]
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(df).orderBy("query_id", "rank").collect()]
+    assert got == want and topk_search.top_k(df.limit(0)).count() == 0
+
+
+def test_secret_scan(spark):
+    text = 'see token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" and commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b plus https://a.example.com/site-map-note-2024.html'
+    docs = spark.createDataFrame([(1, text, "z"), (1, text, "z"), (2, None, "z"), (3, "", None)], "doc_id long, text string, score string")
+    found = secret_scan.scan(docs)
+    rows = found.collect()
+    assert len(rows) == 6 and {text[r.start : r.start + r.length] == r.candidate for r in rows} == {True}
+    assert {r.candidate[:8] for r in rows if r.is_secret} == {"f33e6108"}
+    clean = [r.text for r in secret_scan.redact(docs, found).orderBy("doc_id").collect()]
+    assert clean[0].count("<SECRET>") == 1 and clean[2] is None and secret_scan.scan(empty(spark)).count() == 0
+
+
+def brute_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    parts = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, prints):
+    label = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for i, x in zip(ids, label):
+        least.setdefault(x, []).append(i)
+    return [min((i for i in least[x] if i is not None), default=None) for x in label]
+
+
+def test_simhash(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd(spark).select("doc_id", "text")).collect()
+    ids, prints = [r.doc_id for r in docs], [brute_fingerprint(r.text) for r in docs]
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(zip(ids, [f"{p:016x}" for p in prints], brute_components(ids, prints)), key=repr)
+    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.near_dedup(empty(spark)).count() == 0
+    assert simhash.near_dedup(odd(spark)).columns == odd(spark).columns
+
+
+def test_anchors_lose_no_link(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({p for x in base for p in [x] + [x ^ sum(1 << b for b in rng.sample(range(64), k)) for k in (1, 2, 3, 4, 4, 5, 6)]})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "doc_id long, _cj_fp long")
+    got = {r.fp: r.component_id for r in simhash.classes(rows).collect()}
+    assert [got[s] for s in signed] == brute_components(list(range(len(prints))), prints)
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = corpus_pipeline.keep_good(spark, docs, SF)
+    book = {r.doc_id for r in quality_rules.ledger(docs).where(quality_rules.passes()).collect()}
+    assert {r.doc_id for r in good.collect()} == book and good.columns == docs.columns
+    lines = corpus_pipeline.drop_repeated_lines(spark, good, SF)
+    assert lines.columns == docs.columns and lines.count() == len(book)
+    left = lines.collect()
+    comp = brute_components([r.doc_id for r in left], [brute_fingerprint(r.text) for r in left])
+    one = corpus_pipeline.one_of_each_group(spark, lines, SF)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(comp)) and one.columns == docs.columns
+    mixed = corpus_pipeline.mix_sources(spark, one, SF)
+    plan = {r.doc_id: r.copies for r in mixing.mixture(one).collect()}
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({d: n for d, n in plan.items() if n}) and mixed.columns == docs.columns
+    tokens = corpus_pipeline.encode_tokens(spark, mixed, SF)
+    back = Counter((r.doc_id, r.text) for r in bpe.decode(tokens, tokenizer_path()).collect())
+    assert back == Counter((r.doc_id, r.text or "") for r in mixed.collect())
+    assert corpus_pipeline.run(spark, SF).count() == tokens.count()
