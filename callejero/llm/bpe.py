@@ -50,10 +50,13 @@ class Bpe:
         self.start = [0] * 256
         for letter, b in letters.items():
             self.start[b] = vocab[letter]
-        self.pairs: dict[int, tuple[int, int]] = {}
+        #: Rank of a pair, by both ids in one number, and the id that each rank's merge makes.
+        self.pairs: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs.setdefault(vocab[left] << 32 | vocab[right], (rank, vocab[left + right]))
+            self.pairs.setdefault(vocab[left] << 32 | vocab[right], rank)
+            self.made.append(vocab[left + right])
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for content_, i in self.special.items():
@@ -66,37 +69,34 @@ class Bpe:
         parts = [self.start[b] for b in word]
         if len(parts) > SHORT:
             return self._merge_long(parts)
-        pairs, never = self.pairs, (1 << 60, -1)
-        ranks = [pairs.get(a << 32 | b, never) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best is never or best[1] < 0:
-                break
+        rank_of, made, never = self.pairs.get, self.made, 1 << 60
+        ranks = [rank_of(a << 32 | b, never) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != never:
             i = ranks.index(best)
-            parts[i] = best[1]
+            parts[i] = new = made[best]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pairs.get(parts[i] << 32 | parts[i + 1], never)
+                ranks[i] = rank_of(new << 32 | parts[i + 1], never)
             if i:
-                ranks[i - 1] = pairs.get(parts[i - 1] << 32 | parts[i], never)
+                ranks[i - 1] = rank_of(parts[i - 1] << 32 | new, never)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
-        n = len(parts)
+        n, rank_of = len(parts), self.pairs.get
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r[0], i, parts[i], parts[i + 1], r[1]) for i in range(n - 1) if (r := self.pairs.get(parts[i] << 32 | parts[i + 1]))]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank_of(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = new, -1, after[j]
+            parts[i], parts[j], after[i] = self.made[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] >= 0 and (r := self.pairs.get(parts[left] << 32 | parts[after[left]])):
-                    heapq.heappush(heap, (r[0], left, parts[left], parts[after[left]], r[1]))
+                if left >= 0 and after[left] >= 0 and (r := rank_of(parts[left] << 32 | parts[after[left]])) is not None:
+                    heapq.heappush(heap, (r, left, parts[left], parts[after[left]]))
         return [p for p in parts if p >= 0]
 
     def _word(self, word: str) -> tuple[int, ...]:
