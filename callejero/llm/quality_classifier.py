@@ -32,6 +32,8 @@ BITS = 18
 BUCKETS = 1 << BITS
 FIT_ROWS = 6000
 PREDICT_AT = 0.7
+#: Labels that are broadcast (some 60 MB in memory); more are joined by a shuffle of the learning texts.
+BROADCAST_LABELS = 2_000_000
 SLICE = 256
 #: Words that a worker remembers.
 REMEMBERED = 300_000
@@ -80,7 +82,6 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], ["i", "n"])
 
-    # Counts of one chunk are a binary row each: the sum needs no row per bucket on the driver.
     sums = rows.select("text", "label").mapInArrow(run, "i int, n double").groupBy("i").agg(F.sum("n").alias("n"))
     table = sums.toArrow()  # two counts per bucket at most
     flat = np.zeros(2 * (BUCKETS + 1))
@@ -170,6 +171,9 @@ def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, label of the labelled documents outside the held-out fold."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("label"))
     d = docs.select("doc_id", "text").where(id_residue(FOLDS) != HELD_OUT)
+    # Labels are an id and a digit: while they are few their rows go to the texts; beyond that both sides are dealt by id.
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     return d.join(known, d["doc_id"] == known["labelled"]).select("doc_id", "text", "label")
 
 
