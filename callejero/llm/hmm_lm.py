@@ -289,7 +289,9 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES, warm: int
     train = encoded.where("NOT held_out").select("uid", "classes")
     model = Model.first(states, prior)
     if total:
-        first = stored(train.orderBy(F.xxhash64("uid")).limit(warm), "lm-warm")
+        n_train = next((r["c"] for r in frequent if bytes(r["token"]) == END), 1)  # every text has one end
+        chance = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)
+        first = stored(train.where(chance < warm / n_train), "lm-warm")
         for _ in range(warm_passes):
             model = improved(first, model, prior)
         for _ in range(passes):
