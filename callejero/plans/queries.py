@@ -413,7 +413,9 @@ TEXT = "CASE req_id % 4 WHEN 0 THEN 'Av. ' || req_key || ' ' || num || ', Lince'
 
 def _normalized(spark, sf_dir):
     X.view(spark, sf_dir, "request").createOrReplaceTempView("request")
-    return norm.normalize(spark.sql(f"SELECT req_id, {TEXT} AS address FROM request"), ENTRIES, frozenset({"LIMA_METRO"}))
+    # One small file is one partition: reading its texts costs far more than dealing them to all cores.
+    spread = spark.sql(f"SELECT req_id, {TEXT} AS address FROM request").repartition(spark.sparkContext.defaultParallelism)
+    return norm.normalize(spread, ENTRIES, frozenset({"LIMA_METRO"}))
 
 
 NAMED = "CASE WHEN req_id % 4 = 3 AND req_key = '2 DE MAYO' THEN '2 DE MAYO' ELSE req_key END"
