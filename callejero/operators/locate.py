@@ -16,7 +16,7 @@ LEAST_BLOCK_M, SPREAD, MARK_VOTES, SURE_BLOCKS = 25, 8, 1000, 1
 SIDE_M, FIT_RANGE, FARTHEST, RATES = 40, 20, 600, (0.3, 3.0)
 
 
-def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True) -> DataFrame:
+def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True, hold_out: str = "") -> DataFrame:
     """req_id, lng, lat, precision, tight for (req_id, street_id, num) on (street_id, number, lng, lat).
 
     One join on the street (and side) and one aggregation that keeps an anchor below, one above
@@ -25,6 +25,9 @@ def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True)
     a = anchors.select("street_id", "number", "lng", "lat", (F.col("number") % 2).alias("side"))
     r = requests.select("req_id", "street_id", "num", (F.col("num") % 2).alias("side"))
     j = r.join(a, ["street_id", "side"] if same_side else ["street_id"])
+    if hold_out:
+        unit = {"anchor": 1, "block": 100}[hold_out]
+        j = j.where(F.floor(F.col("number") / unit) != F.floor(F.col("num") / unit))
     at = F.struct("number", "lng", "lat")
     g = j.groupBy("req_id", "num").agg(
         F.min(F.when(F.col("number") == F.col("num"), at)).alias("e"),

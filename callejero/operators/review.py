@@ -87,3 +87,22 @@ def resolved_once(requests: DataFrame, keys: tuple[str, ...], resolve) -> DataFr
         c = requests[k].eqNullSafe(once[k])
         cond = c if cond is None else cond & c
     return requests.join(once, cond).select(requests["*"], *[once[c] for c in once.columns if c not in keys])
+
+
+def coverage(streets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """street_id, n_anchors, hundreds, coverage: completa (a number in each hundred between the first and last), parcial or sin_datos."""
+    hundred = F.floor(F.col("number") / 100)
+    a = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"), F.count_distinct(hundred).alias("hundreds"), (F.max(hundred) - F.min(hundred) + 1).alias("span"))
+    d = streets.select("street_id").join(a, "street_id", "left")
+    state = F.when(F.col("n_anchors").isNull(), "sin_datos").when(F.col("hundreds") == F.col("span"), "completa").otherwise("parcial")
+    return d.select("street_id", F.coalesce("n_anchors", F.lit(0)).alias("n_anchors"), F.coalesce("hundreds", F.lit(0)).alias("hundreds"), state.alias("coverage"))
+
+
+def worst_groups(rows: DataFrame, by: str, right: Column, k: int = 10) -> DataFrame:
+    """The k groups of the least share right; ties by name."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(right) / F.count("*"), 3).alias("pct")).orderBy("pct", by).limit(k)
+
+
+def prometheus(histogram: DataFrame, name: str) -> DataFrame:
+    """Text lines of a cumulative histogram (route, le, n)."""
+    return histogram.select(F.format_string(name + '_bucket{route="%s",le="%d"} %d', "route", "le", "n").alias("line"))

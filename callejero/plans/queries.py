@@ -463,3 +463,51 @@ def partial_districts(spark, sf_dir):
     index = spark.createDataFrame([("SAN JUAN DE MIRAFLORES", "150133", False), ("SAN JUAN DE LURIGANCHO", "150132", False), ("PUEBLO LIBRE MAGDALENA", "150121", False)], "key string, code string, weak boolean")
     key = F.when(F.col("c_custkey") % 3 == 0, "SAN JUAN DE MIRAFLOR").when(F.col("c_custkey") % 3 == 1, "SAN JUAN DE").otherwise("PUEBLO LIBRE MAGDALENA VIEJA")
     return cat.partial_districts(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), key.alias("key")), index)
+
+
+HELD = X.sql("anchor") + ", request AS (SELECT anchor_id AS req_id, street_id, number AS num FROM anchor WHERE anchor_id % 5 = 0), j AS" + AS_OF.split(", j AS", 1)[1].replace("a.number % 2 = r.num % 2)", "a.number % 2 = r.num % 2 AND floor(a.number / 100) <> floor(r.num / 100))", 1)
+
+
+@query(HELD + f""", p AS (SELECT req_id, CASE c WHEN 1 THEN llng + (num - ln) / (hn - ln) * (hlng - llng) WHEN 2 THEN llng ELSE hlng END AS lng, CASE c WHEN 1 THEN llat + (num - ln) / (hn - ln) * (hlat - llat) WHEN 2 THEN llat ELSE hlat END AS lat FROM k WHERE c IS NOT NULL)
+SELECT req_id, round({X.distance('p.lng', 'p.lat', 'a.lng', 'a.lat')}, 2) AS error_m FROM p JOIN anchor a ON a.anchor_id = p.req_id""")
+def anchor_holdout(spark, sf_dir):
+    a = X.view(spark, sf_dir, "anchor")
+    held = a.where("anchor_id % 5 = 0").select(F.col("anchor_id").alias("req_id"), "street_id", F.col("number").alias("num"))
+    found = loc.interpolate(held, a, hold_out="block").select("req_id", F.col("lng").alias("f_lng"), F.col("lat").alias("f_lat"))
+    d = found.join(a, F.col("req_id") == F.col("anchor_id"))
+    return d.select("req_id", F.round(geo.distance(F.col("f_lng"), F.col("f_lat"), F.col("lng"), F.col("lat")), 2).alias("error_m"))
+
+
+@query(X.sql("ticket_event") + "SELECT address_key, event_id AS pin_id FROM (SELECT *, row_number() OVER (PARTITION BY address_key ORDER BY created_at DESC, event_id DESC) AS n FROM ticket_event WHERE method = 'OPERATOR_PIN') WHERE n = 1")
+def street_pins(spark, sf_dir):
+    return rev.latest_pins(X.view(spark, sf_dir, "ticket_event").where("method = 'OPERATOR_PIN'").withColumn("pin_id", F.col("event_id"))).select("address_key", "pin_id")
+
+
+@query(X.sql("anchor") + "SELECT s.street_id, count(a.number) AS n_anchors, count(DISTINCT floor(a.number / 100)) AS hundreds, CASE WHEN count(a.number) = 0 THEN 'sin_datos' WHEN count(DISTINCT floor(a.number / 100)) = max(floor(a.number / 100)) - min(floor(a.number / 100)) + 1 THEN 'completa' ELSE 'parcial' END AS coverage FROM street s LEFT JOIN anchor a USING (street_id) GROUP BY s.street_id")
+def street_coverage(spark, sf_dir):
+    return rev.coverage(X.view(spark, sf_dir, "street"), X.view(spark, sf_dir, "anchor"))
+
+
+@query(X.sql("judged_row") + "SELECT exp_ubigeo, count(*) AS n, round(100.0 * count(*) FILTER (WHERE exp_ubigeo = got_ubigeo) / count(*), 3) AS pct FROM judged_row GROUP BY exp_ubigeo ORDER BY pct, exp_ubigeo LIMIT 10")
+def eval_worst(spark, sf_dir):
+    return rev.worst_groups(X.view(spark, sf_dir, "judged_row"), "exp_ubigeo", F.col("exp_ubigeo") == F.col("got_ubigeo"))
+
+
+@query(X.sql("judged_row") + "SELECT flag, count(*) AS n FROM (SELECT unnest([decision, precision, source]) AS flag FROM judged_row) GROUP BY flag ORDER BY n DESC, flag LIMIT 15")
+def eval_flags_top(spark, sf_dir):
+    return rev.frequent_flags(X.view(spark, sf_dir, "judged_row").select(F.array("decision", "precision", "source").alias("flags")))
+
+
+@query(X.sql("judged_row") + "SELECT row_id, error_m FROM judged_row WHERE decision = 'AUTO_ACCEPT' AND split <> 'test' AND error_m > CASE precision WHEN 'STREET' THEN 150 WHEN 'ZONE' THEN 300 WHEN 'DISTRICT' THEN 300 ELSE 50 END ORDER BY error_m DESC, row_id LIMIT 20")
+def eval_worst_cases(spark, sf_dir):
+    return rev.audit_failures(X.view(spark, sf_dir, "judged_row")).orderBy(F.desc("error_m"), "row_id").limit(20).select("row_id", "error_m")
+
+
+@query("WITH e AS (SELECT event_type AS route, CAST(abs(value) AS DOUBLE) AS ms FROM events) SELECT 'latency_bucket{route=\"' || route || '\",le=\"' || le || '\"} ' || count(*) FILTER (WHERE ms <= le) AS line FROM e, (SELECT unnest([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000]) AS le) GROUP BY route, le")
+def prometheus_text(spark, sf_dir):
+    return rev.prometheus(latency_histogram(spark, sf_dir), "latency")
+
+
+@query(X.sql("street", "anchor") + ", c AS (SELECT street_id, s.name, count(a.number) AS n_anchors FROM street s LEFT JOIN anchor a USING (street_id) WHERE s.ubigeo = '150116' AND contains(s.key, 'LOS') GROUP BY ALL) SELECT * FROM c ORDER BY n_anchors > 0, name, street_id LIMIT 25")
+def find_streets(spark, sf_dir):
+    return res.find_streets(X.view(spark, sf_dir, "street"), X.view(spark, sf_dir, "anchor"), "150116", "LOS", 25)
