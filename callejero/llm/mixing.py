@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of, word_count
 
 RANGES = 1024
+#: Tables of one row per source are broadcast up to so many sources; beyond that Spark deals the joins.
+BROADCAST_SOURCES = 50_000
 CYCLE = (1, 2, 3)
 CAP = 3
 
@@ -84,18 +86,19 @@ def mixing_plan(base: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int = CAP)
     t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     t = t.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     t = stored(t, "mixing-targets")
+    small = F.broadcast if t.count() <= BROADCAST_SOURCES else lambda df: df
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    r = ranges.withColumn("through", F.sum("range_size").over(along)).alias("r").join(t.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
+    r = ranges.withColumn("through", F.sum("range_size").over(along)).alias("r").join(small(t).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     ends = r.where(F.col("through") > F.col("rest")).groupBy("t.source").agg(F.min("range").alias("cut_range"), F.min_by(F.col("rest") - (F.col("through") - F.col("range_size")), F.col("range")).alias("budget"))
     ends = ends.withColumnRenamed("source", "cut_source")
-    inside = base.join(ends, base["source"].eqNullSafe(F.col("cut_source")) & (base["range"] == F.col("cut_range")))
+    inside = base.join(small(ends), base["source"].eqNullSafe(F.col("cut_source")) & (base["range"] == F.col("cut_range")))
     ties = inside.groupBy("cut_source", "budget", "key").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("cut_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     ties = ties.withColumn("middle", F.sum("size").over(order) - F.col("size") / 2)
     cuts = ties.where(F.col("middle") <= F.col("budget")).groupBy("cut_source").agg(F.max("key").alias("cut_key"))
     ends = ends.alias("e").join(cuts.alias("c"), F.col("e.cut_source").eqNullSafe(F.col("c.cut_source")), "left").select("e.cut_source", "cut_range", "cut_key")
     full = t.join(ends, t["source"].eqNullSafe(ends["cut_source"]), "left")
-    return full.select("source", "source_size", "target", "epochs", "cut_range", "cut_key")
+    return small(full.select("source", "source_size", "target", "epochs", "cut_range", "cut_key"))
 
 
 def copies(key: Column, rng: Column) -> Column:
@@ -116,7 +119,7 @@ def mixture(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int = CAP) ->
 def mix(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int = CAP) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with all its columns."""
     base = stored(sized(docs), "mixing-sizes")
-    plan = stored(mixing_plan(base, cycle, cap), "mixing-plan").withColumnRenamed("source", "_cj_source")
+    plan = mixing_plan(base, cycle, cap).withColumnRenamed("source", "_cj_source")
     columns = docs.columns
     text = text_of("text")
     size = word_count(text)
