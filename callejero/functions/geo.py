@@ -16,17 +16,28 @@ def distance(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
     return RADIUS * F.sqrt(x * x + y * y)
 
 
-def segment_distance(lng: Column, lat: Column, lng0: Column, lat0: Column, lng1: Column, lat1: Column) -> Column:
-    """From a point to a segment, in a plane laid at the point."""
+def _foot(lng: Column, lat: Column, lng0: Column, lat0: Column, lng1: Column, lat1: Column) -> tuple[Column, Column, Column]:
+    """How far along a segment the point nearest to a point lies (0 to 1), and its offset in metres, in a plane laid at the point."""
     k, scale = F.cos(F.radians(lat)), RADIUS * math.pi / 180
     ax, ay, bx, by = (lng0 - lng) * k * scale, (lat0 - lat) * scale, (lng1 - lng) * k * scale, (lat1 - lat) * scale
     dx, dy = bx - ax, by - ay
     n = dx * dx + dy * dy
     t = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / F.when(n == 0, 1.0).otherwise(n))))
-    x, y = ax + t * dx, ay + t * dy
+    return t, ax + t * dx, ay + t * dy
+
+
+def segment_distance(lng: Column, lat: Column, lng0: Column, lat0: Column, lng1: Column, lat1: Column) -> Column:
+    """From a point to a segment."""
+    _, x, y = _foot(lng, lat, lng0, lat0, lng1, lat1)
     return F.sqrt(x * x + y * y)
 
 
+def nearest_on_segment(lng: Column, lat: Column, lng0: Column, lat0: Column, lng1: Column, lat1: Column) -> Column:
+    """metres, lng, lat of the segment's point nearest to a point; ordered by distance."""
+    t, x, y = _foot(lng, lat, lng0, lat0, lng1, lat1)
+    return F.struct(F.sqrt(x * x + y * y).alias("metres"), (lng0 + t * (lng1 - lng0)).alias("lng"), (lat0 + t * (lat1 - lat0)).alias("lat"))
+
+
 def edges(rings: DataFrame) -> DataFrame:
     """ubigeo, ring, x0, y0, x1, y1 of (ubigeo, ring, points: closed array of (lng, lat)), with the district's box."""
     of = lambda axis: F.transform("points", lambda p: p.getField(axis))
@@ -69,13 +80,20 @@ def centroids(edge_table: DataFrame) -> DataFrame:
 
 
 def axes(vertices: DataFrame) -> DataFrame:
-    """street_id, angle of the main direction, extent lo and hi along it, from (street_id, lng, lat)."""
+    """street_id, angle of the main direction, centre mx and my, extent lo and hi along the direction, from (street_id, lng, lat)."""
     mid = vertices.groupBy("street_id").agg(F.avg("lng").alias("mx"), F.avg("lat").alias("my"))
     k = RADIUS * math.pi / 180
-    flat = vertices.join(mid, "street_id").select("street_id", ((F.col("lng") - F.col("mx")) * F.cos(F.radians("my")) * k).alias("x"), ((F.col("lat") - F.col("my")) * k).alias("y"))
+    flat = vertices.join(mid, "street_id").select("street_id", "mx", "my", ((F.col("lng") - F.col("mx")) * F.cos(F.radians("my")) * k).alias("x"), ((F.col("lat") - F.col("my")) * k).alias("y"))
     angle = flat.groupBy("street_id").agg((0.5 * F.atan2(2 * F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x")) - F.sum(F.col("y") * F.col("y")))).alias("angle"))
     along = F.col("x") * F.cos("angle") + F.col("y") * F.sin("angle")
-    return flat.join(angle, "street_id").groupBy("street_id", "angle").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
+    return flat.join(angle, "street_id").groupBy("street_id", "angle", "mx", "my").agg(F.min(along).alias("lo"), F.max(along).alias("hi"))
+
+
+def on_axis(lng: Column, lat: Column) -> tuple[Column, Column]:
+    """A point's metres along and across its street's axis (the columns of ``axes``)."""
+    k = RADIUS * math.pi / 180
+    x, y = (lng - F.col("mx")) * F.cos(F.radians("my")) * k, (lat - F.col("my")) * k
+    return x * F.cos("angle") + y * F.sin("angle"), y * F.cos("angle") - x * F.sin("angle")
 
 
 def assemble_rings(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:

@@ -6,7 +6,7 @@ import bisect
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -14,6 +14,7 @@ from ..functions import geo
 MAX_GAP, MAX_GAP_M, TIGHT_GAP, TIGHT_M, CLAMP, SAME_M = 400, 1500, 40, 250, 30, 50
 LEAST_BLOCK_M, SPREAD, MARK_VOTES, SURE_BLOCKS = 25, 8, 1000, 1
 SIDE_M, FIT_RANGE, FARTHEST, RATES = 40, 20, 600, (0.3, 3.0)
+LATERAL_M, PARALLEL_COS, HINT_CELL, HINT_STEP_M, AREA_M, SPAN_M = 250, 0.966, 0.003, 150, 800, 300
 
 
 def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True, hold_out: str = "") -> DataFrame:
@@ -163,4 +164,143 @@ def place_by_blocks(requests: DataFrame, anchors: DataFrame, cuts: DataFrame, ma
                             out.append((q["req_id"], s["street_id"], *found))
             yield pd.DataFrame(out, columns=["req_id", "street_id", "chainage", "sure"])
 
-    return street.join(asked, "street_id").mapInPandas(run, "req_id long, street_id long, chainage double, sure boolean")
+    return street.join(asked, "street_id").mapInPandas(run, f"req_id {requests.schema['req_id'].dataType.simpleString()}, street_id long, chainage double, sure boolean")
+
+
+# -- from the axis to the map ----------------------------------------------------
+SEGMENT = ("lng0", "lat0", "lng1", "lat1")
+
+
+def frames(segments: DataFrame) -> DataFrame:
+    """The axis of each street, from (street_id, line_id, seg, lng0, lat0, lng1, lat1)."""
+    ends = F.explode(F.array(*[F.struct(F.col(f"lng{i}").alias("lng"), F.col(f"lat{i}").alias("lat")) for i in (0, 1)])).alias("p")
+    # A line's inner vertices end one segment and begin the next, but count once.
+    return geo.axes(segments.select("street_id", "line_id", ends).distinct().select("street_id", "p.lng", "p.lat"))
+
+
+def chained(points: DataFrame, axis: DataFrame) -> DataFrame:
+    """``points`` (street_id, lng, lat, ...) with their chainage."""
+    columns = points.columns
+    return points.join(axis, "street_id").select(*columns, geo.on_axis(F.col("lng"), F.col("lat"))[0].alias("chainage"))
+
+
+def points_at(found: DataFrame, segments: DataFrame, axis: DataFrame) -> DataFrame:
+    """req_id, lng, lat: the street's point at a chainage, which is first cut to the street's extent; from (req_id, street_id, chainage)."""
+    j = found.join(axis, "street_id").join(segments, "street_id")
+    c = F.greatest("lo", F.least("hi", "chainage"))
+    c0, c1 = geo.on_axis(F.col("lng0"), F.col("lat0"))[0], geo.on_axis(F.col("lng1"), F.col("lat1"))[0]
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(c - c0, c1 - c0), F.lit(0.0))))
+    off = F.round(F.abs(c - (c0 + t * (c1 - c0))), 6)
+    at = F.struct((F.col("lng0") + t * (F.col("lng1") - F.col("lng0"))).alias("lng"), (F.col("lat0") + t * (F.col("lat1") - F.col("lat0"))).alias("lat"))
+    return j.groupBy("req_id").agg(F.min_by(at, F.struct(off, "line_id", "seg")).alias("p")).select("req_id", "p.lng", "p.lat")
+
+
+def side_offsets(anchors: DataFrame, segments: DataFrame, axis: DataFrame) -> DataFrame:
+    """street_id, side, offset: the upper median of how far doors of one side stand off the street, within SIDE_M."""
+    key = ("street_id", "number", "lng", "lat")
+    a = chained(anchors.select(*key), axis)
+    on = points_at(a.select(F.struct(*key).alias("req_id"), "street_id", "chainage"), segments, axis).withColumnsRenamed({"lng": "q_lng", "lat": "q_lat"})
+    d = a.select(*key, F.struct(*key).alias("req_id")).join(on, "req_id").join(axis, "street_id")
+    across = geo.on_axis(F.col("lng"), F.col("lat"))[1] - geo.on_axis(F.col("q_lng"), F.col("q_lat"))[1]
+    g = d.select("street_id", (F.col("number") % 2).alias("side"), across.alias("off")).groupBy("street_id", "side").agg(F.sort_array(F.collect_list("off")).alias("offs"))
+    return g.select("street_id", "side", F.greatest(F.lit(-float(SIDE_M)), F.least(F.lit(float(SIDE_M)), F.element_at("offs", F.floor(F.size("offs") / 2).cast("int") + 1))).alias("offset"))
+
+
+def to_side(found: DataFrame, segments: DataFrame, axis: DataFrame, offsets: DataFrame) -> DataFrame:
+    """req_id, lng, lat of (req_id, street_id, num, chainage), on the side of the number; on the axis where no anchor tells the side."""
+    at = points_at(found.select("req_id", "street_id", "chainage"), segments, axis)
+    d = at.join(found.select("req_id", "street_id", (F.col("num") % 2).alias("side")), "req_id").join(axis, "street_id").join(offsets, ["street_id", "side"], "left")
+    metre = 180 / math.pi / geo.RADIUS
+    off = F.coalesce("offset", F.lit(0.0)) * metre
+    return d.select("req_id", (F.col("lng") - F.sin("angle") * off / F.cos(F.radians("my"))).alias("lng"), (F.col("lat") + F.cos("angle") * off).alias("lat"))
+
+
+def middle_points(segments: DataFrame) -> DataFrame:
+    """street_id, lng, lat, span: the middle vertex of the longest line, and the largest distance between ends of lines."""
+    length = geo.distance(*[F.col(c) for c in SEGMENT])
+    vertex = F.struct(F.col("seg").alias("seg"), F.col("lng1").alias("lng"), F.col("lat1").alias("lat"))
+    lines = segments.groupBy("street_id", "line_id").agg(
+        F.sum(length).alias("m"), F.sort_array(F.collect_list(vertex)).alias("v"),
+        F.min_by(F.struct(F.col("lng0").alias("lng"), F.col("lat0").alias("lat")), "seg").alias("a"), F.max_by(F.struct(F.col("lng1").alias("lng"), F.col("lat1").alias("lat")), "seg").alias("b"),
+    )
+    # Of n + 1 vertices the middle one is number (n + 1) / 2 from 0, the end of segment (n + 1) / 2 - 1.
+    middle = F.element_at("v", F.floor((F.size("v") + 1) / 2).cast("int"))
+    g = lines.groupBy("street_id").agg(F.max_by(middle, F.struct("m", -F.col("line_id"))).alias("p"), F.flatten(F.collect_list(F.array("a", "b"))).alias("ends"))
+    apart = lambda p, q: geo.distance(p["lng"], p["lat"], q["lng"], q["lat"])
+    return g.select("street_id", "p.lng", "p.lat", F.array_max(F.transform("ends", lambda p: F.array_max(F.transform("ends", lambda q: apart(p, q))))).alias("span"))
+
+
+def nearest_of_street(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """req_id, metres, lng, lat: the street's point nearest to (req_id, street_id, near_lng, near_lat)."""
+    j = points.where("near_lng IS NOT NULL").join(segments, "street_id")
+    near = geo.nearest_on_segment(F.col("near_lng"), F.col("near_lat"), *[F.col(c) for c in SEGMENT])
+    return j.groupBy("req_id").agg(F.min(near).alias("n")).select("req_id", "n.*")
+
+
+def parallel_hints(segments: DataFrame, anchors: DataFrame) -> DataFrame:
+    """street_id, number, lng, lat, anchor_id: anchors of other, parallel streets within LATERAL_M, laid onto this street.
+
+    A street meets anchors in the cells it passes (sampled at most HINT_STEP_M apart) and their
+    neighbours; the cell is wide enough that no anchor within reach is missed.
+    """
+    axis = frames(segments)
+    steps = F.floor(geo.distance(*[F.col(c) for c in SEGMENT]) / HINT_STEP_M).cast("int") + 1
+    s = segments.select("street_id", *SEGMENT, steps.alias("steps")).select("*", F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("k"))
+    t = F.col("k") / F.col("steps")
+    cell = lambda v: F.floor(v / HINT_CELL)
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c)
+    passed = s.select("street_id", cell(F.col("lng0") + t * (F.col("lng1") - F.col("lng0"))).alias("cx"), cell(F.col("lat0") + t * (F.col("lat1") - F.col("lat0"))).alias("cy")).distinct()
+    passed = passed.select("street_id", around("cx"), "cy").select("street_id", "cx", around("cy")).distinct()
+    lent = anchors.join(axis.select("street_id", F.col("angle").alias("own_angle")), "street_id").select("anchor_id", F.col("street_id").alias("owner"), "number", "lng", "lat", "own_angle", cell(F.col("lng")).alias("cx"), cell(F.col("lat")).alias("cy"))
+    pairs = passed.join(lent, ["cx", "cy"]).where("street_id <> owner").join(axis, "street_id")
+    along = geo.on_axis(F.col("lng"), F.col("lat"))[0]
+    pairs = pairs.where((F.abs(F.cos(F.col("angle") - F.col("own_angle"))) >= PARALLEL_COS) & along.between(F.col("lo"), F.col("hi"))).select("street_id", "anchor_id", "number", "lng", "lat")
+    near = geo.nearest_on_segment(F.col("lng"), F.col("lat"), *[F.col(c) for c in SEGMENT])
+    g = pairs.join(segments, "street_id").groupBy("street_id", "anchor_id", "number").agg(F.min(near).alias("n")).where(F.col("n.metres") <= LATERAL_M)
+    return g.select("street_id", "number", "n.lng", "n.lat", "anchor_id")
+
+
+def on_street(requests: DataFrame, segments: DataFrame, anchors: DataFrame, crossings: DataFrame, marks: DataFrame, hints: DataFrame) -> DataFrame:
+    """req_id, lng, lat, precision, tight, note: the place of a number (or of none) on a known street.
+
+    ``requests`` holds (req_id, street_id, num, near_lng, near_lat), of which the last three may be
+    null. In order: anchors of the number's side, the block model, anchors of any side, the blocks
+    that parallel streets imply, extrapolation, the point nearest to a named area, the middle.
+    Each step is set-based; the first that has an answer counts.
+    """
+    axis, middle = frames(segments), middle_points(segments)
+    asked = requests.where("num IS NOT NULL").select("req_id", "street_id", "num")
+    cuts = chained(crossings.select("street_id", "lng", "lat"), axis).select("street_id", F.col("chainage").alias("cut"))
+    marked = chained(marks.select("street_id", "hundred", "lng", "lat"), axis).select("street_id", "hundred", "chainage")
+    extents, offsets = axis.select("street_id", "lo", "hi"), side_offsets(anchors, segments, axis)
+    chain = lambda a: chained(a.select("street_id", "number", "lng", "lat"), axis).select("street_id", "number", "chainage")
+
+    def blocks(r: DataFrame, a: DataFrame, shift: DataFrame) -> DataFrame:
+        found = place_by_blocks(r, chain(a), cuts, marked, extents)
+        at = to_side(found.join(asked.select("req_id", "num"), "req_id"), segments, axis, shift)
+        return at.join(found.select("req_id", "sure"), "req_id")
+
+    def named(df: DataFrame, step: str, precision: Column, tight: Column | None, note: str) -> DataFrame:
+        return df.select("req_id", F.struct("lng", "lat", precision.alias("precision"), (F.lit(None).cast("boolean") if tight is None else tight).alias("tight"), F.lit(note).alias("note")).alias(step))
+
+    street = F.lit("STREET")
+    own, other = interpolate(asked, anchors), interpolate(asked, anchors, same_side=False)
+    by_block = blocks(asked, anchors, offsets)
+    lent = blocks(asked.join(hints.select("street_id").distinct(), "street_id", "left_semi").select("req_id", "street_id", "num"), hints, side_offsets(hints, segments, axis))
+    far = extrapolate(asked, chain(anchors)).join(asked, "req_id")
+    area = nearest_of_street(requests, segments).where(F.col("metres") <= AREA_M)
+    steps = [
+        named(own, "a", F.col("precision"), F.col("tight"), ""),
+        named(by_block.where("sure"), "b", F.lit("SEGMENT_INTERPOLATED"), F.lit(False), "BLOCK_RANGE"),
+        named(by_block.where("NOT sure"), "c", street, None, "BLOCK_SEQUENCE_FAR"),
+        named(other, "d", F.col("precision"), F.lit(False), ""),
+        named(lent, "e", street, None, "PARALLEL_BLOCKS"),
+        named(to_side(far, segments, axis, offsets), "f", street, F.lit(False), "EXTRAPOLATED_FROM_ANCHORS"),
+        named(area, "g", street, None, "STREET_NEAR_AREA"),
+    ]
+    d = requests.select("req_id", "street_id").join(middle, "street_id")
+    for s in steps:
+        d = d.join(s, "req_id", "left")
+    last = F.struct("lng", "lat", street.alias("precision"), F.lit(None).cast("boolean").alias("tight"), F.lit("").alias("note"))
+    d = d.select("req_id", F.coalesce(*"abcdefg", last).alias("p"), (F.col("span") <= SPAN_M).alias("short"))
+    return d.select("req_id", "p.lng", "p.lat", "p.precision", F.coalesce("p.tight", "short").alias("tight"), "p.note")
