@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text as T
+from ..sources.shared import stored
 from . import locate as loc, resolve as res
 
 AREA_SCORE = 0.7
@@ -29,17 +30,20 @@ def geocode(read: DataFrame, streets: DataFrame, segments: DataFrame, anchors: D
     r = r.join(streets.select("ubigeo").union(areas.select("ubigeo")).distinct().withColumn("indexed", F.lit(True)), "ubigeo", "left")
     r = r.join(verified.select("address_hash", F.struct("lng", "lat", "method").alias("v")), "address_hash", "left")
     r = r.join(centroids.select("ubigeo", F.struct("lng", "lat").alias("centre")), "ubigeo", "left")
+    # The normalizer's reading and the candidates are built once; all that follows reads them several times.
+    r = stored(r, "geocode-requests")
     live = (F.col("ubigeo") != "") & F.coalesce("in_scope", F.lit(False))
     asked = r.where(live & F.col("v").isNull() & (F.col("req_key") != ""))
 
     found = res.candidates(asked, streets).withColumn("best", F.max("score").over(Window.partitionBy("req_id"))).where(F.col("score") >= F.col("best") - res.BAND).drop("best")
     pairs = found.join(asked.select("req_id", "num", "near_lng", "near_lat"), "req_id").withColumn("pair", F.concat_ws("|", "req_id", "street_id"))
+    pairs = stored(pairs, "geocode-pairs")
     places = pairs.select(F.col("pair").alias("req_id"), "street_id", "num", "near_lng", "near_lat")
     at = loc.on_street(places, segments, anchors, crossings, marks, hints).select(F.col("req_id").alias("pair"), F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
     off = loc.nearest_of_street(places, segments).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
     doors = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"))
     full = pairs.join(at, "pair").join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name"), "street_id").join(doors, "street_id", "left")
-    full = full.withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0))).withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
+    full = stored(full, "geocode-places").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0))).withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
     chosen = res.pick(full.select("req_id", "street_id", "key", "score", "n_anchors", "covers", "area_m"))
     hit = chosen.join(full.select("req_id", "street_id", "match", "score", "at", F.trim(F.concat_ws(" ", "type", "name")).alias("street")), ["req_id", "street_id"])
 

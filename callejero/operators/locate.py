@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.shared import stored
 
 MAX_GAP, MAX_GAP_M, TIGHT_GAP, TIGHT_M, CLAMP, SAME_M = 400, 1500, 40, 250, 30, 50
 LEAST_BLOCK_M, SPREAD, MARK_VOTES, SURE_BLOCKS = 25, 8, 1000, 1
@@ -60,11 +61,11 @@ def rates(anchors: DataFrame) -> DataFrame:
 
 
 def extrapolate(requests: DataFrame, anchors: DataFrame) -> DataFrame:
-    """req_id, chainage: from the nearest number (ties: the lower) at the street's rate, up to FARTHEST numbers off."""
+    """req_id, street_id, num, chainage: from the nearest number (ties: the lower) at the street's rate, up to FARTHEST numbers off."""
     j = requests.join(anchors, "street_id").join(rates(anchors), "street_id")
     off = F.abs(F.col("number") - F.col("num"))
-    g = j.groupBy("req_id", "num", "rate").agg(F.min_by(F.struct("number", "chainage"), F.struct(off, "number", "chainage")).alias("n"))
-    return g.where(F.abs(F.col("n.number") - F.col("num")) <= FARTHEST).select("req_id", (F.col("n.chainage") + F.col("rate") * (F.col("num") - F.col("n.number"))).alias("chainage"))
+    g = j.groupBy("req_id", "street_id", "num", "rate").agg(F.min_by(F.struct("number", "chainage"), F.struct(off, "number", "chainage")).alias("n"))
+    return g.where(F.abs(F.col("n.number") - F.col("num")) <= FARTHEST).select("req_id", "street_id", "num", (F.col("n.chainage") + F.col("rate") * (F.col("num") - F.col("n.number"))).alias("chainage"))
 
 
 class Blocks:
@@ -141,7 +142,7 @@ class Blocks:
 
 
 def place_by_blocks(requests: DataFrame, anchors: DataFrame, cuts: DataFrame, marks: DataFrame, extents: DataFrame) -> DataFrame:
-    """req_id, street_id, chainage, sure: numbers placed by their street's block model.
+    """req_id, street_id, num, chainage, sure: numbers placed by their street's block model.
 
     A street's data are gathered as arrays by plain aggregations and the model is built once per
     street and batch; nothing beyond one street is held at a time.
@@ -161,10 +162,10 @@ def place_by_blocks(requests: DataFrame, anchors: DataFrame, cuts: DataFrame, ma
                     blocks = Blocks(s["lo"], s["hi"], [float(c) for c in rows["cut"]], a, m)
                     for q in s["asked"]:
                         if found := blocks.place(int(q["num"])):
-                            out.append((q["req_id"], s["street_id"], *found))
-            yield pd.DataFrame(out, columns=["req_id", "street_id", "chainage", "sure"])
+                            out.append((q["req_id"], s["street_id"], int(q["num"]), *found))
+            yield pd.DataFrame(out, columns=["req_id", "street_id", "num", "chainage", "sure"])
 
-    return street.join(asked, "street_id").mapInPandas(run, f"req_id {requests.schema['req_id'].dataType.simpleString()}, street_id long, chainage double, sure boolean")
+    return street.join(asked, "street_id").mapInPandas(run, f"req_id {requests.schema['req_id'].dataType.simpleString()}, street_id long, num int, chainage double, sure boolean")
 
 
 # -- from the axis to the map ----------------------------------------------------
@@ -184,35 +185,34 @@ def chained(points: DataFrame, axis: DataFrame) -> DataFrame:
     return points.join(axis, "street_id").select(*columns, geo.on_axis(F.col("lng"), F.col("lat"))[0].alias("chainage"))
 
 
-def points_at(found: DataFrame, segments: DataFrame, axis: DataFrame) -> DataFrame:
-    """req_id, lng, lat: the street's point at a chainage, which is first cut to the street's extent; from (req_id, street_id, chainage)."""
+def points_at(found: DataFrame, segments: DataFrame, axis: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """req_id, ``keep``, lng, lat: the street's point at a chainage, which is first cut to the street's extent; from (req_id, street_id, chainage)."""
     j = found.join(axis, "street_id").join(segments, "street_id")
     c = F.greatest("lo", F.least("hi", "chainage"))
     c0, c1 = geo.on_axis(F.col("lng0"), F.col("lat0"))[0], geo.on_axis(F.col("lng1"), F.col("lat1"))[0]
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(c - c0, c1 - c0), F.lit(0.0))))
     off = F.round(F.abs(c - (c0 + t * (c1 - c0))), 6)
     at = F.struct((F.col("lng0") + t * (F.col("lng1") - F.col("lng0"))).alias("lng"), (F.col("lat0") + t * (F.col("lat1") - F.col("lat0"))).alias("lat"))
-    return j.groupBy("req_id").agg(F.min_by(at, F.struct(off, "line_id", "seg")).alias("p")).select("req_id", "p.lng", "p.lat")
+    return j.groupBy("req_id", *keep).agg(F.min_by(at, F.struct(off, "line_id", "seg")).alias("p")).select("req_id", *keep, "p.lng", "p.lat")
 
 
 def side_offsets(anchors: DataFrame, segments: DataFrame, axis: DataFrame) -> DataFrame:
     """street_id, side, offset: the upper median of how far doors of one side stand off the street, within SIDE_M."""
-    key = ("street_id", "number", "lng", "lat")
-    a = chained(anchors.select(*key), axis)
-    on = points_at(a.select(F.struct(*key).alias("req_id"), "street_id", "chainage"), segments, axis).withColumnsRenamed({"lng": "q_lng", "lat": "q_lat"})
-    d = a.select(*key, F.struct(*key).alias("req_id")).join(on, "req_id").join(axis, "street_id")
-    across = geo.on_axis(F.col("lng"), F.col("lat"))[1] - geo.on_axis(F.col("q_lng"), F.col("q_lat"))[1]
+    a = chained(anchors.select("street_id", "number", "lng", "lat"), axis).select("street_id", "number", F.col("lng").alias("a_lng"), F.col("lat").alias("a_lat"), "chainage")
+    keep = ("street_id", "number", "a_lng", "a_lat")
+    d = points_at(a.withColumn("req_id", F.monotonically_increasing_id()), segments, axis, keep).join(axis, "street_id")
+    across = geo.on_axis(F.col("a_lng"), F.col("a_lat"))[1] - geo.on_axis(F.col("lng"), F.col("lat"))[1]
     g = d.select("street_id", (F.col("number") % 2).alias("side"), across.alias("off")).groupBy("street_id", "side").agg(F.sort_array(F.collect_list("off")).alias("offs"))
     return g.select("street_id", "side", F.greatest(F.lit(-float(SIDE_M)), F.least(F.lit(float(SIDE_M)), F.element_at("offs", F.floor(F.size("offs") / 2).cast("int") + 1))).alias("offset"))
 
 
-def to_side(found: DataFrame, segments: DataFrame, axis: DataFrame, offsets: DataFrame) -> DataFrame:
-    """req_id, lng, lat of (req_id, street_id, num, chainage), on the side of the number; on the axis where no anchor tells the side."""
-    at = points_at(found.select("req_id", "street_id", "chainage"), segments, axis)
-    d = at.join(found.select("req_id", "street_id", (F.col("num") % 2).alias("side")), "req_id").join(axis, "street_id").join(offsets, ["street_id", "side"], "left")
+def to_side(found: DataFrame, segments: DataFrame, axis: DataFrame, offsets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """req_id, ``keep``, lng, lat of (req_id, street_id, num, chainage), on the side of the number; on the axis where no anchor tells the side."""
+    at = points_at(found, segments, axis, ("street_id", "num", *keep)).withColumn("side", F.col("num") % 2)
+    d = at.join(axis, "street_id").join(offsets, ["street_id", "side"], "left")
     metre = 180 / math.pi / geo.RADIUS
     off = F.coalesce("offset", F.lit(0.0)) * metre
-    return d.select("req_id", (F.col("lng") - F.sin("angle") * off / F.cos(F.radians("my"))).alias("lng"), (F.col("lat") + F.cos("angle") * off).alias("lat"))
+    return d.select("req_id", *keep, (F.col("lng") - F.sin("angle") * off / F.cos(F.radians("my"))).alias("lng"), (F.col("lat") + F.cos("angle") * off).alias("lat"))
 
 
 def middle_points(segments: DataFrame) -> DataFrame:
@@ -266,33 +266,33 @@ def on_street(requests: DataFrame, segments: DataFrame, anchors: DataFrame, cros
     ``requests`` holds (req_id, street_id, num, near_lng, near_lat), of which the last three may be
     null. In order: anchors of the number's side, the block model, anchors of any side, the blocks
     that parallel streets imply, extrapolation, the point nearest to a named area, the middle.
-    Each step is set-based; the first that has an answer counts.
+    Each step is set-based; the first that has an answer counts. Tables of streets that several
+    steps read are built once and stored; ``requests`` is read by every step, so store it too if
+    it is costly.
     """
-    axis, middle = frames(segments), middle_points(segments)
+    axis, middle, hints = stored(frames(segments), "street-axes"), middle_points(segments), stored(hints, "street-hints")
     asked = requests.where("num IS NOT NULL").select("req_id", "street_id", "num")
     cuts = chained(crossings.select("street_id", "lng", "lat"), axis).select("street_id", F.col("chainage").alias("cut"))
+    cuts = stored(cuts, "street-cuts")
     marked = chained(marks.select("street_id", "hundred", "lng", "lat"), axis).select("street_id", "hundred", "chainage")
-    extents, offsets = axis.select("street_id", "lo", "hi"), side_offsets(anchors, segments, axis)
+    extents, offsets = axis.select("street_id", "lo", "hi"), stored(side_offsets(anchors, segments, axis), "street-sides")
     chain = lambda a: chained(a.select("street_id", "number", "lng", "lat"), axis).select("street_id", "number", "chainage")
 
     def blocks(r: DataFrame, a: DataFrame, shift: DataFrame) -> DataFrame:
-        found = place_by_blocks(r, chain(a), cuts, marked, extents)
-        at = to_side(found.join(asked.select("req_id", "num"), "req_id"), segments, axis, shift)
-        return at.join(found.select("req_id", "sure"), "req_id")
+        return to_side(place_by_blocks(r, chain(a), cuts, marked, extents), segments, axis, shift, ("sure",))
 
-    def named(df: DataFrame, step: str, precision: Column, tight: Column | None, note: str) -> DataFrame:
-        return df.select("req_id", F.struct("lng", "lat", precision.alias("precision"), (F.lit(None).cast("boolean") if tight is None else tight).alias("tight"), F.lit(note).alias("note")).alias(step))
+    def named(df: DataFrame, step: str, precision: Column, tight: Column | None, note: Column | str) -> DataFrame:
+        return df.select("req_id", F.struct("lng", "lat", precision.alias("precision"), (F.lit(None).cast("boolean") if tight is None else tight).alias("tight"), (F.lit(note) if isinstance(note, str) else note).alias("note")).alias(step))
 
     street = F.lit("STREET")
     own, other = interpolate(asked, anchors), interpolate(asked, anchors, same_side=False)
     by_block = blocks(asked, anchors, offsets)
     lent = blocks(asked.join(hints.select("street_id").distinct(), "street_id", "left_semi").select("req_id", "street_id", "num"), hints, side_offsets(hints, segments, axis))
-    far = extrapolate(asked, chain(anchors)).join(asked, "req_id")
+    far = extrapolate(asked, chain(anchors))
     area = nearest_of_street(requests, segments).where(F.col("metres") <= AREA_M)
     steps = [
         named(own, "a", F.col("precision"), F.col("tight"), ""),
-        named(by_block.where("sure"), "b", F.lit("SEGMENT_INTERPOLATED"), F.lit(False), "BLOCK_RANGE"),
-        named(by_block.where("NOT sure"), "c", street, None, "BLOCK_SEQUENCE_FAR"),
+        named(by_block, "b", F.when(F.col("sure"), "SEGMENT_INTERPOLATED").otherwise("STREET"), F.when(F.col("sure"), False), F.when(F.col("sure"), "BLOCK_RANGE").otherwise("BLOCK_SEQUENCE_FAR")),
         named(other, "d", F.col("precision"), F.lit(False), ""),
         named(lent, "e", street, None, "PARALLEL_BLOCKS"),
         named(to_side(far, segments, axis, offsets), "f", street, F.lit(False), "EXTRAPOLATED_FROM_ANCHORS"),
@@ -302,5 +302,5 @@ def on_street(requests: DataFrame, segments: DataFrame, anchors: DataFrame, cros
     for s in steps:
         d = d.join(s, "req_id", "left")
     last = F.struct("lng", "lat", street.alias("precision"), F.lit(None).cast("boolean").alias("tight"), F.lit("").alias("note"))
-    d = d.select("req_id", F.coalesce(*"abcdefg", last).alias("p"), (F.col("span") <= SPAN_M).alias("short"))
+    d = d.select("req_id", F.coalesce(*"abdefg", last).alias("p"), (F.col("span") <= SPAN_M).alias("short"))
     return d.select("req_id", "p.lng", "p.lat", "p.precision", F.coalesce("p.tight", "short").alias("tight"), "p.note")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 THRESHOLDS = {"ADDRESS_POINT": 50, "SEGMENT_INTERPOLATED": 50, "STREET": 150, "ZONE": 300, "DISTRICT": 300}
 
 
@@ -106,3 +108,8 @@ def worst_groups(rows: DataFrame, by: str, right: Column, k: int = 10) -> DataFr
 def prometheus(histogram: DataFrame, name: str) -> DataFrame:
     """Text lines of a cumulative histogram (route, le, n)."""
     return histogram.select(F.format_string(name + '_bucket{route="%s",le="%d"} %d', "route", "le", "n").alias("line"))
+
+
+def profile(rows: DataFrame, parts: dict[str, Column], expected: Column, got: Column) -> DataFrame:
+    """shape (names of the parts that are there), compared, n."""
+    return rows.groupBy(T.shape(parts).alias("shape"), T.compared(expected, got).alias("compared")).agg(F.count("*").alias("n"))

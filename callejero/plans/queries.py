@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text as T
 from ..operators import catalog as cat, gazetteer as gaz, locate as loc, normalize as norm, resolve as res, review as rev, synth, truth
+from ..operators.geocode import geocode
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,7 +298,7 @@ n AS (SELECT r.req_id, r.num, c.number, c.chainage, CASE WHEN s < 0 THEN -1 ELSE
 SELECT req_id, round(chainage + rate * (num - number), 2) AS chainage FROM n WHERE k = 1 AND abs(number - num) <= 600""")
 def anchor_extrapolate(spark, sf_dir):
     X.view(spark, sf_dir, "anchor").createOrReplaceTempView("anchor")
-    return loc.extrapolate(X.view(spark, sf_dir, "request").select("req_id", "street_id", "num"), spark.sql(CHAINED)).withColumn("chainage", F.round("chainage", 2))
+    return loc.extrapolate(X.view(spark, sf_dir, "request").select("req_id", "street_id", "num"), spark.sql(CHAINED)).select("req_id", F.round("chainage", 2).alias("chainage"))
 
 
 @query()
@@ -308,7 +309,7 @@ def block_locate(spark, sf_dir):
     cuts = streets.select("street_id", F.explode(F.array(*[F.lit(100.0 * i) for i in range(1, 9)])).alias("cut"))
     marks = streets.where("street_id % 9 = 0").select("street_id", F.lit(3).alias("hundred"), F.lit(350.0).alias("chainage"))
     extents = streets.select("street_id", F.lit(0.0).alias("lo"), F.lit(900.0).alias("hi"))
-    return loc.place_by_blocks(X.view(spark, sf_dir, "request").select("req_id", "street_id", "num"), a, cuts, marks, extents).withColumn("chainage", F.round("chainage", 4))
+    return loc.place_by_blocks(X.view(spark, sf_dir, "request").select("req_id", "street_id", "num"), a, cuts, marks, extents).select("req_id", "street_id", F.round("chainage", 4).alias("chainage"), "sure")
 
 
 # -- truth -----------------------------------------------------------------------
@@ -427,9 +428,12 @@ def normalize_components(spark, sf_dir):
     return _normalized(spark, sf_dir).select("req_id", "street_type", "street_name", "number", "interior", "block", "lot", "loc_ubigeo")
 
 
-@query()
+@query(X.sql("request") + f""", w AS (SELECT *, CASE req_id % 4 WHEN 0 THEN 'AVENIDA' WHEN 1 THEN 'JIRON' WHEN 2 THEN 'CALLE' END AS type, CASE req_id % 4 WHEN 0 THEN '' || num WHEN 1 THEN '' || num WHEN 3 THEN 'S/N' END AS door, CASE WHEN req_id % 4 = 2 THEN chr(CAST(65 + num % 26 AS INT)) END AS b FROM request)
+SELECT req_id, concat_ws(' ', type, req_key, door, 'MZ ' || b, 'LT ' || CASE WHEN b IS NOT NULL THEN num % 40 END, CASE WHEN door = 'S/N' THEN 'DPTO 30' || num % 10 END) AS normalized, concat_ws('|', type, req_key, door, 'MZ:' || b, 'LT:' || CASE WHEN b IS NOT NULL THEN num % 40 END) AS match_key,
+concat_ws('|', type, {X.sounded('req_key')}, door, 'MZ:' || b, 'LT:' || CASE WHEN b IS NOT NULL THEN num % 40 END) AS phonetic_key, CASE req_id % 4 WHEN 2 THEN 'DISTRICT_BY_ACTIVE_ZONE' WHEN 3 THEN 'LOCATION_UNKNOWN;NO_STREET_TYPE;NO_NUMBER' ELSE 'ABBREVIATION_EXPANDED' END AS flags,
+CASE req_id % 4 WHEN 3 THEN 'NONE' ELSE 'TEXT' END AS loc_source, CASE req_id % 4 WHEN 3 THEN '' ELSE 'LIMA_METRO' END AS zone, req_id % 4 <> 3 AS in_scope FROM w""")
 def normalize_keys(spark, sf_dir):
-    return _normalized(spark, sf_dir).select("req_id", "normalized", "match_key", "phonetic_key", "flags", "loc_source", "zone", "in_scope")
+    return _normalized(spark, sf_dir).select("req_id", "normalized", "match_key", "phonetic_key", F.array_join("flags", ";").alias("flags"), "loc_source", "zone", "in_scope")
 
 
 @query(X.sql("request") + "SELECT count(*) AS n, count(*) AS same FROM request")
@@ -441,21 +445,18 @@ def normalize_idempotence(spark, sf_dir):
 
 @query()
 def geocode_full(spark, sf_dir):
-    """Normalize, match, locate and decide every request."""
-    n = _normalized(spark, sf_dir)
-    r = n.select("req_id", F.col("loc_ubigeo").alias("ubigeo"), F.col("street_type").alias("req_type"), T.key(F.col("street_name")).alias("req_key"), T.phonetic(F.col("street_name")).alias("req_phon"), T.house_number(F.col("number")).alias("num"), "flags", "in_scope", "zone")
-    s = X.view(spark, sf_dir, "street").select("street_id", "ubigeo", "type", "name", "key", F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("promoted"))
-    a = X.view(spark, sf_dir, "anchor")
-    c = res.candidates(r, s)
-    at = loc.interpolate(c.join(r.select("req_id", "num"), "req_id").where("num IS NOT NULL").select(F.concat_ws("|", "req_id", "street_id").alias("req_id"), "street_id", "num"), a)
-    at = at.withColumnRenamed("req_id", "pair")
-    full = c.withColumn("pair", F.concat_ws("|", "req_id", "street_id")).join(at, "pair", "left").join(s.select("street_id", "key"), "street_id").join(a.groupBy("street_id").agg(F.count("*").alias("n_anchors")), "street_id", "left")
-    full = full.withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
-    chosen = res.pick(full.select("req_id", "street_id", "key", "score", "n_anchors", F.col("precision").isNotNull().alias("covers"), F.lit(None).cast("double").alias("area_m")))
-    out = r.join(chosen, "req_id", "left").join(full.select("req_id", "street_id", "match", "score", "lng", "lat", "precision", "tight"), ["req_id", "street_id"], "left")
-    precision, tight = F.coalesce("precision", F.lit("STREET")), F.coalesce("tight", F.lit(False))
-    decision = F.when(F.col("ubigeo") == "", "REVIEW").when(~F.col("in_scope"), "REJECT").otherwise(F.coalesce(res.decide(F.col("flags"), F.coalesce("ambiguous", F.lit(False)), precision, tight, F.coalesce("match", F.lit("")), F.coalesce("score", F.lit(0.0))), F.lit("REVIEW")))
-    return out.select("req_id", "ubigeo", "street_id", "match", F.round("score", 3).alias("score"), F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), precision.alias("precision"), decision.alias("decision"), res.status_of(decision, F.col("lng").isNotNull()).alias("status"))
+    """Normalize, match, locate and decide every request, with all of a gazetteer's tables."""
+    s, a = X.view(spark, sf_dir, "street"), X.view(spark, sf_dir, "anchor")
+    one = lambda cond: F.when(cond, F.array("alias")).otherwise(F.array().cast("array<string>"))
+    streets = s.select("street_id", "ubigeo", "type", "name", "key", one(F.col("alias") != "").alias("aliases"), one((F.col("alias") != "") & F.col("promoted")).alias("promoted"))
+    segments = s.select("street_id", F.lit(0).alias("line_id"), F.lit(0).alias("seg"), *loc.SEGMENT)
+    ends = s.select("street_id", "key", F.inline(F.array(*[F.struct(F.round(f"lng{i}", 3).alias("lng"), F.round(f"lat{i}", 3).alias("lat")) for i in (0, 1)])))
+    marks = s.where("street_id % 9 = 0").select("street_id", F.lit(3).alias("hundred"), F.col("lng0").alias("lng"), F.col("lat0").alias("lat"))
+    areas = s.groupBy("ubigeo", F.col("name").alias("key")).agg(F.min_by(F.struct(F.col("lng0").alias("lng"), F.col("lat0").alias("lat")), "street_id").alias("p")).select("ubigeo", "key", "p.*")
+    verified = spark.createDataFrame([("AVENIDA|LOS SAUCES|1", "150116", -77.03, -12.08, "gps")], "k string, u string, lng double, lat double, method string").select(T.address_hash(F.col("k"), F.col("u")).alias("address_hash"), "lng", "lat", "method")
+    centroids = s.groupBy("ubigeo").agg(F.avg("lng0").alias("lng"), F.avg("lat0").alias("lat"))
+    d = geocode(_normalized(spark, sf_dir), streets, segments, a, gaz.crossings(ends), marks, loc.parallel_hints(segments, a), areas, verified, centroids)
+    return d.withColumn("lng", F.round("lng", 6)).withColumn("lat", F.round("lat", 6))
 
 
 @query("WITH n AS (SELECT * FROM (VALUES ('SAN JUAN DE MIRAFLORES', '150133', false), ('SAN JUAN DE LURIGANCHO', '150132', false), ('PUEBLO LIBRE MAGDALENA', '150121', false)) v(key, code, weak)), f AS (SELECT c_custkey AS req_id, CASE c_custkey % 3 WHEN 0 THEN 'SAN JUAN DE MIRAFLOR' WHEN 1 THEN 'SAN JUAN DE' ELSE 'PUEBLO LIBRE MAGDALENA VIEJA' END AS key FROM customer) SELECT req_id, f.key, code FROM f JOIN n ON length(f.key) >= 12 AND (starts_with(f.key, n.key) OR starts_with(n.key, f.key))")
