@@ -27,3 +27,15 @@ CONNECTORS = "DE DEL LA LAS LOS EL Y"
 GROUPING = "ETAPA SECTOR ZONA GRUPO"
 UNITS_THAT_MAY_BE_WORDS = "TORRE CASA TDA LOCAL SOTANO STAND"
 VERSION = "callejero/1 lexicon/0.4.0"
+#: Markers that may open the name of an area on a map, and what each stands for.
+AREA_MARKERS = {
+    "ASENTAMIENTO HUMANO": "ASENTAMIENTO HUMANO", "PUEBLO JOVEN": "PUEBLO JOVEN", "URBANIZACION": "URBANIZACION", "URB": "URBANIZACION", "AH": "ASENTAMIENTO HUMANO",
+    "AAHH": "ASENTAMIENTO HUMANO", "COOPERATIVA": "COOPERATIVA", "ASOCIACION": "ASOCIACION", "RESIDENCIAL": "RESIDENCIAL", "CONDOMINIO": "CONDOMINIO", "SECTOR": "SECTOR",
+    "ZONA": "ZONA", "GRUPO": "GRUPO",
+}
+#: Words that change how an address is read if an area's name holds them (beside reference markers and street types).
+NOT_IN_AREA_NAMES = (
+    "MZ MZA MANZ MANZANA MZNA LT LTE LOTE INT INTERIOR DPTO DEPTO DEP DEPARTAMENTO OF OFIC OFICINA PISO TDA TIENDA STAND PUESTO "
+    "AV JR CL CLL PSJE PJE NRO SN S N URB ASOC COOP COND RES AAHH AH PJ"
+)
+ORDINAL_ENDINGS = "RA ERA ER DA DO TA TO MA VA NA AVO"

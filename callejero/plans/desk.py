@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..data import lexicon
 from ..functions import geo, text as T
 from ..operators import desk, gazetteer as gaz, locate as loc, review as rev, synth
 from ..sources import files
@@ -238,6 +239,37 @@ def point_cleaning(spark, sf_dir):
     return synth.clean_points(spark.sql(POINTS))
 
 
+#: Names of areas as maps have them, the catalog's place names, and names of districts by code.
+AREA_NAMES = (
+    "Urb. Los Álamos", "Urb.Los Olivos", "AA.HH. Nueva Vida", "Asentamiento Humano Señor de los Milagros", "Sector Lote 5", "Breña", "Unidad La Perla", "Villa Tercera Etapa", "Zona 3ra (alta)",
+    "Residencial 2da Quinta Heren", "Parque Central", "Grupo", "Conjunto de La Perla", "Pueblo Joven A. H. Unidos", "urbanización los  álamos",
+)
+PLACES = ("BRENA", "LIMA", "LA PERLA", "CALLAO")
+OWN_NAMES = (("070104", "LA PERLA"), ("070104", "PERLA ALTA"), ("150105", "BRENA"), ("150105", "HEREN"))
+AREAS = f"SELECT c_custkey AS area_id, {X.choose('c_custkey', AREA_NAMES)} || CASE WHEN c_custkey % 4 = 1 THEN ' ' || CAST(c_custkey % 90 AS VARCHAR(10)) ELSE '' END AS name, CASE floor(c_custkey / 15) % 2 WHEN 0 THEN '070104' ELSE '150105' END AS ubigeo, CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 1 END AS n_districts FROM customer"
+_listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_cases = lambda of, pairs: f"CASE {of} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in pairs.items()) + " END"
+
+
+@query(f"""WITH d AS (SELECT *, trim(regexp_replace(regexp_replace({X.folded('name', True)}, '[^A-Z0-9Ñ ]', ' ', 'g'), '\\s+', ' ', 'g')) AS shown, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS written FROM ({AREAS})),
+e AS (SELECT *, regexp_extract(translate(shown, 'Ñ', 'N'), '^({'|'.join(lexicon.AREA_MARKERS)}) ', 1) AS opened FROM d),
+f AS (SELECT *, substr(shown, CASE opened WHEN '' THEN 1 ELSE length(opened) + 2 END) AS rest, coalesce({_cases('opened', lexicon.AREA_MARKERS)}, 'URBANIZACION') AS marker,
+ array_to_string(string_split(written, ' ')[CASE opened WHEN '' THEN 1 ELSE len(string_split(opened, ' ')) + 1 END:], ' ') AS kept FROM e),
+g AS (SELECT *, string_split(rest, ' ') AS w, translate(rest, 'Ñ', 'N') AS key, string_split(translate(rest, 'Ñ', 'N'), ' ') AS k FROM f),
+o AS (SELECT g.area_id, bool_or(len(list_filter(range(2, len(k) + 1), lambda j: k[j - 1] NOT IN ('DE', 'DEL', 'LA', 'LAS', 'LOS', 'EL', 'Y') AND starts_with(array_to_string(k[j:], ' ') || ' ', v.n || ' '))) > 0) AS own
+ FROM g LEFT JOIN (VALUES {', '.join(map(str, OWN_NAMES))}) v(u, n) ON v.u = g.ubigeo GROUP BY g.area_id),
+h AS (SELECT area_id, ubigeo, marker, kept AS name, marker || ' ' || array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]+({lexicon.ORDINAL_ENDINGS.replace(' ', '|')})$') THEN regexp_extract(x, '^[0-9]+')
+  WHEN w[i + 1] IN ('ETAPA', 'SECTOR', 'ZONA', 'GRUPO') THEN coalesce({_cases('x', lexicon.ORDINALS)}, x) ELSE x END), ' ') AS expected,
+ CASE WHEN len(string_split(written, ' ')) <> len(string_split(shown, ' ')) OR written LIKE '%(%' OR written LIKE '%)%' OR ' ' || shown || ' ' LIKE '% A H %' THEN 'puntuacion_ambigua'
+  WHEN list_has_any(k, {_listed([*lexicon.NOT_IN_AREA_NAMES.split(), *lexicon.REFERENCE_MARKERS.split(), *lexicon.STREET_TYPES])}) THEN 'palabra_que_cambia_el_parseo'
+  WHEN key IN {PLACES} THEN 'nombre_de_distrito' WHEN n_districts <> 1 THEN 'fuera_o_en_borde' WHEN own THEN 'nombre_con_su_distrito' ELSE '' END AS reason FROM g JOIN o USING (area_id))
+SELECT area_id, CASE reason WHEN '' THEN marker END AS marker, CASE reason WHEN '' THEN name END AS name, CASE reason WHEN '' THEN expected END AS expected, CASE WHEN reason = '' AND row_number() OVER (PARTITION BY ubigeo, expected, reason ORDER BY area_id) > 1 THEN 'duplicado' ELSE reason END AS reason FROM h""")
+def area_cleaning(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    names, own = spark.createDataFrame([(p,) for p in PLACES], "key string"), spark.createDataFrame(list(OWN_NAMES), "ubigeo string, key string")
+    return synth.clean_areas(spark.sql(AREAS), names, own)
+
+
 @query(X.sql("request") + "SELECT req_id FROM (SELECT req_id, row_number() OVER (PARTITION BY ubigeo ORDER BY md5('1|' || req_id)) AS k FROM request) WHERE k <= 15")
 def area_sample(spark, sf_dir):
     return synth.sampled_areas(X.view(spark, sf_dir, "request").withColumnRenamed("req_id", "area_id")).select(F.col("area_id").alias("req_id"))

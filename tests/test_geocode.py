@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callejero.functions import text as T
-from callejero.operators import locate as loc
+from callejero.operators import locate as loc, synth
 from callejero.operators.geocode import geocode
 from callejero.operators.normalize import normalize
 
@@ -114,3 +114,25 @@ def test_side_of_the_street(spark):
     anchors = [(2, 100, -77.049, -12.0699), (2, 300, -77.045, -12.0699), (2, 101, -77.0489, -12.0701)]
     r = place(spark, 340, anchors=anchors)
     assert r.note == "EXTRAPOLATED_FROM_ANCHORS" and abs(r.lat + 12.0699) < 1e-6
+
+
+def test_clean_areas(spark):
+    names = spark.createDataFrame([("BRENA",)], "key string")
+    own = spark.createDataFrame([("070104", "LA PERLA")], "ubigeo string, key string")
+    rows = [
+        (1, "Urb. Los Ñandúes", "070104", 1), (2, "Los Ñandúes", "070104", 1), (3, "Urb.Los Ñandúes", "070104", 1), (4, "Breña", "070104", 1), (5, "Unidad La Perla", "070104", 1),
+        (6, "Villa de La Perla", "070104", 1), (7, "Pueblo Joven Tercera Etapa", "070104", 1), (8, "Quinta Heren", "070104", 2), (9, "Casa Lote 3", "070104", 1), (10, None, None, 1), (11, "Urb. 3ra Quinta", None, None),
+        (1, "Urb. Los Ñandúes", "070104", 1), (12, "x" * 100_000, "070104", 1),
+    ]
+    got = synth.clean_areas(spark.createDataFrame(rows, "area_id int, name string, ubigeo string, n_districts int"), names, own).collect()
+    assert len(got) == len(rows)
+    reasons = {r.area_id: r.reason for r in got}
+    assert reasons == {
+        1: "", 2: "duplicado", 3: "puntuacion_ambigua", 4: "nombre_de_distrito", 5: "nombre_con_su_distrito", 6: "", 7: "", 8: "fuera_o_en_borde", 9: "palabra_que_cambia_el_parseo", 10: "", 11: "fuera_o_en_borde", 12: "",
+    }
+    by = {r.area_id: (r.marker, r.name, r.expected) for r in got}
+    assert by[1] == ("URBANIZACION", "Los Ñandúes", "URBANIZACION LOS ÑANDUES")
+    assert by[7] == ("PUEBLO JOVEN", "Tercera Etapa", "PUEBLO JOVEN 3 ETAPA")
+    assert by[3] == (None, None, None)
+    none = spark.createDataFrame([], "area_id int, name string, ubigeo string, n_districts int")
+    assert synth.clean_areas(none, names.limit(0), own.limit(0)).count() == 0
