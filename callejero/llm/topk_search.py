@@ -11,7 +11,8 @@ below it drop the rest, and only survivors get exact scores. The bounds never dr
 
 Queries and candidates are dealt in blocks of at most ``BLOCK`` rows on average; each pair of
 blocks is a task that returns k rows a query, which are merged in one more step. Blocks are by
-a hash of the row, so copies of one vector spread like any others.
+a hash of the row and its stored number, so copies of one vector spread like any others, and all
+copies of a row that a deal makes carry the same block number.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; an
 empty vector scores 0; only vectors of one length are compared; rows whose id repeats are rows of
@@ -96,10 +97,11 @@ def best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k:
 
 def top_k(vectors: DataFrame, k: int = K, modulus: int = QUERY_MODULUS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``modulus`` its k best other rows."""
-    rows = stored(usable(vectors), "search-vectors")
+    # The row's number is stored: worked out beside an explode it would differ between a row's copies.
+    rows = stored(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "search-vectors")
     n, n_queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % modulus == 0)).first()
     q_blocks, x_blocks = max(1, math.ceil(n_queries / BLOCK)), max(1, math.ceil(n / BLOCK))
-    at = lambda blocks: F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+    at = lambda blocks: F.pmod(F.xxhash64("vec_id", "v", "row"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries = rows.where(F.col("vec_id") % modulus == 0).select(F.lit(True).alias("asks"), "vec_id", "v", at(q_blocks).alias("qb"), every(x_blocks).alias("xb"))
     candidates = rows.select(F.lit(False).alias("asks"), "vec_id", "v", every(q_blocks).alias("qb"), at(x_blocks).alias("xb"))

@@ -188,6 +188,20 @@ def test_search(spark):
     assert got == want and topk_search.top_k(df.limit(0)).count() == 0
 
 
+def test_search_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(8)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for q in range(0, 900, 20):
+        hits = sorted((-sum(a * b for a, b in zip(whole[q], w)), j) for j, w in whole.items() if j != q)
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(hits[:20])]
+    monkeypatch.setattr(topk_search, "BLOCK", 16)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk_search.top_k(df).orderBy("query_id", "rank").collect()]
+    assert got == want
+
+
 def test_secret_scan(spark):
     text = 'see token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2" and commit 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b plus https://a.example.com/site-map-note-2024.html'
     docs = spark.createDataFrame([(1, text, "z"), (1, text, "z"), (2, None, "z"), (3, "", None)], "doc_id long, text string, score string")
