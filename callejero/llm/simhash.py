@@ -232,21 +232,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.lower(F.lpad(F.hex("_cj_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The first row of each ``root``, with all columns of ``docs``, from doc_id, ka, kb, root of every row."""
+    columns = docs.columns
+    text = text_of("text")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ka", "kb"))
+    kept = stored(grouped.groupBy("root").agg(best.alias("k")).select("k.ka", "k.kb"), "simhash-kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_cj_row"), F.xxhash64("doc_id", text).alias("ka"), F.xxhash64(text, "doc_id", F.lit(7)).alias("kb"))
+    first = rows.join(kept.hint("shuffle_hash"), ["ka", "kb"])
+    once = Window.partitionBy("ka", "kb").orderBy(F.lit(1))
+    first = first.withColumn("_cj_n", F.row_number().over(once)).where("_cj_n = 1")
+    return first.select(*[F.col(f"_cj_row.`{c}`").alias(c) for c in columns])
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the one of smallest id, and of rows that share that id one by text.
 
     Texts are fingerprinted, then only ids and fingerprints move; kept rows are found by an id's
     and text's hash. Rows equal in id and text count as one.
     """
-    columns = docs.columns
     text = text_of("text")
     keyed = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", text).alias("ka"), F.xxhash64(text, "doc_id", F.lit(7)).alias("kb"))
     prints = stored(fingerprints(keyed).select("doc_id", "ka", "kb", "_cj_fp"), "simhash-prints")
     d = prints.join(classes(prints), prints["_cj_fp"] == F.col("fp"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "ka", "kb"))
-    kept = stored(d.groupBy("root").agg(best.alias("k")).select("k.ka", "k.kb"), "simhash-kept")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_cj_row"), F.xxhash64("doc_id", text).alias("ka"), F.xxhash64(text, "doc_id", F.lit(7)).alias("kb"))
-    first = rows.join(kept.hint("shuffle_hash"), ["ka", "kb"])
-    once = Window.partitionBy("ka", "kb").orderBy(F.lit(1))
-    first = first.withColumn("_cj_n", F.row_number().over(once)).where("_cj_n = 1")
-    return first.select(*[F.col(f"_cj_row.`{c}`").alias(c) for c in columns])
+    return first_of_each(docs, d)

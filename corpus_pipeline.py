@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callejero.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from callejero.llm import bpe, line_dedup, mixing, near_copies, quality_rules, simhash
 from callejero.llm.common import stored, table
 from callejero.llm.queries import tokenizer_path
 
@@ -25,6 +25,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.near_dedup(docs)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_copies.near_dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -36,7 +40,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_rules", keep_good),
     ("line_dedup", drop_repeated_lines),
-    ("simhash_near_dedup", one_of_each_group),
+    ("near_dedup", one_of_near_copies),
     ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]

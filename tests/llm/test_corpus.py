@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from callejero.llm import bpe, hmm_lm, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, simhash, topk_search, warc
+from callejero.llm import bpe, hmm_lm, line_dedup, mixing, near_copies, quality_classifier, quality_rules, secret_scan, simhash, topk_search, warc
 from callejero.llm.queries import ORACLES, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -254,6 +254,48 @@ def test_anchors_lose_no_link(spark):
     assert [got[s] for s in signed] == brute_components(list(range(len(prints))), prints)
 
 
+def brute_similar(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("members", [4, 128])
+def test_near_copies(spark, monkeypatch, members):
+    rng = random.Random(9)
+    texts = ["", None, "one two", "One TWO"]
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))]
+        for _ in range(12):  # chains of copies, each with some words changed
+            texts.append(" ".join(words))
+            words = [f"c{rng.randrange(5000)}" if rng.random() < rng.choice([0.005, 0.02, 0.04]) else w for w in words]
+    rng.shuffle(texts)
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, root string")
+    got = sorted(r.doc_id for r in near_copies.near_dedup(df).collect())
+    assert got == sorted(set(brute_similar(texts))) and 12 < len(got) < 140
+
+
+def test_near_copies_odd(spark):
+    assert near_copies.near_dedup(empty(spark)).count() == 0
+    out = near_copies.near_dedup(odd(spark))
+    assert out.columns == odd(spark).columns and sorted(r.doc_id for r in out.collect()) == [1, 1, 2, 4]
+
+
+def test_pipeline_links_by_similarity(spark):
+    words = [f"w{i}" for i in range(300)]
+    copies = [" ".join("changed" if i % 60 == k else w for i, w in enumerate(words)) for k in range(1, 40, 6)]
+    assert brute_similar([" ".join(words), copies[0]]) == [0, 0] and len(set(brute_components([0, 1], [brute_fingerprint(" ".join(words)), brute_fingerprint(copies[0])]))) == 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(words), *copies])], "doc_id long, text string")
+    stage = corpus_pipeline.STAGES[2][1]
+    assert [r.doc_id for r in stage(spark, docs, SF).collect()] == [0]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     good = corpus_pipeline.keep_good(spark, docs, SF)
