@@ -7,10 +7,10 @@ A text is its words, lower-cased in A-Z, and one end token. Each token belongs t
     P(text) = P(classes of the text) * product of P(token | class)
 
 where a hidden Markov model gives the first factor and smoothed counts the second. The model is
-trained by Baum-Welch: every pass goes over all training documents, each task adds up its
-expected counts, and the sums over partitions give the next parameters (the counts are one array
-of fixed size per task). A first guess comes from some passes over ``WARM`` documents only; all
-later passes take all training documents. Scoring runs the scaled forward recursion over every
+trained by Baum-Welch: the first guess comes from the corpus-wide class counts, every pass goes over
+all training documents, each task adds up its expected counts, and the sums over partitions give
+the next parameters (the counts are one array of fixed size per task). Passes end when one raises
+the likelihood of the training documents by less than ``GAIN`` (log10 a token). Scoring runs the scaled forward recursion over every
 whole text, so its logarithm is the exact likelihood.
 
 Token counts cover all training documents and are summed before the shuffle. The ``KNOWN`` most
@@ -41,7 +41,8 @@ FOLDS, HELD_OUT = 5, 1
 OWN, HASHED = 1500, 256
 KNOWN = 65_536
 STATES = 6
-WARM, WARM_PASSES, PASSES = 2000, 8, 2
+#: The least gain of a pass, log10 likelihood a token.
+GAIN = 0.001
 #: Distinct tokens that a task holds before it passes their counts on, and documents per slice.
 HOLD, SLICE = 100_000, 256
 END = b""
@@ -165,8 +166,13 @@ def forward(model: Model, packed: Packed, keep: bool) -> tuple[np.ndarray, np.nd
 
 def expected(model: Model, packed: Packed) -> np.ndarray:
     """Expected counts of starts, moves and emissions over the sequences, flat."""
+    return expected_and_likelihood(model, packed)[0]
+
+
+def expected_and_likelihood(model: Model, packed: Packed) -> tuple[np.ndarray, float]:
+    """The same counts, and the sequences' log10 likelihood."""
     states = len(model.start)
-    _, scale, alpha = forward(model, packed, True)
+    likelihood, scale, alpha = forward(model, packed, True)
     emit = model.emit[packed.classes] / scale[:, None]
     beta = np.ones_like(emit)
     for t in range(len(packed.active) - 2, -1, -1):
@@ -179,32 +185,41 @@ def expected(model: Model, packed: Packed) -> np.ndarray:
     moves = model.move * (alpha[before].T @ (emit[later] * beta[later]))
     gamma = alpha * beta
     out = [gamma[:first].sum(0), moves.ravel(), np.stack([np.bincount(packed.classes, gamma[:, s], len(model.emit)) for s in range(states)], 1).ravel()]
-    return np.concatenate(out)
+    return np.concatenate(out), float(likelihood.sum())
 
 
 def unpack(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
 
 
-def improved(encoded: DataFrame, model: Model, base: np.ndarray) -> Model:
-    """One Baum-Welch pass over all of ``encoded``: partial counts by task, summed by Spark."""
+def improved(encoded: DataFrame, model: Model, base: np.ndarray) -> tuple[Model, float]:
+    """One Baum-Welch pass over all of ``encoded``: partial counts by task, summed by Spark. Also the log10 likelihood under ``model``."""
     held = encoded.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, total = Model(*held.value), None
         for batch in batches:
             for at in range(0, batch.num_rows, 2 * SLICE):
-                counts = expected(m, Packed(unpack(batch.column(0).slice(at, 2 * SLICE))))
+                counts = np.append(*expected_and_likelihood(m, Packed(unpack(batch.column(0).slice(at, 2 * SLICE)))))
                 total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["i", "v"])
 
     sums = encoded.select("classes").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     states = len(model.start)
-    counts = np.zeros(states + states * states + states * len(base))
+    counts = np.zeros(states + states * states + states * len(base) + 1)
     for r in sums.collect():  # states * (states + classes + 1) numbers
         counts[r["i"]] = r["v"]
-    return Model.of_counts(counts, base, states)
+    return Model.of_counts(counts[:-1], base, states), float(counts[-1])
+
+
+def trained(train: DataFrame, model: Model, base: np.ndarray, tokens: int, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """The model after passes over all of ``train`` until one gains too little, and the likelihood a token before each pass."""
+    reached: list[float] = []
+    while len(reached) < 2 or reached[-1] - reached[-2] >= gain:
+        model, likelihood = improved(train, model, base)
+        reached.append(likelihood / tokens)
+    return model, reached
 
 
 def encode(docs: DataFrame, own: dict[bytes, int], known: dict[bytes, tuple[float, float, int]]) -> DataFrame:
@@ -263,7 +278,7 @@ def class_log_likelihood(encoded: DataFrame, model: Model) -> DataFrame:
     return encoded.select("uid", "classes").mapInArrow(run, "uid long, hidden double")
 
 
-def score(docs: DataFrame, states: int = STATES, passes: int = PASSES, warm: int = WARM, warm_passes: int = WARM_PASSES) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     counts = stored(token_counts(docs.where(id_residue(FOLDS) != HELD_OUT)), "lm-counts")
     frequent = most_frequent(counts, KNOWN)
@@ -286,16 +301,10 @@ def score(docs: DataFrame, states: int = STATES, passes: int = PASSES, warm: int
     prior = (n_class + 0.5) / (n_class + 0.5).sum()
 
     encoded = stored(encode(docs, own, known), "lm-encoded")
-    train = encoded.where("NOT held_out").select("uid", "classes")
+    train = encoded.where("NOT held_out").select("classes")
     model = Model.first(states, prior)
     if total:
-        n_train = next((r["c"] for r in frequent if bytes(r["token"]) == END), 1)  # every text has one end
-        chance = F.pmod(F.xxhash64("uid"), F.lit(1 << 20)) / float(1 << 20)
-        first = stored(train.where(chance < warm / n_train), "lm-warm")
-        for _ in range(warm_passes):
-            model = improved(first, model, prior)
-        for _ in range(passes):
-            model = improved(train, model, prior)
+        model, _ = trained(train, model, prior, total, gain)
 
     smooth = docs.sparkSession.createDataFrame([(k, float(n_class[k]), float(v_class[k])) for k in range(CLASSES)], "class int, n double, v double")
     rest = encoded.select("uid", F.explode("rest").alias("r")).select("uid", "r.token", "r.tf")

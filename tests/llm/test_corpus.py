@@ -150,6 +150,25 @@ def test_language_model(spark):
     assert len(hmm_lm.score(odd(spark)).collect()) == 9 and hmm_lm.score(empty(spark)).count() == 0
 
 
+def test_language_model_trains_on_all(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n_train, seen, whole = sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for r in docs.select("doc_id").collect()), [], hmm_lm.improved
+
+    def watched(encoded, *rest):
+        out = whole(encoded, *rest)
+        seen.append((encoded.count(), out[1]))
+        return out
+
+    monkeypatch.setattr(hmm_lm, "improved", watched)
+    scores = [{r.doc_id: r.score for r in hmm_lm.score(d).collect()} for d in (docs, docs.repartition(7))]
+    assert {n for n, _ in seen} == {n_train}
+    half = [like for _, like in seen[: len(seen) // 2]]
+    tokens = hmm_lm.score(docs).first().train_tokens
+    gains = [(b - a) / tokens for a, b in zip(half, half[1:])]
+    assert gains[-1] < hmm_lm.GAIN and min(gains[:-1]) >= hmm_lm.GAIN
+    assert all(math.isclose(scores[0][d], scores[1][d], rel_tol=1e-6) for d in scores[0])
+
+
 def test_forward_and_counts():
     rng = np.random.default_rng(1)
     norm = lambda x: x / x.sum(-1, keepdims=True)
