@@ -18,6 +18,7 @@ all responses; line breaks in header values become spaces; other columns are ign
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -39,6 +40,8 @@ FIELDS = {
 }
 NUMBERS = {"page_id", "payload_bytes"}
 MANIFEST = "_manifest.json"
+LISTS = re.compile(r"_manifest(-[0-9a-f]{32})?\.json")
+PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 HEAD = 4096
@@ -74,6 +77,12 @@ def record(row: dict) -> bytes:
     return member(b"\r\n".join(lines) + b"\r\n\r\n", payload)
 
 
+def list_folder(filesystem, inner: str) -> list:
+    from pyarrow import fs
+
+    return filesystem.get_file_info(fs.FileSelector(inner, recursive=False))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     file: str
@@ -82,8 +91,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str, every: int) -> None:
-        self.path, self.every = path, every
+    def __init__(self, path: str, every: int, overwrite: bool = False) -> None:
+        self.path, self.every, self.overwrite = path, every, overwrite
 
     def write(self, iterator) -> Written:
         filesystem, inner = store(self.path)
@@ -100,8 +109,14 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages) -> None:
         filesystem, inner = store(self.path)
         filesystem.create_dir(inner, recursive=True)
-        with filesystem.open_output_stream(f"{inner}/{MANIFEST}", compression=None) as out:
+        old = list_folder(filesystem, inner) if self.overwrite else []
+        # One manifest a commit, so that an append leaves the earlier ones as they are.
+        with filesystem.open_output_stream(f"{inner}/{MANIFEST.replace('.', f'-{uuid.uuid4().hex}.')}", compression=None) as out:
             out.write(json.dumps([[m.file, m.marks] for m in messages if m]).encode())
+        done = {m.file for m in messages if m}
+        for x in old:
+            if x.base_name not in done and (LISTS.fullmatch(x.base_name) or x.base_name.endswith((".warc.gz", ".warc"))):
+                filesystem.delete_file(x.path)
 
     def abort(self, messages) -> None:
         filesystem, inner = store(self.path)
@@ -149,16 +164,16 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Span]:
-        from pyarrow import fs
-
         filesystem, inner = store(self.path)
         spans = []
-        if filesystem.get_file_info(f"{inner}/{MANIFEST}").type == fs.FileType.File:
-            with filesystem.open_input_stream(f"{inner}/{MANIFEST}", compression=None) as f:
-                files = json.loads(f.read())
-        else:
-            chosen = filesystem.get_file_info(fs.FileSelector(inner, recursive=False))
-            files = [[x.base_name, [0, x.size]] for x in chosen if x.base_name.endswith((".warc.gz", ".warc"))]
+        chosen = list_folder(filesystem, inner)
+        manifests = [x.base_name for x in chosen if LISTS.fullmatch(x.base_name)]
+        files = []
+        for name in manifests:
+            with filesystem.open_input_stream(f"{inner}/{name}", compression=None) as f:
+                files += json.loads(f.read())
+        # Parts that no manifest names were never committed; archives from elsewhere have none.
+        files += [[x.base_name, [0, x.size]] for x in chosen if x.base_name.endswith((".warc.gz", ".warc")) and not (manifests and PART.fullmatch(x.base_name))]
         for name, marks in files:
             start = marks[0]
             for a, b in zip(marks, marks[1:]):
@@ -239,7 +254,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false", int(self.options.get("split_bytes", 32 << 20)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("mark_every", 1024)))
+        return WarcWriter(self.options["path"], int(self.options.get("mark_every", 1024)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -112,6 +112,16 @@ def test_warc(spark, tmp_path):
     assert {x["record_type"] for x in read} == {"response"} and len(read) == 6
 
 
+def test_warc_append(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    pages = lambda i: spark.createDataFrame([(i, "u", f"page {i}")], "page_id long, url string, html string")
+    for i in (1, 2, 3):
+        warc.archive(pages(i), path)
+    assert sorted(r.page_id for r in warc.read_archive(spark, path).collect()) == [1, 2, 3]
+    warc.as_records(pages(4)).write.format("warc").option("path", path).mode("overwrite").save()
+    assert [r.page_id for r in warc.read_archive(spark, path).collect()] == [4]
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
