@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS = 6_371_000.0
+#: Side of the cells in which points meet edges, in degrees (some 2 km).
+CELL = 0.02
 
 
 def distance(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
@@ -53,16 +55,21 @@ def crosses(lng: Column, lat: Column) -> Column:
     return ((y0 > lat) != (y1 > lat)) & (lng < F.try_divide((x1 - x0) * (lat - y0), y1 - y0) + x0)
 
 
-def locate(points: DataFrame, edge_table: DataFrame, ident: str = "point_id") -> DataFrame:
+def locate(points: DataFrame, edge_table: DataFrame, ident: str = "point_id", cell: float = CELL) -> DataFrame:
     """point_id, ubigeo: each district whose even-odd area holds a point.
 
-    Districts are few (their edges are the small side of a range join on the box); a point's
-    crossings are counted per district before anything else moves.
+    An equi-join on grid cells: an edge stands in every cell of its rows that lies in the district's
+    box and not beyond the edge's right end, which are the cells from which a ray to the right can
+    cross it. Crossings are counted per point and district. Points without a place lie nowhere.
     """
-    e = edge_table.alias("e")
-    inside = points.join(F.broadcast(e) if edge_table.count() <= 500_000 else e, F.col("lng").between(F.col("min_lng"), F.col("max_lng")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat")))
-    odd = inside.groupBy(ident, "ubigeo").agg(F.count_if(crosses(F.col("lng"), F.col("lat"))).alias("n")).where("n % 2 = 1")
-    return odd.select(ident, "ubigeo")
+    at = lambda v: F.floor(v / cell)
+    span = lambda low, high: F.explode(F.sequence(at(low), at(high)))
+    rows = edge_table.select("ubigeo", "min_lng", "x0", "y0", "x1", "y1", span(F.least("y0", "y1"), F.greatest("y0", "y1")).alias("cy"))
+    # A crossing's place is rounded, so the right end gets a little room.
+    cells = rows.select("ubigeo", "x0", "y0", "x1", "y1", "cy", span(F.col("min_lng"), F.greatest("x0", "x1") + 1e-9).alias("cx"))
+    p = points.select(ident, "lng", "lat", at(F.col("lng")).alias("cx"), at(F.col("lat")).alias("cy"))
+    met = p.join(cells, ["cx", "cy"]).where(crosses(F.col("lng"), F.col("lat")))
+    return met.groupBy(ident, "ubigeo").agg(F.count("*").alias("n")).where("n % 2 = 1").select(ident, "ubigeo")
 
 
 def only_district(points: DataFrame, edge_table: DataFrame, ident: str = "point_id") -> DataFrame:

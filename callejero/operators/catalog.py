@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -111,6 +111,30 @@ def areas(catalog: DataFrame, level: str) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
+def lookup(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Each of ``asked`` (key, ...) with the codes of the districts of that name, and whether it names a province or a department."""
+    hits = name_index(catalog).groupBy("key").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    area = lambda level: areas(catalog, level).select("key", F.lit(True).alias(f"is_{level}"))
+    d = asked.join(hits, "key", "left").join(area("province"), "key", "left").join(area("department"), "key", "left")
+    return d.select(*asked.columns, F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), F.coalesce("is_province", F.lit(False)).alias("is_province"), F.coalesce("is_department", F.lit(False)).alias("is_department"))
+
+
+def nesting(catalog: DataFrame) -> DataFrame:
+    """inner_key, outer_key: which name may stand before which at the end of an address: a district before its province or department, a province before its department, a name before itself."""
+    place = catalog.select("code", T.key(F.col("province")).alias("pk"), T.key(F.col("department")).alias("dk"))
+    named = name_index(catalog).join(place, "code")
+    pairs = F.array(*[F.struct(F.col(a).alias("inner_key"), F.col(b).alias("outer_key")) for a, b in (("key", "pk"), ("key", "dk"), ("pk", "dk"), ("key", "key"), ("pk", "pk"), ("dk", "dk"))])
+    return named.select(F.inline(pairs)).distinct()
+
+
+def clean_name(name: Column) -> tuple[Column, Column]:
+    """Name and alias of an official district name: underscores are spaces, and ``NAME (ALIAS)`` gives both."""
+    clean = T.collapse(F.upper(F.replace(name, F.lit("_"), F.lit(" "))))
+    both = r"^(.*?)\s*\(([^)]*)\)\s*$"
+    paired = clean.rlike(both)
+    return F.when(paired, F.regexp_extract(clean, both, 1)).otherwise(clean), F.when(paired, F.regexp_extract(clean, both, 2)).otherwise("")
+
+
 def merge_seed(official: DataFrame, seed: DataFrame) -> DataFrame:
     """Official rows with the seed's accents (where names agree by key), zone and aliases."""
     s = seed.select(F.col("code"), *[F.col(c).alias(f"s_{c}") for c in ("district", "zone", "aliases", "weak_aliases")])
@@ -118,5 +142,11 @@ def merge_seed(official: DataFrame, seed: DataFrame) -> DataFrame:
     part = lambda n: F.substring("code", 1, n)
     zone = F.when(part(4) == "1501", "LIMA_METRO").when(part(4) == "0701", "CALLAO").when(part(2) == "15", "LIMA_PROVINCIAS").otherwise(F.replace(T.key(F.col("department")), F.lit(" "), F.lit("_")))
     joined = official.join(s, "code", "left")
-    both = lambda c: F.array_distinct(F.concat(F.coalesce(F.col(c), F.array()), F.coalesce(F.col(f"s_{c}"), F.array())))
+    none = F.array().cast("array<string>")
+
+    def both(c: str) -> Column:
+        """The aliases of both, those of equal key once, as first written."""
+        every = F.concat(F.coalesce(F.col(c), none), F.coalesce(F.col(f"s_{c}"), none))
+        return F.filter(every, lambda x, i: F.array_position(F.transform(every, T.key), T.key(x)) == i + 1)
+
     return joined.select("code", "department", "province", F.when(same, F.col("s_district")).otherwise(F.col("district")).alias("district"), F.coalesce(F.nullif(F.col("s_zone"), F.lit("")), zone).alias("zone"), both("aliases").alias("aliases"), both("weak_aliases").alias("weak_aliases"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text as T
+from ..sources.shared import stored
 
 JOIN_M, ATTACH_M, NEAR_M, NEAR_FACTOR, NEAR_EXTRA_M = 30, 120, 40, 2, 15
 CELL = 0.001
@@ -54,22 +55,22 @@ def linked(lines: DataFrame, reach: float = JOIN_M, cell: float = CELL) -> DataF
 def street_components(lines: DataFrame, reach: float = JOIN_M, cell: float = CELL) -> DataFrame:
     """line_id, street: the least line of its component. Labels fall round by round, with jumps to the label's own label."""
     both = linked(lines, reach, cell)
-    both = both.union(both.select("b", "a")).distinct().checkpoint() if lines.sparkSession.sparkContext.getCheckpointDir() else both.union(both.select("b", "a")).distinct()
+    both = stored(both.union(both.select("b", "a")).distinct(), "street-links")
     labels = lines.select(F.col("line_id").alias("node"), F.col("line_id").alias("label"))
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("least"))
         near = labels.join(around, labels["node"] == around["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         after = near.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
-        after = after.checkpoint() if lines.sparkSession.sparkContext.getCheckpointDir() else after.cache()
+        after = stored(after, "street-labels")
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             return labels.select(F.col("node").alias("line_id"), F.col("label").alias("street"))
 
 
 def crossings(vertices: DataFrame) -> DataFrame:
-    """street_id, lng, lat: vertices shared, to 1e-7 degrees, with a street of another key; from (street_id, key, lng, lat)."""
-    at = vertices.select("street_id", "key", F.round("lng", 7).alias("lng"), F.round("lat", 7).alias("lat")).distinct()
+    """street_id, lng, lat: vertices shared, exactly, with a street of another key; from (street_id, key, lng, lat)."""
+    at = vertices.select("street_id", "key", "lng", "lat").distinct()
     shared = at.groupBy("lng", "lat").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("lng", "lat")
     return at.join(shared, ["lng", "lat"]).select("street_id", "lng", "lat").distinct()
 

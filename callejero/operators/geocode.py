@@ -78,6 +78,6 @@ def geocode(read: DataFrame, streets: DataFrame, segments: DataFrame, anchors: D
         F.round(F.when(F.col("case") == "VERIFIED", 1.0).when(F.col("on"), F.col("score")).when(F.col("case") == "AREA_MATCH", AREA_SCORE).otherwise(0.0), 3).alias("score"),
         F.concat("flags", more).alias("flags"), F.when(F.col("case") == "VERIFIED", F.col("normalized")).when(F.col("on"), F.concat_ws(" ", "street", door)).otherwise("").alias("canonical"), reason.alias("reason"),
     ).select(
-        "req_id", F.when(F.col("decision") == "REJECT", "OUT_OF_SCOPE").when(F.col("decision") == "REVIEW", "REVIEW_REQUIRED").otherwise("RESOLVED").alias("status"), "decision",
+        "req_id", res.status_of(F.col("decision")).alias("status"), "decision",
         F.when(F.col("case").isin("NO_DISTRICT", "OUT_OF_SCOPE", "NONE"), None).otherwise(F.col("case")).alias("resolution"), "precision", "score", "lng", "lat", "ubigeo", "street_id", "canonical", "flags", "reason",
     )

@@ -6,7 +6,7 @@ import bisect
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -18,28 +18,41 @@ SIDE_M, FIT_RANGE, FARTHEST, RATES = 40, 20, 600, (0.3, 3.0)
 LATERAL_M, PARALLEL_COS, HINT_CELL, HINT_STEP_M, AREA_M, SPAN_M = 250, 0.966, 0.003, 150, 800, 300
 
 
+def beside(requests: DataFrame, anchors: DataFrame, unit: int = 1) -> DataFrame:
+    """Each of ``requests`` (street_id, side, num, ...) with ``own``, ``below`` and ``above``: the value at its number, and those of the nearest numbers outside its unit.
+
+    ``anchors`` holds (street_id, side, number, value), one row a number. Numbers asked for several
+    times are looked up once, so a window holds each of a street's numbers once at most, however
+    many requests or anchors the street has. Units of ``unit`` numbers: all in a request's own unit are left out.
+    """
+    low = F.floor(F.col("num") / unit).cast("long") * unit
+    at = F.col("number").cast("long")
+    kept = anchors.select("street_id", "side", at.alias("lo"), at.alias("hi"), "value", F.lit(False).alias("asked"))
+    asked = requests.select("street_id", "side", low.alias("lo"), (low + (unit - 1)).alias("hi")).distinct().withColumn("value", F.lit(None).cast(kept.schema["value"].dataType)).withColumn("asked", F.lit(True))
+    rows = kept.unionByName(asked).groupBy("street_id", "side", "lo", "hi").agg(F.max("value").alias("own"), F.max("asked").alias("asked"))
+    street = Window.partitionBy("street_id", "side")
+    seen = lambda *order: F.last("own", ignorenulls=True).over(street.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("below", seen("lo", F.desc("hi"))).withColumn("above", seen(F.desc("hi"), "lo")).where("asked").drop("asked", "hi")
+    return requests.withColumn("lo", low).join(rows, ["street_id", "side", "lo"]).drop("lo")
+
+
 def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True, hold_out: str = "") -> DataFrame:
     """req_id, lng, lat, precision, tight for (req_id, street_id, num) on (street_id, number, lng, lat).
 
-    One join on the street (and side) and one aggregation that keeps an anchor below, one above
-    and the exact ones; ties between anchors of one number go to the smaller lng, lat.
+    Anchors of one number count as one, at the smallest lng, lat; an exact hit is tight where all of
+    them stand close to it. ``hold_out`` leaves out the request's own number or block.
     """
-    a = anchors.select("street_id", "number", "lng", "lat", (F.col("number") % 2).alias("side"))
-    r = requests.select("req_id", "street_id", "num", (F.col("num") % 2).alias("side"))
-    j = r.join(a, ["street_id", "side"] if same_side else ["street_id"])
-    if hold_out:
-        unit = {"anchor": 1, "block": 100}[hold_out]
-        j = j.where(F.floor(F.col("number") / unit) != F.floor(F.col("num") / unit))
-    at = F.struct("number", "lng", "lat")
-    g = j.groupBy("req_id", "num").agg(
-        F.min(F.when(F.col("number") == F.col("num"), at)).alias("e"),
-        F.max(F.when(F.col("number") < F.col("num"), F.struct("number", (-F.col("lng")).alias("x"), (-F.col("lat")).alias("y")))).alias("l"),
-        F.min(F.when(F.col("number") > F.col("num"), at)).alias("h"),
-        F.collect_list(F.when(F.col("number") == F.col("num"), at)).alias("es"),
-    )
-    llng, llat = -F.col("l.x"), -F.col("l.y")
+    side = lambda number: (F.col(number) % 2 if same_side else F.lit(0)).cast("int").alias("side")
+    doors = anchors.select("street_id", side("number"), "number", "lng", "lat")
+    one = doors.groupBy("street_id", "side", "number").agg(F.min(F.struct("lng", "lat")).alias("p"))
+    apart = geo.distance(F.col("p.lng"), F.col("p.lat"), F.col("lng"), F.col("lat"))
+    one = doors.join(one, ["street_id", "side", "number"]).groupBy("street_id", "side", "number", "p").agg(F.max(apart).alias("spread"))
+    one = one.select("street_id", "side", "number", F.struct("number", "p.lng", "p.lat", "spread").alias("value"))
+    asked = requests.select("req_id", "street_id", "num", side("num"))
+    found = beside(asked, one, {"": 1, "anchor": 1, "block": 100}[hold_out])
+    g = found.select("req_id", "num", (F.lit(None).cast(found.schema["own"].dataType) if hold_out else F.col("own")).alias("e"), F.col("below").alias("l"), F.col("above").alias("h"))
+    llng, llat, spread = F.col("l.lng"), F.col("l.lat"), F.col("e.spread")
     gap, apart = F.col("h.number") - F.col("l.number"), geo.distance(llng, llat, F.col("h.lng"), F.col("h.lat"))
-    spread = F.array_max(F.transform("es", lambda x: geo.distance(F.col("e.lng"), F.col("e.lat"), x["lng"], x["lat"])))
     t = (F.col("num") - F.col("l.number")) / gap
     case = F.when(F.col("e").isNotNull(), "exact").when((gap <= MAX_GAP) & (apart <= MAX_GAP_M), "between").when(F.col("num") - F.col("l.number") <= CLAMP, "low").when(F.col("h.number") - F.col("num") <= CLAMP, "high")
     g = g.withColumn("case", case).where("case IS NOT NULL")
@@ -62,9 +75,12 @@ def rates(anchors: DataFrame) -> DataFrame:
 
 def extrapolate(requests: DataFrame, anchors: DataFrame) -> DataFrame:
     """req_id, street_id, num, chainage: from the nearest number (ties: the lower) at the street's rate, up to FARTHEST numbers off."""
-    j = requests.join(anchors, "street_id").join(rates(anchors), "street_id")
-    off = F.abs(F.col("number") - F.col("num"))
-    g = j.groupBy("req_id", "street_id", "num", "rate").agg(F.min_by(F.struct("number", "chainage"), F.struct(off, "number", "chainage")).alias("n"))
+    one = anchors.groupBy("street_id", F.lit(0).alias("side"), "number").agg(F.min("chainage").alias("chainage"))
+    one = one.select("street_id", "side", "number", F.struct("number", "chainage").alias("value"))
+    j = beside(requests.select("req_id", "street_id", "num", F.lit(0).alias("side")), one).join(rates(anchors), "street_id")
+    off = lambda side: F.abs(F.col(f"{side}.number") - F.col("num"))
+    near = F.coalesce("own", F.when(F.col("above").isNull() | (off("below") <= off("above")), F.col("below")).otherwise(F.col("above")))
+    g = j.select("req_id", "street_id", "num", "rate", near.alias("n"))
     return g.where(F.abs(F.col("n.number") - F.col("num")) <= FARTHEST).select("req_id", "street_id", "num", (F.col("n.chainage") + F.col("rate") * (F.col("num") - F.col("n.number"))).alias("chainage"))
 
 
@@ -241,7 +257,8 @@ def parallel_hints(segments: DataFrame, anchors: DataFrame) -> DataFrame:
     """street_id, number, lng, lat, anchor_id: anchors of other, parallel streets within LATERAL_M, laid onto this street.
 
     A street meets anchors in the cells it passes (sampled at most HINT_STEP_M apart) and their
-    neighbours; the cell is wide enough that no anchor within reach is missed.
+    neighbours; the cell is wide enough that no anchor within reach is missed. Whether an anchor
+    lies beside the street is decided to the micrometre, so an anchor at its very end does.
     """
     axis = frames(segments)
     steps = F.floor(geo.distance(*[F.col(c) for c in SEGMENT]) / HINT_STEP_M).cast("int") + 1
@@ -254,7 +271,7 @@ def parallel_hints(segments: DataFrame, anchors: DataFrame) -> DataFrame:
     lent = anchors.join(axis.select("street_id", F.col("angle").alias("own_angle")), "street_id").select("anchor_id", F.col("street_id").alias("owner"), "number", "lng", "lat", "own_angle", cell(F.col("lng")).alias("cx"), cell(F.col("lat")).alias("cy"))
     pairs = passed.join(lent, ["cx", "cy"]).where("street_id <> owner").join(axis, "street_id")
     along = geo.on_axis(F.col("lng"), F.col("lat"))[0]
-    pairs = pairs.where((F.abs(F.cos(F.col("angle") - F.col("own_angle"))) >= PARALLEL_COS) & along.between(F.col("lo"), F.col("hi"))).select("street_id", "anchor_id", "number", "lng", "lat")
+    pairs = pairs.where((F.abs(F.cos(F.col("angle") - F.col("own_angle"))) >= PARALLEL_COS) & F.round(along, 6).between(F.round("lo", 6), F.round("hi", 6))).select("street_id", "anchor_id", "number", "lng", "lat")
     near = geo.nearest_on_segment(F.col("lng"), F.col("lat"), *[F.col(c) for c in SEGMENT])
     g = pairs.join(segments, "street_id").groupBy("street_id", "anchor_id", "number").agg(F.min(near).alias("n")).where(F.col("n.metres") <= LATERAL_M)
     return g.select("street_id", "number", "n.lng", "n.lat", "anchor_id")

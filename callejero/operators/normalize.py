@@ -11,9 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..data import lexicon as L
 from ..functions.text import ACCENTED, MOJIBAKE, PHONETIC, PLAIN
@@ -48,12 +47,11 @@ def plain(word: str) -> str:
     return word.replace("Ñ", "N")
 
 
-def inverted(groups: dict[str, str]) -> dict[str, str]:
-    return {variant: canon for canon, variants in groups.items() for variant in (canon, *variants.split())}
+def inverted(groups: dict[str, list[str]]) -> dict[str, str]:
+    return {key(variant): canon for canon, variants in groups.items() for variant in (canon, *variants)}
 
 
-STREET, UNIT, URB = inverted(L.STREET_TYPES), inverted(L.UNITS), inverted(L.URBANIZATIONS)
-CONNECTORS, GROUPING, MARKERS, WORDY = set(L.CONNECTORS.split()), set(L.GROUPING.split()), set(L.REFERENCE_MARKERS.split()), set(L.UNITS_THAT_MAY_BE_WORDS.split())
+CONNECTORS, GROUPING, WORDY = set(L.CONNECTORS.split()), set(L.GROUPING.split()), set(L.UNITS_THAT_MAY_BE_WORDS.split())
 SEP = "QSEPQ"
 
 
@@ -66,14 +64,26 @@ REWRITES = [(rx(p), to) for p, to in (
     (r"\bS\s*/\s*N\b", " SINNUMERO "), (r"#|\bN[°º]\.?|\bNRO\b\.?|\bNUM(?:ERO)?\b\.?", " NRO "), (r"\bA\.?\s?A\.?\s?H\.?\s?H\b\.?", " AAHH "),
     (r"\bA\.\s?H\b\.?", " AAHH "), (r"\bASENT\.?\s?H(?:UM)?\b\.?", " AAHH "), (r"\bA\.\s?P\.\s?V\b\.?", " APV "), (r"\bP\.\s?J\b\.?", " PJ "),
 )]
-FLOORS = [rx(r"\b(\d{1,2})\s?(?:ER|RO|DO|DA|TO|TA|VO|NO|MO|RA)?\.?\s+(?:PISO|NIVEL)\b(?!\s+\d)"), rx(rf"\b({'|'.join(sorted(L.ORDINALS))})\s+(?:PISO|NIVEL)\b(?!\s+\d)")]
 HYPHENS = [(rx(p), to) for p, to in ((r"(\d)-([A-Z])\b", r"\1\2"), (r"\b([A-Z]{1,2})-(\d+)\b", r"\1\2"), (r"(\d)-+([A-Z]{2})", r"\1 - \2"), (r"([A-Z])-([A-Z])", r"\1 - \2"), (r"[,;]|\s-+\s?|-+\s", f" {SEP} "))]
 PUNCT = rx(r"[^A-Z0-9Ñ\s]")
-NOISE = rx(r"^\s*(?:" + "|".join(map(re.escape, L.NOISE_PREFIXES)) + r")\b[\s:-]*")
-PHRASES = [(rx(rf"\b{k}\b"), v) for k, v in sorted(L.PHRASES.items(), key=lambda x: -len(x[0]))]
 MZ_LT, MZ, GLUED = rx(r"MZ([A-Z]?\d{0,3}[A-Z]?)LT(\d+[A-Z]?)"), rx(r"MZ([A-Z]\d?|\d+)"), rx(r"(LT|LOTE|INT|DPTO|DPT|DP|OF|PISO|CALLE|CL|CLL|AV|JR|PSJE|PJE)(\d+[A-Z]?)")
 VALUE, CODE, NUMBER = rx(r"[A-Z]{1,2}\d+[A-Z]?|\d+[A-Z]{0,2}|[A-Z]"), rx(r"[A-Z]{1,2}\d+[A-Z]?"), rx(r"\d+[A-Z]?")
-ORDINAL, POSTAL = rx(r"(\d+)(RA|ERA|ER|DA|DO|TA|TO|MA|VA|NA|AVO)"), rx(r"(0[1-9]|1\d|2[0-5])\d{3}")
+ORDINAL, POSTAL = rx(rf"(\d+)({L.ORDINAL_ENDINGS.replace(' ', '|')})"), rx(r"(0[1-9]|1\d|2[0-5])\d{3}")
+
+
+class Rules:
+    """A lexicon made ready: words to their canonical form, and the patterns that depend on it."""
+
+    def __init__(self, lexicon: L.Lexicon) -> None:
+        self.street, self.unit, self.urb = inverted(lexicon.street_types), inverted(lexicon.unit_markers), inverted(lexicon.urb_markers)
+        self.titles = {key(k): v for k, v in lexicon.titles.items()}
+        self.markers = set(map(key, lexicon.reference_markers))
+        self.ordinals = {key(k): v for k, v in lexicon.ordinal_words.items()}
+        self.phrases = [(rx(rf"\b{re.escape(key(k))}\b"), v) for k, v in sorted(lexicon.phrases.items(), key=lambda x: -len(x[0]))]
+        self.noise = rx(r"^\s*(?:" + "|".join(re.escape(fold(x)) for x in lexicon.noise_prefixes) + r")\b[\s:-]*") if lexicon.noise_prefixes else None
+        floor = [r"(\d{1,2})\s?(?:ER|RO|DO|DA|TO|TA|VO|NO|MO|RA)?\.?", f"({'|'.join(sorted(self.ordinals))})"][: 1 + bool(self.ordinals)]
+        self.floors = [rx(rf"\b{f}\s+(?:PISO|NIVEL)\b(?!\s+\d)") for f in floor]
+        self.version = f"callejero/1 lexicon/{lexicon.version}"
 
 
 def is_number(w: str) -> bool:
@@ -121,52 +131,64 @@ class Suffix:
 
 
 class Normalizer:
-    def __init__(self, catalog: Catalog, active_zones: frozenset[str] = frozenset(), default: tuple[str, str] = ("", "")) -> None:
-        self.cat, self.active, self.default = catalog, active_zones, default
+    def __init__(self, catalog: Catalog, active_zones: frozenset[str] = frozenset(), default: tuple[str, str] = ("", ""), lexicon: L.Lexicon = L.DEFAULT) -> None:
+        self.cat, self.active, self.default, self.rules = catalog, active_zones, default, Rules(lexicon)
+        self.splits = (self.no_number, self.glued(MZ_LT, "MZ", "LT"), self.bare_block, self.glued(MZ, "MZ"), self.glued(GLUED, "", ""))
+        #: What a text may end in: flag, words to drop (an old postal zone takes its city's name along), and whether it does.
+        self.tails = (
+            ("COUNTRY_REMOVED", 1, lambda w, sep: w[-1] == "PERU" and (sep[len(w) - 1] or is_number(w[-2]) or self.cat.known(key(w[-2])))),
+            ("POSTAL_CODE_IN_TEXT", 2, lambda w, sep: len(w) > 2 and sep[len(w) - 2] and w[-2] in ("LIMA", "CALLAO") and re.fullmatch(r"[0-9]{1,2}", w[-1])),
+            ("UBIGEO_IN_TEXT", 1, lambda w, sep: re.fullmatch(r"[0-9]{6}", w[-1]) and w[-1] in self.cat.by_code),
+            ("POSTAL_CODE_IN_TEXT", 1, lambda w, sep: POSTAL.fullmatch(w[-1]) and any(map(is_number, w[:-1]))),
+        )
 
     # -- words ------------------------------------------------------------
     def words(self, raw: str, flags: Flags) -> tuple[Words, list[str]]:
         s = fold(raw)
-        if NOISE.match(s):
-            s = NOISE.sub(" ", s)
+        if self.rules.noise and self.rules.noise.match(s):
+            s = self.rules.noise.sub(" ", s)
             flags.raise_("NOISE_PREFIX_REMOVED")
         refs = [r for m in re.findall(r"\(([^)]*)\)", s) if (r := " ".join(PUNCT.sub(" ", m).split()))]
         s = re.sub(r"\([^)]*\)", " ", s)
         for pattern, to in REWRITES:
             s = pattern.sub(to, s)
-        for pattern in FLOORS:
-            s = pattern.sub(lambda m: f" PISO {L.ORDINALS.get(m[1], m[1])} ", s)
+        for pattern in self.rules.floors:
+            s = pattern.sub(lambda m: f" PISO {self.rules.ordinals.get(m[1], m[1])} ", s)
         for pattern, to in HYPHENS:
             s = pattern.sub(to, s)
         s = " ".join(PUNCT.sub(" ", s).split())
-        for pattern, to in PHRASES:
+        for pattern, to in self.rules.phrases:
             s = pattern.sub(to, s)
-        fields, out, sep = s.split(), Words(), False
-        for i, f in enumerate(fields):
-            nxt = fields[i + 1] if i + 1 < len(fields) else None
-            if f == SEP:
-                sep = True
-                continue
-            if f == "NRO":
-                continue
-            if f == "SN" and out.w and (nxt in (None, SEP) or plain(nxt) in UNIT or plain(nxt) in URB):
-                new = ["SINNUMERO"]
-            elif m := MZ_LT.fullmatch(f):
-                new = ["MZ", m[1], "LT", m[2]]
-            elif f == "MZA" and nxt is not None and nxt != SEP and len(nxt.encode()) <= 3 and plain(nxt) not in UNIT and plain(nxt) not in URB and not GLUED.fullmatch(nxt):
-                new = ["MZ"]
-            elif m := MZ.fullmatch(f):
-                new = ["MZ", m[1]]
-            elif m := GLUED.fullmatch(f):
-                new = [m[1], m[2]]
-            else:
-                new = [f]
-            out.w += new
-            out.sep += [sep] + [False] * (len(new) - 1)
-            sep = False
-        out.sep.append(sep)
+        out, pending = Words(), False
+        fields = s.split()
+        for word, after in zip(fields, [*fields[1:], None]):
+            if word == SEP:
+                pending = True
+            elif word != "NRO":
+                pieces = next((pieces for split in self.splits if (pieces := split(word, after, out.w))), [word])
+                out.w += pieces
+                out.sep += [pending, *[False] * (len(pieces) - 1)]
+                pending = False
+        out.sep.append(pending)
         return out, refs
 
+    # A word as it stands before another (None: at the end) and behind others is several words, or means another one.
+    def opens_unit(self, word: str | None) -> bool:
+        return word is not None and (plain(word) in self.rules.unit or plain(word) in self.rules.urb)
+
+    def no_number(self, word: str, after: str | None, before: list[str]) -> list[str] | None:
+        return ["SINNUMERO"] if word == "SN" and before and (after in (None, SEP) or self.opens_unit(after)) else None
+
+    def bare_block(self, word: str, after: str | None, before: list[str]) -> list[str] | None:
+        short = after not in (None, SEP) and len(after.encode()) <= 3 and not self.opens_unit(after) and not GLUED.fullmatch(after)
+        return ["MZ"] if word == "MZA" and short else None
+
+    @staticmethod
+    def glued(pattern: re.Pattern, *marks: str):
+        """A split by a pattern's groups, each behind its mark (the empty mark: as it is)."""
+        return lambda word, after, before: [x for mark, g in zip(marks, m.groups()) for x in ([mark, g] if mark else [g])] if (m := pattern.fullmatch(word)) else None
+
+
     def unrepeated(self, t: Words, flags: Flags) -> Words:
         n = len(t.w)
         for k in range(max(3, (n + 1) // 2), n - 2):
@@ -178,7 +200,7 @@ class Normalizer:
 
     def applies(self, w: list[str], i: int) -> bool:
         """Whether a unit marker is one here: some are also ordinary words."""
-        if UNIT[plain(w[i])] not in WORDY:
+        if self.rules.unit[plain(w[i])] not in WORDY:
             return True
         return not (i and w[i - 1] in CONNECTORS) and i + 1 < len(w) and len(w[i + 1].encode()) <= 4 and VALUE.fullmatch(w[i + 1]) is not None
 
@@ -186,48 +208,37 @@ class Normalizer:
         """Whether what follows ``w`` would continue an urbanization's name."""
         for i in range(len(w) - 1, -1, -1):
             p = plain(w[i])
-            if p in URB:
-                return not (i == len(w) - 2 and len(w[i + 1].encode()) <= 2 and URB[p] in GROUPING)
-            if p in STREET or p in UNIT or is_number(w[i]) or sep[i]:
+            if p in self.rules.urb:
+                return not (i == len(w) - 2 and len(w[i + 1].encode()) <= 2 and self.rules.urb[p] in GROUPING)
+            if p in self.rules.street or p in self.rules.unit or is_number(w[i]) or sep[i]:
                 return False
         return False
 
     def without_reference(self, t: Words) -> tuple[Words, list[str]]:
         w = t.w
         for i in range(2, len(w)):
-            house = UNIT.get(plain(w[i])) == "CASA" and not self.applies(w, i) and (i == len(w) - 1 or t.sep[i] or not self.goes_on(w[:i], t.sep))
-            if house or plain(w[i]) in MARKERS:
+            house = self.rules.unit.get(plain(w[i])) == "CASA" and not self.applies(w, i) and (i == len(w) - 1 or t.sep[i] or not self.goes_on(w[:i], t.sep))
+            if house or plain(w[i]) in self.rules.markers:
                 at = i - 1 if w[i - 1] in ("AL", "A", "POR") else i
                 return t.cut(0, at), w[at:]
         return t, []
 
     def without_tail(self, t: Words, flags: Flags) -> Words:
-        w = list(t.w)
-        while len(w) > 1:
-            last, prev = w[-1], w[-2]
-            if last == "PERU" and (t.sep[len(w) - 1] or is_number(prev) or self.cat.known(key(prev))):
-                flags.raise_("COUNTRY_REMOVED")
-            elif re.fullmatch(r"[0-9]{1,2}", last) and len(w) > 2 and t.sep[len(w) - 2] and prev in ("LIMA", "CALLAO"):
-                flags.raise_("POSTAL_CODE_IN_TEXT")
-                w.pop()  # an old postal zone takes its city's name along
-            elif re.fullmatch(r"[0-9]{6}", last) and last in self.cat.by_code:
-                flags.raise_("UBIGEO_IN_TEXT")
-            elif POSTAL.fullmatch(last) and any(map(is_number, w[:-1])):
-                flags.raise_("POSTAL_CODE_IN_TEXT")
-            else:
-                break
-            w.pop()
-        return Words(w, t.sep)
+        n = len(t.w)
+        while n > 1 and (hit := next(((flag, words) for flag, words, ends in self.tails if ends(t.w[:n], t.sep)), None)):
+            flags.raise_(hit[0])
+            n -= hit[1]
+        return Words(t.w[:n], t.sep)
 
     def without_prefix(self, t: Words, district: str, refs: list[str], flags: Flags) -> Words:
         w, dk = t.w, key(district)
         if dk:
             for k in range(1, min(len(w) - 1, self.cat.max_words) + 1):
-                if k < len(w) and key(" ".join(w[:k])) == dk and (plain(w[k]) in URB or plain(w[k]) in UNIT):
+                if k < len(w) and key(" ".join(w[:k])) == dk and (plain(w[k]) in self.rules.urb or plain(w[k]) in self.rules.unit):
                     flags.raise_("DISTRICT_PREFIX_REMOVED")
                     return t.cut(k)
         s = next((s for s in range(1, min(4, len(w) - 2) + 1) if t.sep[s]), None)
-        if s and plain(w[s]) in STREET and w[s] != "C" and not has_digit(w[:s]) and plain(w[0]) not in URB and plain(w[0]) not in UNIT:
+        if s and plain(w[s]) in self.rules.street and w[s] != "C" and not has_digit(w[:s]) and plain(w[0]) not in self.rules.urb and plain(w[0]) not in self.rules.unit:
             refs[:0] = w[:s]
             flags.raise_("ESTABLISHMENT_PREFIX")
             return t.cut(s)
@@ -243,7 +254,7 @@ class Normalizer:
                 at, name = end - k, key(" ".join(t.w[end - k : end]))
                 if not self.cat.known(name) or (names and not self.cat.nests(name, names[0])):
                     continue
-                if at and not t.sep[at] and (t.w[at - 1] in CONNECTORS or (plain(t.w[at - 1]) in STREET and t.w[at - 1] != "C")):
+                if at and not t.sep[at] and (t.w[at - 1] in CONNECTORS or (plain(t.w[at - 1]) in self.rules.street and t.w[at - 1] != "C")):
                     continue
                 names.insert(0, name)
                 end = at
@@ -373,7 +384,7 @@ class Normalizer:
         c = dict.fromkeys(PARTS, "")
         bag: dict[str, list[str]] = {k: [] for k in ("street", "urb", "trailing", "units", "loose", "stage")}
         i = 0
-        if w and (canon := STREET.get(plain(w[0]))):
+        if w and (canon := self.rules.street.get(plain(w[0]))):
             if w[0] == "C":
                 flags.raise_("GUARDED_C_AS_CALLE")
             if w[0] != canon:
@@ -402,7 +413,7 @@ class Normalizer:
             bag["loose"] = []
 
         def grouped(at: int) -> str:
-            ordinal = L.ORDINALS.get(plain(w[at]))
+            ordinal = self.rules.ordinals.get(plain(w[at]))
             if ordinal and at + 1 < len(w) and w[at + 1] in GROUPING:
                 return ordinal
             m = ORDINAL.fullmatch(w[at])
@@ -411,21 +422,21 @@ class Normalizer:
         while i < len(w):
             word, p = w[i], plain(w[i])
             named = mode == "urb" and len(bag["urb"]) > 1
-            if (named or seen_unit) and not c["street_type"] and not bag["street"] and i + 1 < len(w) and word != "C" and p in STREET:
+            if (named or seen_unit) and not c["street_type"] and not bag["street"] and i + 1 < len(w) and word != "C" and p in self.rules.street:
                 settle(False)
-                c["street_type"], mode = STREET[p], "street"
+                c["street_type"], mode = self.rules.street[p], "street"
                 flags.drop("NO_STREET_TYPE")
-                if word != STREET[p]:
+                if word != self.rules.street[p]:
                     flags.raise_("ABBREVIATION_EXPANDED")
-            elif p in UNIT and self.applies(w, i):
+            elif p in self.rules.unit and self.applies(w, i):
                 settle(False)
                 i = self._unit(w, i, c, bag, flags)
-                seen_unit, seen_plot = True, seen_plot or UNIT[p] in ("MZ", "LT")
-            elif p in URB:
+                seen_unit, seen_plot = True, seen_plot or self.rules.unit[p] in ("MZ", "LT")
+            elif p in self.rules.urb:
                 settle(True)
-                if word != URB[p]:
+                if word != self.rules.urb[p]:
                     flags.raise_("ABBREVIATION_EXPANDED")
-                bag["urb"].append(URB[p])
+                bag["urb"].append(self.rules.urb[p])
                 mode = "urb"
             elif mode == "street":
                 bag["street"].append(word)
@@ -452,13 +463,13 @@ class Normalizer:
         c["interior"] = " ".join([c["interior"], *units]).strip()
         urb = self._own_district_cut(bag["urb"], ubigeo, flags) + bag["stage"]
         c["urbanization"] = " ".join(urb)
-        if len(urb) == 1 and plain(urb[0]) in URB:
+        if len(urb) == 1 and plain(urb[0]) in self.rules.urb:
             flags.raise_("EMPTY_URBANIZATION_NAME")
         return c
 
     def _unit(self, w: list[str], i: int, c: dict, bag: dict, flags: Flags) -> int:
         """Read a unit's value; returns the index of the last word used."""
-        canon, marker = UNIT[plain(w[i])], lambda j: plain(w[j]) in UNIT or plain(w[j]) in URB
+        canon, marker = self.rules.unit[plain(w[i])], lambda j: plain(w[j]) in self.rules.unit or plain(w[j]) in self.rules.urb
         value = ""
         if i + 2 < len(w) and w[i + 1] in ("DE", "DEL") and VALUE.fullmatch(w[i + 2]):
             i += 1
@@ -504,7 +515,7 @@ class Normalizer:
         if rest:
             flags.raise_("TRAILING_TEXT_MOVED_TO_REFERENCE")
             c["reference"] = " ".join(rest)
-        full = [L.TITLES.get(plain(x), x) if i < len(name) - 1 else x for i, x in enumerate(name)]
+        full = [self.rules.titles.get(plain(x), x) if i < len(name) - 1 else x for i, x in enumerate(name)]
         if full != name:
             flags.raise_("ABBREVIATION_EXPANDED")
         c["street_name"] = " ".join(full)
@@ -533,7 +544,7 @@ class Normalizer:
         refs += tail
         t = self.without_tail(t, flags)
         t = self.without_prefix(t, r["district"], refs, flags)
-        if len(t.w) > 1 and t.w[-1] != "C" and STREET.get(plain(t.w[-1])) in ("CALLE", "AVENIDA", "JIRON", "PASAJE"):
+        if len(t.w) > 1 and t.w[-1] != "C" and self.rules.street.get(plain(t.w[-1])) in ("CALLE", "AVENIDA", "JIRON", "PASAJE"):
             refs.insert(0, t.w[-1])
             t = Words(t.w[:-1], t.sep)
         names, at = self.suffix_names(t)
@@ -541,7 +552,7 @@ class Normalizer:
         words = t.w
         if names:
             rest = words[:at]
-            structural = lambda x: any(plain(x) in d for d in (STREET, URB, UNIT))
+            structural = lambda x: any(plain(x) in d for d in (self.rules.street, self.rules.urb, self.rules.unit))
             if not rest or (len(rest) == 1 and structural(rest[0])):
                 flags.raise_("LOCATION_SUFFIX_SKIPPED")
                 s = Suffix()
@@ -566,7 +577,7 @@ class Normalizer:
         plot = [f"MZ {c['block']}" if c["block"] else "", f"LT {c['lot']}" if c["lot"] else ""]
         normalized = " ".join(x for x in (c["street_type"], c["street_name"], c["number"], *plot, c["interior"], c["urbanization"]) if x)
         keyed = lambda f: "|".join(x for x in (c["street_type"], f(c["street_name"]), c["number"], *[p.replace(" ", ":", 1) for p in plot], f"URB:{f(c['urbanization'])}" if c["urbanization"] else "") if x)
-        return {**c, **loc, "normalized": normalized, "match_key": keyed(key), "phonetic_key": keyed(phonetic), "flags": list(flags), "version": L.VERSION}
+        return {**c, **loc, "normalized": normalized, "match_key": keyed(key), "phonetic_key": keyed(phonetic), "flags": list(flags), "version": self.rules.version}
 
     def _number_field(self, text: str, c: dict, flags: Flags) -> None:
         n = "".join(PUNCT.sub(" ", fold(text)).split())
@@ -586,17 +597,24 @@ class Normalizer:
             flags.raise_("NUMBER_FIELD_CONFLICT")
 
 
-def normalize(requests: DataFrame, entries: list[dict], active_zones: frozenset[str] = frozenset(), default: tuple[str, str] = ("", "")) -> DataFrame:
-    """The input's columns and those of SCHEMA. Missing request columns count as empty; the catalog (one row per district) goes along with the function."""
-    have = [f for f in FIELDS if f in requests.columns]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
+def normalize(requests: DataFrame, entries: list[dict], active_zones: frozenset[str] = frozenset(), default: tuple[str, str] = ("", ""), lexicon: L.Lexicon = L.DEFAULT) -> DataFrame:
+    """The input's columns and those of SCHEMA; an input column of a name in SCHEMA (``number``, ``reference``) comes back as ``asked_<name>``.
+
+    Missing request columns and nulls count as empty; the catalog (one row per district) and the
+    lexicon go along with the function.
+    """
+    read_as = [c.rsplit(" ", 1) for c in SCHEMA.split(", ")]
+    names = [n for n, _ in read_as]
+    types = [pa.bool_() if t == "boolean" else pa.list_(pa.string()) if t.startswith("array") else pa.string() for _, t in read_as]
+    kept = [(f.name, f"asked_{f.name}" if f.name in names else f.name, f.dataType.simpleString()) for f in requests.schema.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Normalizer(Catalog(entries), active_zones, default)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Normalizer(Catalog(entries), active_zones, default, lexicon)
         for batch in batches:
             read = cache(lambda *values: reader(dict(zip(FIELDS, values))))
-            rows = [read(*[str(row[f]) if f in have and row[f] is not None and row[f] == row[f] else "" for f in FIELDS]) for row in batch.to_dict("records")]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame({n: [x[n] for x in rows] for n in names})], axis=1)
+            asked = [batch.column(f).cast(pa.string()).fill_null("").to_pylist() if f in batch.schema.names else [""] * batch.num_rows for f in FIELDS]
+            rows = [read(*values) for values in zip(*asked)]
+            read_columns = [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *read_columns], [*(out for _, out, _ in kept), *names])
 
-    return requests.mapInPandas(run, f"{fields}, {SCHEMA}")
+    return requests.mapInArrow(run, ", ".join([*(f"`{out}` {kind}" for _, out, kind in kept), SCHEMA]))

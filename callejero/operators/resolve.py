@@ -90,12 +90,13 @@ def decide(flags: Column, ambiguous: Column, precision: Column, tight: Column, k
     return F.when(held | ambiguous | ((precision == "STREET") & ~tight), "REVIEW").when(sure, "AUTO_ACCEPT").when(score >= 0.8, "ACCEPT_FLAGGED").otherwise("REVIEW")
 
 
-def status_of(decision: Column, has_point: Column) -> Column:
-    return F.when(decision == "REJECT", "OUT_OF_SCOPE").when(~has_point, "UNRESOLVED").when(decision == "REVIEW", "REVIEW_REQUIRED").otherwise("RESOLVED")
+def status_of(decision: Column) -> Column:
+    return F.when(decision == "REJECT", "OUT_OF_SCOPE").when(decision == "REVIEW", "REVIEW_REQUIRED").when(decision.isin("AUTO_ACCEPT", "ACCEPT_FLAGGED"), "RESOLVED").otherwise("UNRESOLVED")
 
 
 def reason_of(flags: Column) -> Column:
-    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(flags, r)), F.lit(0)), F.lit("REVIEW"))
+    """The first flag that says why an address needs a review."""
+    return F.coalesce(F.get(F.filter(flags, lambda f: f.isin(*REASONS)), F.lit(0)), F.lit("REVIEW"))
 
 
 def find_streets(streets: DataFrame, anchors: DataFrame, ubigeo: str, part: str, limit: int) -> DataFrame:
@@ -103,3 +104,16 @@ def find_streets(streets: DataFrame, anchors: DataFrame, ubigeo: str, part: str,
     n = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"))
     d = streets.where((F.col("ubigeo") == ubigeo) & F.col("key").contains(part)).join(n, "street_id", "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
     return d.orderBy((F.col("n_anchors") > 0), "name", "street_id").limit(limit).select("street_id", "name", "n_anchors")
+
+
+def with_edits(anchors: DataFrame, edits: DataFrame) -> DataFrame:
+    """A snapshot's anchors (street_id, number, lng, lat, ref) under live edits: those of an edited number and all made by hand give way; an edit counts once."""
+    kept = anchors.where(~F.col("ref").startswith("manual:")).join(edits.select("street_id", "number").distinct(), ["street_id", "number"], "left_anti")
+    columns = ("street_id", "number", "lng", "lat", "ref")
+    return kept.select(*columns).unionByName(edits.select(*columns))
+
+
+def street_hundreds(anchors: DataFrame) -> DataFrame:
+    """street_id, hundred, n_numbers, first, last: what is known of each block of a street."""
+    hundred = F.floor(F.col("number") / 100).cast("int").alias("hundred")
+    return anchors.groupBy("street_id", hundred).agg(F.count("*").alias("n_numbers"), F.min("number").alias("first"), F.max("number").alias("last"))

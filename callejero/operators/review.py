@@ -113,3 +113,77 @@ def prometheus(histogram: DataFrame, name: str) -> DataFrame:
 def profile(rows: DataFrame, parts: dict[str, Column], expected: Column, got: Column) -> DataFrame:
     """shape (names of the parts that are there), compared, n."""
     return rows.groupBy(T.shape(parts).alias("shape"), T.compared(expected, got).alias("compared")).agg(F.count("*").alias("n"))
+
+
+def tag_accuracy(rows: DataFrame, right: Column) -> DataFrame:
+    """tag, n, pct: the share right of the synthetic rows (source, notes) that carry each note; an empty note is a tag like any other."""
+    tags = F.explode(F.split(F.coalesce("notes", F.lit("")), ";")).alias("tag")
+    d = rows.where(F.col("source").startswith("synthetic")).withColumn("_right", right).select(tags, "_right")
+    return d.groupBy("tag").agg(F.count("*").alias("n"), F.round(100.0 * F.count_if("_right") / F.count("*"), 3).alias("pct"))
+
+
+def gate(accuracy: DataFrame, least: float, split: str = "test") -> DataFrame:
+    """One row (split, n, pct_core, passed) of ``field_accuracy``; without rows of the split the gate is open."""
+    d = accuracy.where((F.col("split") == split) & F.col("source").isNull()).agg(F.max("n").alias("n"), F.max("pct_core").alias("pct_core"))
+    return d.select(F.lit(split).alias("split"), F.coalesce("n", F.lit(0)).alias("n"), "pct_core", F.coalesce(F.col("pct_core") >= least, F.lit(True)).alias("passed"))
+
+
+def require_gate(accuracy: DataFrame, least: float, split: str = "test") -> None:
+    r = gate(accuracy, least, split).first()
+    if not r["passed"]:
+        raise ValueError(f"core accuracy of {split} is {r['pct_core']}, below {least}")
+
+
+def judgeable(rows: DataFrame, split: str = "all", quality: str = "all") -> DataFrame:
+    """The rows with a verified point that an error can be measured on, by split and by quality: oro, plata (any delivery) or all.
+
+    ``lat`` and ``lng`` are text; rows in which either is no number are left out.
+    """
+    d = rows if split == "all" else rows.where(F.col("split") == split)
+    if quality == "oro":
+        d = d.where("verification_method = 'gps_entrega_oro'")
+    elif quality == "plata":
+        d = d.where("startswith(verification_method, 'gps_entrega_')")
+    return d.where(F.col("lat").try_cast("double").isNotNull() & F.col("lng").try_cast("double").isNotNull())
+
+
+def holdout_table(errors: DataFrame) -> DataFrame:
+    """method (null: all), n, p50, p75, p90 and the shares within 50, 100 and 150 m of (method, error_m).
+
+    Percentiles are the element at floor(p * (n - 1)) of the sorted errors, found by rank, so no method's errors are gathered.
+    """
+    both = errors.select("method", "error_m").unionByName(errors.select(F.lit(None).cast("string").alias("method"), "error_m"))
+    n = both.groupBy("method", "error_m").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy("method").orderBy("error_m").rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy("method")))
+    rank = lambda p: F.min(F.when(F.col("upto") > F.floor(p * (F.col("n") - 1)), F.col("error_m")))
+    share = lambda m: F.round(100.0 * F.sum(F.when(F.col("error_m") <= m, F.col("k")).otherwise(0)) / F.sum("k"), 3)
+    return n.groupBy("method").agg(F.sum("k").alias("n"), rank(0.5).alias("p50"), rank(0.75).alias("p75"), rank(0.9).alias("p90"), share(50).alias("within_50"), share(100).alias("within_100"), share(150).alias("within_150"))
+
+
+def markdown(table: DataFrame, title: str, most: int = 1000) -> list[str]:
+    """The lines of a report's table: a heading, the header, one line a row; of a small aggregate (more than ``most`` rows is an error)."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{title}: more than {most} rows are no report")
+    text = lambda v: "—" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v)
+    line = lambda cells: f"| {' | '.join(cells)} |"
+    return [f"## {title}", "", line(table.columns), line(["---:" if i else "---" for i in range(len(table.columns))]), *(line(map(text, r)) for r in rows), ""]
+
+
+def imported_labels(rows: DataFrame, reviewer: str, method: str) -> DataFrame:
+    """Golden rows from a filled-in labelling sheet: those judged CORRECTO or CORREGIDO.
+
+    Whoever labelled was told to write digits only, so ``S/N`` is restored where the text says so and the proposal had it.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    d = rows.select(*[text(c).alias(c) for c in rows.columns]).where((F.col("id") != "") & F.col("estado").isin("CORRECTO", "CORREGIDO"))
+    raw = F.concat_ws(" ", "direccion", F.nullif(F.col("numero"), F.lit("")))
+    none = (F.col("num") == "") & (F.col("p_numero") == "S/N") & raw.rlike(r"(?i)\bS\s*/\s*N\b")
+    notes = F.concat_ws("; ", F.concat(F.lit("estado="), "estado"), F.when(none, "S/N restaurado"), F.nullif(F.col("comentario"), F.lit("")))
+    return d.select(
+        F.concat(F.lit("EMS-"), "id").alias("id"), F.lit("emsd_real").alias("source"), raw.alias("raw_address"), F.col("distrito").alias("district_field"), F.col("provincia").alias("province_field"), F.lit("").alias("department_field"),
+        F.col("tipo").alias("expected_street_type"), F.col("nombre").alias("expected_street_name"), F.when(none, "S/N").otherwise(F.col("num")).alias("expected_number"), F.col("mz").alias("expected_block"), F.col("lt").alias("expected_lot"),
+        F.col("urb").alias("expected_urbanization"), F.col("ubigeo").alias("expected_ubigeo"), F.lit("").alias("lat_verified"), F.lit("").alias("lng_verified"), F.lit(method).alias("verification_method"), F.lit(reviewer).alias("verified_by"),
+        F.col("particion").alias("split"), notes.alias("notes"), F.col("interior").alias("expected_interior"),
+    )

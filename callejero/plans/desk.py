@@ -21,7 +21,7 @@ def segments(spark, sf_dir):
 
 # -- placement -------------------------------------------------------------------
 @query(X.sql("anchor") + STREET_AXIS + """, c AS (SELECT s.street_id, a.anchor_id, a.number, a.lng, a.lat, s.lng0, s.lat0, s.lng1, s.lat1 FROM x s JOIN anchor a ON a.street_id <> s.street_id JOIN x o ON o.street_id = a.street_id
-WHERE abs(s.dx * o.dx + s.dy * o.dy) >= 0.966 * sqrt(s.dx * s.dx + s.dy * s.dy) * sqrt(o.dx * o.dx + o.dy * o.dy) AND abs((a.lng - s.mx) * cos(radians(s.my)) * 111194.92664455873 * s.dx + (a.lat - s.my) * 111194.92664455873 * s.dy) <= (s.dx * s.dx + s.dy * s.dy) / 2)""" + SEGMENT.format(cols="*", rows="c") + "SELECT street_id, anchor_id, number, round(lng0 + t * (lng1 - lng0), 5) AS lng, round(lat0 + t * (lat1 - lat0), 5) AS lat FROM seg WHERE metres <= 250")
+WHERE abs(s.dx * o.dx + s.dy * o.dy) >= 0.966 * sqrt(s.dx * s.dx + s.dy * s.dy) * sqrt(o.dx * o.dx + o.dy * o.dy) AND round(abs((a.lng - s.mx) * cos(radians(s.my)) * 111194.92664455873 * s.dx + (a.lat - s.my) * 111194.92664455873 * s.dy) / sqrt(s.dx * s.dx + s.dy * s.dy), 6) <= round(sqrt(s.dx * s.dx + s.dy * s.dy) / 2, 6))""" + SEGMENT.format(cols="*", rows="c") + "SELECT street_id, anchor_id, number, round(lng0 + t * (lng1 - lng0), 5) AS lng, round(lat0 + t * (lat1 - lat0), 5) AS lat FROM seg WHERE metres <= 250")
 def parallel_hints(spark, sf_dir):
     h = loc.parallel_hints(segments(spark, sf_dir), X.view(spark, sf_dir, "anchor"))
     return h.select("street_id", "anchor_id", "number", F.round("lng", 5).alias("lng"), F.round("lat", 5).alias("lat"))
@@ -177,7 +177,7 @@ def street_groups(spark, sf_dir):
     return gaz.grouped_streets(gaz.named_ways(w)).select("ubigeo", "type", "key", F.size("lines").alias("n_lines"), F.array_join("refs", ",").alias("refs"))
 
 
-@query(X.sql("street") + "SELECT street_id, printf('MULTILINESTRING((%.6f %.6f, %.6f %.6f))', lng0, lat0, lng1, lat1) AS wkt FROM street")
+@query(X.sql("street") + "SELECT street_id, printf('MULTILINESTRING((%.6f %.6f,%.6f %.6f))', lng0, lat0, lng1, lat1) AS wkt FROM street")
 def wkt_lines(spark, sf_dir):
     point = lambda i: F.struct(F.col(f"lng{i}").alias("lng"), F.col(f"lat{i}").alias("lat"))
     return X.view(spark, sf_dir, "street").select("street_id", files.wkt_lines(F.array(F.array(point(0), point(1)))).alias("wkt"))
@@ -196,28 +196,28 @@ def forms(by: str, table: dict[str, tuple[str, ...]], ident: str, tag: str) -> s
     return f"CASE {by} " + " ".join(f"WHEN '{k}' THEN {one_of(ident, tag, v)}" for k, v in table.items()) + " ELSE '' END"
 
 
-PLACED = f"""p AS (SELECT *, {draw('id', 'place', 6)} AS mode, {draw('id', 'case', 10)} AS up, {draw('id', 'accents', 2)} AS bare FROM a),
-q AS (SELECT *, addr || CASE mode WHEN 1 THEN ', Breña' WHEN 2 THEN ' - Breña' WHEN 3 THEN ', Breña, Lima' WHEN 4 THEN ', Breña, Lima, Perú' WHEN 5 THEN ' Breña' ELSE '' END AS raw FROM p),
+PLACED = f"""p AS (SELECT *, {draw('id', 'place', 7)} AS mode, {draw('id', 'case', 10)} AS up, {draw('id', 'accents', 2)} AS bare FROM a),
+q AS (SELECT *, addr || CASE mode WHEN 1 THEN ', Breña' WHEN 2 THEN ' - Breña' WHEN 3 THEN ', Breña, Lima' WHEN 4 THEN ', Breña, Lima, Perú' WHEN 5 THEN ' Breña' WHEN 6 THEN ' - Breña' ELSE '' END AS raw, CASE mode WHEN 6 THEN 'Lima' ELSE '' END AS province_field FROM p),
 z AS (SELECT *, CASE WHEN up < 2 THEN upper(raw) WHEN up = 2 THEN lower(raw) ELSE raw END AS cased FROM q),
 noise AS (SELECT *, CASE WHEN bare = 0 THEN translate(cased, 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU') ELSE cased END AS raw_address FROM z)
 """
 TITLED = "CASE (c_custkey) % 3 WHEN 0 THEN 'MARISCAL CASTILLA' WHEN 1 THEN 'SANTA ROSA' ELSE 'LOS SAUCES' END"
 SHORT = "CASE (c_custkey) % 3 WHEN 0 THEN 'Mcal. CASTILLA' WHEN 1 THEN 'Sta. ROSA' ELSE 'LOS SAUCES' END"
-KIND = "CASE c_custkey % 5 WHEN 0 THEN 'AVENIDA' WHEN 1 THEN 'JIRON' WHEN 2 THEN 'CALLE' WHEN 3 THEN 'PASAJE' ELSE '' END"
+KIND = X.choose("c_custkey", (*lexicon.DEFAULT.street_types, ""))
 
 
 @query(f"""WITH k AS (SELECT c_custkey AS id, {KIND} AS type, CASE WHEN {draw('c_custkey', 'titles', 2)} = 0 THEN {SHORT} ELSE {TITLED} END AS name, c_custkey % 900 + 1 AS number FROM customer),
 l AS (SELECT *, CASE WHEN {draw('id', 'untyped', 100)} < 8 OR type = '' THEN '' ELSE {forms('type', synth.TYPE_FORMS, 'id', 'type')} END AS kind FROM k),
-a AS (SELECT id, CASE WHEN kind <> '' THEN kind || ' ' ELSE '' END || name || ' ' || {one_of('id', 'number', synth.NUMBER_FORMS)} || number || CASE WHEN {draw('id', 'inner', 100)} < 15 THEN ' ' || {one_of('id', 'interior', synth.INTERIORS)} ELSE '' END AS addr, CASE WHEN {draw('id', 'untyped', 100)} < 8 THEN '' ELSE type END AS expected_type FROM l),
-{PLACED} SELECT id, raw_address, expected_type FROM noise""")
+a AS (SELECT id, CASE WHEN kind = '' THEN '' WHEN suffix(kind, '.') AND {draw('id', 'glued', 5)} = 0 THEN kind ELSE kind || ' ' END || name || ' ' || {one_of('id', 'number', synth.NUMBER_FORMS)} || number || CASE WHEN {draw('id', 'inner', 100)} < 15 THEN ' ' || {one_of('id', 'interior', synth.INTERIORS)} ELSE '' END AS addr, CASE WHEN {draw('id', 'untyped', 100)} < 8 THEN '' ELSE type END AS expected_type FROM l),
+{PLACED} SELECT id, raw_address, province_field, expected_type FROM noise""")
 def noisy_addresses(spark, sf_dir):
     spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
     p = spark.sql(f"SELECT c_custkey AS id, {KIND} AS type, {TITLED} AS name, CAST(c_custkey % 900 + 1 AS STRING) AS number, 'Breña' AS district, 'Lima' AS province, 'Perú' AS department FROM customer")
-    return synth.noisy(p).select("id", "raw_address", "expected_type")
+    return synth.noisy(p).select("id", "raw_address", "province_field", "expected_type")
 
 
 @query(f"""WITH k AS (SELECT 'MZL-' || s_suppkey || '-' || v AS id, CASE s_suppkey % 3 WHEN 0 THEN 'URBANIZACION' WHEN 1 THEN 'COOPERATIVA' ELSE 'ASENTAMIENTO HUMANO' END AS marker FROM supplier, (SELECT unnest([1, 2]) AS v)),
-l AS (SELECT *, CASE WHEN {draw('id', 'block', 100)} < 75 THEN chr((65 + {draw('id', 'letter', 26)})::INT) WHEN {draw('id', 'block', 100)} < 88 THEN chr((65 + {draw('id', 'letter', 26)})::INT) || ({draw('id', 'digit', 3)} + 1) ELSE '' || ({draw('id', 'count', 60)} + 1) END AS block, '' || ({draw('id', 'lot', 40)} + 1) AS lot FROM k),
+l AS (SELECT *, CASE WHEN {draw('id', 'block', 100)} < 75 THEN chr((65 + {draw('id', 'letter', 26)})::INT) WHEN {draw('id', 'block', 100)} < 88 THEN chr((65 + {draw('id', 'letter', 26)})::INT) || ({draw('id', 'digit', 3)} + 1) ELSE '' || ({draw('id', 'count', 60)} + 1) END AS block, ({draw('id', 'lot', 40)} + 1) || CASE WHEN {draw('id', 'lettered', 8)} = 0 THEN chr((65 + {draw('id', 'lot letter', 4)})::INT) ELSE '' END AS lot FROM k),
 m AS (SELECT *, {one_of('id', 'mz', synth.BLOCK_FORMS)} || block || ' ' || {one_of('id', 'lt', synth.LOT_FORMS)} || lot AS u, {forms('marker', synth.MARKERS, 'id', 'marker')} || ' Los Álamos' AS urb FROM l),
 a AS (SELECT *, CASE {draw('id', 'order', 4)} WHEN 0 THEN u || ' ' || urb WHEN 1 THEN urb || ' ' || u WHEN 2 THEN 'Calle 5 ' || u || ' ' || urb ELSE urb || ' Calle 5 ' || u END AS addr FROM m),
 {PLACED} SELECT id, raw_address, block, lot FROM noise""")
@@ -252,16 +252,16 @@ _cases = lambda of, pairs: f"CASE {of} " + " ".join(f"WHEN '{a}' THEN '{b}'" for
 
 
 @query(f"""WITH d AS (SELECT *, trim(regexp_replace(regexp_replace({X.folded('name', True)}, '[^A-Z0-9Ñ ]', ' ', 'g'), '\\s+', ' ', 'g')) AS shown, trim(regexp_replace(name, '\\s+', ' ', 'g')) AS written FROM ({AREAS})),
-e AS (SELECT *, regexp_extract(translate(shown, 'Ñ', 'N'), '^({'|'.join(lexicon.AREA_MARKERS)}) ', 1) AS opened FROM d),
-f AS (SELECT *, substr(shown, CASE opened WHEN '' THEN 1 ELSE length(opened) + 2 END) AS rest, coalesce({_cases('opened', lexicon.AREA_MARKERS)}, 'URBANIZACION') AS marker,
+e AS (SELECT *, regexp_extract(translate(shown, 'Ñ', 'N'), '^({'|'.join(lexicon.DEFAULT.area_markers)}) ', 1) AS opened FROM d),
+f AS (SELECT *, substr(shown, CASE opened WHEN '' THEN 1 ELSE length(opened) + 2 END) AS rest, coalesce({_cases('opened', lexicon.DEFAULT.area_markers)}, 'URBANIZACION') AS marker,
  array_to_string(string_split(written, ' ')[CASE opened WHEN '' THEN 1 ELSE len(string_split(opened, ' ')) + 1 END:], ' ') AS kept FROM e),
 g AS (SELECT *, string_split(rest, ' ') AS w, translate(rest, 'Ñ', 'N') AS key, string_split(translate(rest, 'Ñ', 'N'), ' ') AS k FROM f),
 o AS (SELECT g.area_id, bool_or(len(list_filter(range(2, len(k) + 1), lambda j: k[j - 1] NOT IN ('DE', 'DEL', 'LA', 'LAS', 'LOS', 'EL', 'Y') AND starts_with(array_to_string(k[j:], ' ') || ' ', v.n || ' '))) > 0) AS own
  FROM g LEFT JOIN (VALUES {', '.join(map(str, OWN_NAMES))}) v(u, n) ON v.u = g.ubigeo GROUP BY g.area_id),
 h AS (SELECT area_id, ubigeo, marker, kept AS name, marker || ' ' || array_to_string(list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]+({lexicon.ORDINAL_ENDINGS.replace(' ', '|')})$') THEN regexp_extract(x, '^[0-9]+')
-  WHEN w[i + 1] IN ('ETAPA', 'SECTOR', 'ZONA', 'GRUPO') THEN coalesce({_cases('x', lexicon.ORDINALS)}, x) ELSE x END), ' ') AS expected,
+  WHEN w[i + 1] IN ('ETAPA', 'SECTOR', 'ZONA', 'GRUPO') THEN coalesce({_cases('x', lexicon.DEFAULT.ordinal_words)}, x) ELSE x END), ' ') AS expected,
  CASE WHEN len(string_split(written, ' ')) <> len(string_split(shown, ' ')) OR written LIKE '%(%' OR written LIKE '%)%' OR ' ' || shown || ' ' LIKE '% A H %' THEN 'puntuacion_ambigua'
-  WHEN list_has_any(k, {_listed([*lexicon.NOT_IN_AREA_NAMES.split(), *lexicon.REFERENCE_MARKERS.split(), *lexicon.STREET_TYPES])}) THEN 'palabra_que_cambia_el_parseo'
+  WHEN list_has_any(k, {_listed([*lexicon.DEFAULT.words_not_in_area_names, *lexicon.DEFAULT.reference_markers, *lexicon.DEFAULT.street_types])}) THEN 'palabra_que_cambia_el_parseo'
   WHEN key IN {PLACES} THEN 'nombre_de_distrito' WHEN n_districts <> 1 THEN 'fuera_o_en_borde' WHEN own THEN 'nombre_con_su_distrito' ELSE '' END AS reason FROM g JOIN o USING (area_id))
 SELECT area_id, CASE reason WHEN '' THEN marker END AS marker, CASE reason WHEN '' THEN name END AS name, CASE reason WHEN '' THEN expected END AS expected, CASE WHEN reason = '' AND row_number() OVER (PARTITION BY ubigeo, expected, reason ORDER BY area_id) > 1 THEN 'duplicado' ELSE reason END AS reason FROM h""")
 def area_cleaning(spark, sf_dir):

@@ -15,6 +15,17 @@ SYNONYMS = {
     "external_id": ("external_id", "id"), "address": ("address", "direccion", "raw_address"), "number": ("number", "numero"), "reference": ("reference", "referencia"),
     "district": ("district", "distrito", "district_field"), "province": ("province", "provincia", "province_field"), "department": ("department", "departamento", "department_field"), "ubigeo": ("ubigeo",),
 }
+#: The columns of an evaluation set, of a sample, and what a proposal adds to a sample.
+GOLDEN = (
+    "id", "source", "raw_address", "district_field", "province_field", "department_field", "expected_street_type", "expected_street_name", "expected_number", "expected_block",
+    "expected_lot", "expected_urbanization", "expected_ubigeo", "lat_verified", "lng_verified", "verification_method", "verified_by", "split", "notes",
+)
+INTERIOR = "expected_interior"
+SAMPLE = ("id_muestra", "cuenta", "direccion", "numero", "referencia", "distrito", "provincia", "departamento", "ubigeo")
+PROPOSED = {
+    "p_tipo_via": "street_type", "p_nombre_via": "street_name", "p_numero": "number", "p_interior": "interior", "p_mz": "block", "p_lt": "lot", "p_urbanizacion": "urbanization",
+    "p_referencia": "reference", "p_ubigeo": "loc_ubigeo", "p_normalizada": "normalized", "p_flags": "flags",
+}
 GPS = ("id_muestra", "direccion", "numero", "referencia", "distrito", "provincia", "departamento", "ubigeo", "fecha_entrega", "lat_entrega", "lng_entrega")
 
 
@@ -50,6 +61,82 @@ def gps_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.where("lat IS NOT NULL AND lng IS NOT NULL")
 
 
+def csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of CSV files as text, empty ones as empty text; a row with another number of fields is an error. Fields may hold line breaks."""
+    head = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in head)
+    d = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"').csv(path)
+    return d.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in head])
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def golden_csv(spark: SparkSession, path: str) -> DataFrame:
+    """An evaluation set: its columns in their order, and perhaps the interior's at the end (null where the file has none)."""
+    d = csv_rows(spark, path)
+    if tuple(d.columns) not in (GOLDEN, (*GOLDEN, INTERIOR)):
+        raise ValueError(f"{path}: the columns must be {', '.join(GOLDEN)} and perhaps {INTERIOR}")
+    return d if INTERIOR in d.columns else d.withColumn(INTERIOR, F.lit(None).cast("string"))
+
+
+def write_golden(rows: DataFrame, path: str) -> None:
+    """The interior's column is written if any row has one that is not null."""
+    with_interior = not rows.where(F.col(INTERIOR).isNotNull()).isEmpty()
+    write_csv(rows.select(*GOLDEN, *([INTERIOR] if with_interior else [])), path)
+
+
+def sample_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of a sample, trimmed, wherever they stand in the file."""
+    d = csv_rows(spark, path)
+    if missing := [c for c in SAMPLE if c not in d.columns]:
+        raise ValueError(f"{path}: columns missing: {', '.join(missing)}")
+    return d.select(*[F.trim(c).alias(c) for c in SAMPLE])
+
+
+def proposals(read: DataFrame) -> DataFrame:
+    """A sample (columns of SAMPLE) with what the normalizer made of each row, as the columns of a labelling sheet; from a row with both."""
+    made = [(F.array_join("flags", " ") if c == "flags" else F.col(c)).alias(name) for name, c in PROPOSED.items()]
+    return read.select(*SAMPLE, *made)
+
+
+def write_polygons(polygons: DataFrame, path: str, stamp: str, tolerance: float) -> None:
+    """District outlines (ubigeo, name, osm_relation, ring, points) as one JSON document that ``district_polygons`` reads, with a ``_meta`` part; districts are few."""
+    rings = F.transform("r", lambda x: F.transform(x["points"], lambda p: F.array(p["lng"], p["lat"])))
+    d = polygons.groupBy("ubigeo", "name", "osm_relation").agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("r"))
+    d = d.select("ubigeo", "name", "osm_relation", rings.alias("rings"))
+    whole = d.agg(F.sort_array(F.collect_list(F.struct("ubigeo", "name", "osm_relation", "rings"))).alias("districts"))
+    meta = F.struct(F.lit(stamp).alias("osm_timestamp"), F.lit(tolerance).alias("simplify_deg"), F.size("districts").alias("district_count"))
+    whole.select(F.to_json(F.struct(meta.alias("_meta"), "districts")).alias("value")).coalesce(1).write.text(path)
+
+
+def batch_lines(resolved: DataFrame, pos: str = "pos") -> DataFrame:
+    """pos, value: one JSON object a row of a resolved batch."""
+    return resolved.select(pos, F.to_json(F.struct(*[c for c in resolved.columns if c != pos])).alias("value"))
+
+
+def write_batch(resolved: DataFrame, path: str, pos: str = "pos") -> None:
+    """NDJSON in the order of ``pos``: its ranges become files whose names, and lines, rise with it."""
+    lines = batch_lines(resolved, pos)
+    lines.repartitionByRange(pos).sortWithinPartitions(pos).select("value").write.text(path)
+
+
+def osm_stamp(spark: SparkSession, path: str) -> str | None:
+    """The newest time that the map extracts of a path state as their base."""
+    return spark.read.schema("osm3s struct<timestamp_osm_base: string>").option("multiLine", True).json(path).agg(F.max("osm3s.timestamp_osm_base")).first()[0]
+
+
+def parse_wkt(text: Column) -> Column:
+    """The lines, arrays of (lng, lat), of POINT, LINESTRING or MULTILINESTRING text; null of any other."""
+    body = F.regexp_replace(F.upper(F.trim(text)), r"^(POINT|LINESTRING|MULTILINESTRING)\s*", "")
+    sound = text.rlike(r"(?i)^\s*(POINT|LINESTRING|MULTILINESTRING)\s*\([-+0-9.eE,()\s]+\)\s*$")
+    parts = F.regexp_extract_all(body, F.lit(r"([-+0-9.E][-+0-9.E,\s]*)"), F.lit(1))
+    number = lambda p, i: F.element_at(F.split(F.trim(p), r"\s+"), i).try_cast("double")
+    lines = F.transform(F.filter(parts, lambda x: F.trim(F.replace(x, F.lit(","), F.lit(""))) != ""), lambda l: F.transform(F.split(F.trim(l), r"\s*,\s*"), lambda p: F.struct(number(p, 1).alias("lng"), number(p, 2).alias("lat"))))  # noqa: E741
+    return F.when(sound, lines)
+
+
 def results(rows: DataFrame) -> DataFrame:
     """The result columns of an import; coordinates only where the address is resolved."""
     seen = lambda c: F.when(F.col("status") == "RESOLVED", F.col(c))
@@ -59,8 +146,8 @@ def results(rows: DataFrame) -> DataFrame:
 def wkt_lines(lines: Column) -> Column:
     """MULTILINESTRING text of lines, arrays of (lng, lat)."""
     point = lambda p: F.format_string("%.6f %.6f", p["lng"], p["lat"])
-    each = F.transform(lines, lambda l: F.concat(F.lit("("), F.array_join(F.transform(l, point), ", "), F.lit(")")))  # noqa: E741
-    return F.concat(F.lit("MULTILINESTRING("), F.array_join(each, ", "), F.lit(")"))
+    each = F.transform(lines, lambda l: F.concat(F.lit("("), F.array_join(F.transform(l, point), ","), F.lit(")")))  # noqa: E741
+    return F.concat(F.lit("MULTILINESTRING("), F.array_join(each, ","), F.lit(")"))
 
 
 def geojson_polygon(rings: Column) -> Column:
@@ -100,6 +187,11 @@ def publish(tables: dict[str, DataFrame], root: str, version: str) -> str:
 
 def latest(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The tables of the newest published version."""
+    return latest_version(spark, root)[1]
+
+
+def latest_version(spark: SparkSession, root: str) -> tuple[str, dict[str, DataFrame]]:
+    """The newest published version and its tables."""
     marks = spark.read.schema("version string, name string").parquet(f"{root}/_published")
     version = marks.agg(F.max("version")).first()[0]
-    return {r.name: spark.read.parquet(f"{root}/version={version}/{r.name}") for r in marks.where(F.col("version") == version).select("name").distinct().collect()}
+    return version, {r.name: spark.read.parquet(f"{root}/version={version}/{r.name}") for r in marks.where(F.col("version") == version).select("name").distinct().collect()}

@@ -5,19 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back: built once, and a lost executor costs a reread.
-
-    Only where that setting is missing (tests, one machine) is a temporary folder made and set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only where that is missing and all runs on one machine (tests) is a temporary one made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='callejero-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/callejero/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/callejero/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: built once, and a lost executor costs a reread."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,10 +30,18 @@ def decision_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("decision", "precision_level").agg(F.count("*").alias("n"))
 
 
-def rate_limited(requests: DataFrame, rate: float) -> DataFrame:
-    """client, time, request_id, allowed: a token bucket per client of ``rate`` a second and twice that in burst, by event time."""
+def rate_limited(requests: DataFrame, rate: float, delay: str = "1 minute") -> DataFrame:
+    """client, time, request_id, allowed: a token bucket per client of ``rate`` a second and twice that in burst, by event time.
+
+    A bucket that nobody asks for two seconds is full again, so its state is dropped once the
+    watermark (``delay`` behind the newest request) has passed that; it starts full when asked again.
+    """
+    full_after = 2.0
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tokens, last = state.get if state.exists else (2 * rate, None)
         for batch in batches:
             batch, allowed = batch.sort_values(["time", "request_id"]), []
@@ -44,5 +52,34 @@ def rate_limited(requests: DataFrame, rate: float) -> DataFrame:
                 tokens -= 1 if tokens >= 1 else 0
             yield batch[["client", "time", "request_id"]].assign(allowed=allowed)
         state.update((tokens, last))
+        state.setTimeoutTimestamp(int(max((last + full_after) * 1000, state.getCurrentWatermarkMs() + 1)))
+
+    timed = requests.withWatermark("time", delay)
+    return timed.groupBy("client").applyInPandasWithState(run, "client string, time timestamp, request_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_latest_tables(requests: DataFrame, load: Callable[[], tuple[str, dict[str, DataFrame]]], answer: Callable[[DataFrame, dict[str, DataFrame]], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
+    """Answer a stream of requests with the newest published tables.
+
+    Every micro-batch asks ``load`` for (version, tables) first, so a publication holds from the next batch on. Where loading
+    fails, the tables of the batch before stay; only without any does the batch fail. ``write``
+    gets each batch's answers, with their version.
+    """
+    held: dict = {}
+
+    def batch(rows: DataFrame, number: int) -> None:
+        try:
+            held["version"], held["tables"] = load()
+        except Exception:  # a half-written or missing publication: go on with what is there
+            if not held:
+                raise
+        write(answer(rows, held["tables"]).withColumn("version", F.lit(held["version"])))
+
+    writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client string, time timestamp, request_id long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+def dropped_events(buffered: DataFrame, capacity: int) -> DataFrame:
+    """second, kept, dropped: what a bounded buffer that is emptied every second would have dropped; this sink drops nothing."""
+    n = buffered.groupBy(F.date_trunc("second", "time").alias("second")).agg(F.count("*").alias("n"))
+    return n.select("second", F.least("n", F.lit(capacity)).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0)).alias("dropped"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from callejero.functions import geo
 from callejero.operators import locate as loc, truth
-from callejero.plans import desk, queries as plans  # noqa: F401
+from callejero.plans import build, desk, evaluate, queries as plans, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -26,7 +26,7 @@ def test_osm_and_polygons(spark, tmp_path):
     ring = files.district_polygons(spark, str(tmp_path / "d.json"))
     assert ring.first().points[1].lng == 1.0
     text = ring.select(files.wkt_lines(F.array("points")).alias("w"), files.geojson_polygon(F.array("points")).alias("g")).first()
-    assert text.w.startswith("MULTILINESTRING((0.000000 0.000000, 1.0") and json.loads(text.g)["coordinates"][0][1] == [1.0, 0.0]
+    assert text.w.startswith("MULTILINESTRING((0.000000 0.000000,1.0") and json.loads(text.g)["coordinates"][0][1] == [1.0, 0.0]
 
 
 def test_workbook(tmp_path):
