@@ -17,12 +17,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) is a temporary folder made and set.
+    Only where that is unset and all runs on one machine (tests) is a temporary folder made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='callejero-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
