@@ -57,7 +57,7 @@ STATES = 6
 #: The least gain of a pass, log10 likelihood a token.
 GAIN = 0.001
 #: Distinct tokens that a task holds before it passes their counts on, documents encoded and tokens worked on at a time.
-HOLD, SLICE, HELD_TOKENS = 100_000, 256, 500_000
+HOLD, SLICE, HELD_TOKENS = 100_000, 256, 250_000
 #: Steps of a block.
 LENGTH = 1024
 #: Classes whose place as right neighbour the first guess tells apart, its starts and rounds.
