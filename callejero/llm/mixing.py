@@ -7,7 +7,8 @@ sorted by key within their source and taken as long as the prefix sum of their s
 within the budget (the document at the boundary goes in where at least half of it fits).
 
 No source is ever sorted as a whole: keys are cut into ranges, range sums give the one range
-of each source where the budget ends, and only that range is sorted. Selection is then a
+of each source where the budget ends, which is cut again until it holds ``WINDOW`` rows at most,
+and only these are sorted. Selection is then a
 comparison with the source's cut, so texts never move. Main path: DataFrame functions only.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source is a source
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import stored, text_of, word_count
 
 RANGES = 1024
+#: Rows of a source that are sorted in one window at most, unless they share one key.
+WINDOW = 50_000
 #: Tables of one row per source are broadcast up to so many sources; beyond that Spark deals the joins.
 BROADCAST_SOURCES = 50_000
 CYCLE = (1, 2, 3)
@@ -91,16 +94,45 @@ def mixing_plan(base: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int = CAP)
     r = ranges.withColumn("through", F.sum("range_size").over(along)).alias("r").join(small(t).alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
     ends = r.where(F.col("through") > F.col("rest")).groupBy("t.source").agg(F.min("range").alias("cut_range"), F.min_by(F.col("rest") - (F.col("through") - F.col("range_size")), F.col("range")).alias("budget"))
     ends = ends.withColumnRenamed("source", "cut_source")
-    inside = base.join(small(ends), base["source"].eqNullSafe(F.col("cut_source")) & (base["range"] == F.col("cut_range")))
-    ties = inside.groupBy("cut_source", "budget", "key").agg(F.sum("size").alias("size"))
+    inside = base.join(small(ends), base["source"].eqNullSafe(F.col("cut_source")) & (base["range"] == F.col("cut_range"))).select("cut_source", "budget", F.lit(None).cast("double").alias("below"), "key", "size")
+    while True:
+        # Low weights crowd the last range: it is cut again, between its own least and largest key, until it is small.
+        spans = inside.groupBy("cut_source", "budget").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        wide = stored(spans.where((F.col("n") > WINDOW) & (F.col("lo") < F.col("hi"))), "mixing-wide")
+        if wide.isEmpty():
+            break
+        inside = stored(narrowed(inside, small(wide)), "mixing-inside")
+    ties = inside.groupBy("cut_source", "budget", "below", "key").agg(F.sum("size").alias("size"))
     order = Window.partitionBy("cut_source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     ties = ties.withColumn("middle", F.sum("size").over(order) - F.col("size") / 2)
-    cuts = ties.where(F.col("middle") <= F.col("budget")).groupBy("cut_source").agg(F.max("key").alias("cut_key"))
+    cuts = ties.groupBy("cut_source").agg(F.coalesce(F.max(F.when(F.col("middle") <= F.col("budget"), F.col("key"))), F.max("below")).alias("cut_key"))
     ends = ends.alias("e").join(cuts.alias("c"), F.col("e.cut_source").eqNullSafe(F.col("c.cut_source")), "left").select("e.cut_source", "cut_range", "cut_key")
     full = t.join(ends, t["source"].eqNullSafe(ends["cut_source"]), "left")
     return small(full.select("source", "source_size", "target", "epochs", "cut_range", "cut_key"))
 
 
+def narrowed(inside: DataFrame, wide: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``inside`` (cut_source, budget, below, key, size) where the sources of ``wide`` (cut_source, lo, hi) keep one of so many even parts of their keys: that in which the budget ends.
+
+    ``below`` is the largest key of the parts before, which are all within the budget.
+    """
+    w = wide.select(F.col("cut_source").alias("w_source"), "lo", "hi")
+    d = inside.join(w, F.col("cut_source").eqNullSafe(F.col("w_source")), "left")
+    part = F.when(F.col("lo").isNull(), -1).otherwise(F.least(F.lit(ranges - 1), F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges))).cast("int")
+    d = d.select("cut_source", "budget", "below", "key", "size", part.alias("part"))
+    # At most so many rows a source.
+    sums = d.where("part >= 0").groupBy("cut_source", "budget", "part").agg(F.sum("size").alias("part_size"), F.max("key").alias("top"))
+    along = Window.partitionBy("cut_source").orderBy("part")
+    sums = sums.withColumn("through", F.sum("part_size").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("under", F.max("top").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    left = F.col("budget") - (F.col("through") - F.col("part_size"))
+    # The range was chosen because the words through it pass the budget, so the words through one of its parts do.
+    ends = sums.where(F.col("through") > F.col("budget")).groupBy("cut_source").agg(F.min_by(F.struct("part", left.alias("left"), "under"), "part").alias("e"))
+    ends = stored(ends.select(F.col("cut_source").alias("e_source"), "e"), "mixing-parts")
+    small = F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends
+    j = d.join(small, F.col("cut_source").eqNullSafe(F.col("e_source")), "left").where((F.col("part") < 0) | (F.col("part") == F.col("e.part")))
+    return j.select("cut_source", F.coalesce("e.left", "budget").alias("budget"), F.coalesce("e.under", "below").alias("below"), "key", "size")
+
+
 def copies(key: Column, rng: Column) -> Column:
     """How often the mix takes a document, from its source's row of the plan."""
     chosen = (rng < F.col("cut_range")) | ((rng == F.col("cut_range")) & (key <= F.col("cut_key")))
