@@ -12,14 +12,27 @@ from . import locate as loc, resolve as res
 AREA_SCORE = 0.7
 
 
-def geocode(read: DataFrame, streets: DataFrame, segments: DataFrame, anchors: DataFrame, crossings: DataFrame, marks: DataFrame, hints: DataFrame, areas: DataFrame, verified: DataFrame, centroids: DataFrame) -> DataFrame:
+def published(streets: DataFrame, segments: DataFrame, anchors: DataFrame, crossings: DataFrame, marks: DataFrame, areas: DataFrame, centroids: DataFrame, hints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of a gazetteer that ``geocode`` reads; publish them (``sources.files.publish``) once a version.
+
+    ``areas`` is (ubigeo, key, lng, lat), ``centroids`` (ubigeo, lng, lat), each with one row per key;
+    ``hints`` are those of parallel streets unless others are given.
+    """
+    hints = loc.parallel_hints(segments, anchors) if hints is None else hints
+    n = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"))
+    named = streets.join(n, "street_id", "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
+    indexed = streets.select("ubigeo").union(areas.select("ubigeo")).distinct()
+    return {"streets": named, "indexed": indexed, "areas": areas, "centroids": centroids} | loc.prepared(segments, anchors, crossings, marks, hints)
+
+
+def geocode(read: DataFrame, g: dict[str, DataFrame], verified: DataFrame) -> DataFrame:
     """One row per row of ``read`` (req_id and the normalizer's columns).
 
     Scope first, then verified addresses, streets, the named area, the district's centroid. Only
-    candidates within the band of a request's best score are placed. ``areas`` is (ubigeo, key,
-    lng, lat), ``verified`` (address_hash, lng, lat, method), ``centroids`` (ubigeo, lng, lat),
-    each with one row per key.
+    candidates within the band of a request's best score are placed. ``g`` holds the tables of
+    ``published``; ``verified`` is (address_hash, lng, lat, method), one row a hash.
     """
+    streets, areas, centroids = g["streets"], g["areas"], g["centroids"]
     named = F.when(F.col("urbanization") != "", T.area_key(F.col("urbanization")))
     r = read.select(
         "req_id", F.col("loc_ubigeo").alias("ubigeo"), "in_scope", "flags", "normalized", F.col("street_type").alias("req_type"), T.key(F.col("street_name")).alias("req_key"),
@@ -27,7 +40,7 @@ def geocode(read: DataFrame, streets: DataFrame, segments: DataFrame, anchors: D
         F.when(F.col("match_key") != "", T.address_hash(F.col("match_key"), F.col("loc_ubigeo"))).alias("address_hash"),
     )
     r = r.join(areas.select("ubigeo", F.col("key").alias("area_key"), F.col("lng").alias("near_lng"), F.col("lat").alias("near_lat")), ["ubigeo", "area_key"], "left")
-    r = r.join(streets.select("ubigeo").union(areas.select("ubigeo")).distinct().withColumn("indexed", F.lit(True)), "ubigeo", "left")
+    r = r.join(g["indexed"].withColumn("indexed", F.lit(True)), "ubigeo", "left")
     r = r.join(verified.select("address_hash", F.struct("lng", "lat", "method").alias("v")), "address_hash", "left")
     r = r.join(centroids.select("ubigeo", F.struct("lng", "lat").alias("centre")), "ubigeo", "left")
     # The normalizer's reading and the candidates are built once; all that follows reads them several times.
@@ -39,11 +52,10 @@ def geocode(read: DataFrame, streets: DataFrame, segments: DataFrame, anchors: D
     pairs = found.join(asked.select("req_id", "num", "near_lng", "near_lat"), "req_id").withColumn("pair", F.concat_ws("|", "req_id", "street_id"))
     pairs = stored(pairs, "geocode-pairs")
     places = pairs.select(F.col("pair").alias("req_id"), "street_id", "num", "near_lng", "near_lat")
-    at = loc.on_street(places, segments, anchors, crossings, marks, hints).select(F.col("req_id").alias("pair"), F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
-    off = loc.nearest_of_street(places, segments).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
-    doors = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"))
-    full = pairs.join(at, "pair").join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name"), "street_id").join(doors, "street_id", "left")
-    full = stored(full, "geocode-places").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0))).withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
+    at = loc.on_street(places, g).select(F.col("req_id").alias("pair"), F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
+    off = loc.nearest_of_street(places, g["segments"]).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
+    full = pairs.join(at, "pair").join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name", "n_anchors"), "street_id")
+    full = stored(full, "geocode-places").withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
     chosen = res.pick(full.select("req_id", "street_id", "key", "score", "n_anchors", "covers", "area_m"))
     hit = chosen.join(full.select("req_id", "street_id", "match", "score", "at", F.trim(F.concat_ws(" ", "type", "name")).alias("street")), ["req_id", "street_id"])
 

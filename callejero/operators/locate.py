@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import bisect
 import math
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,18 +37,24 @@ def beside(requests: DataFrame, anchors: DataFrame, unit: int = 1) -> DataFrame:
     return requests.withColumn("lo", low).join(rows, ["street_id", "side", "lo"]).drop("lo")
 
 
+def doors(anchors: DataFrame) -> DataFrame:
+    """street_id, number, lng, lat, spread: the anchors of one number as one, at the smallest lng, lat, and how far the others stand from it."""
+    at = anchors.select("street_id", "number", "lng", "lat")
+    one = at.groupBy("street_id", "number").agg(F.min(F.struct("lng", "lat")).alias("p"))
+    apart = geo.distance(F.col("p.lng"), F.col("p.lat"), F.col("lng"), F.col("lat"))
+    both = at.join(one, ["street_id", "number"]).groupBy("street_id", "number", "p").agg(F.max(apart).alias("spread"))
+    return both.select("street_id", "number", "p.lng", "p.lat", "spread")
+
+
 def interpolate(requests: DataFrame, anchors: DataFrame, same_side: bool = True, hold_out: str = "") -> DataFrame:
     """req_id, lng, lat, precision, tight for (req_id, street_id, num) on (street_id, number, lng, lat).
 
-    Anchors of one number count as one, at the smallest lng, lat; an exact hit is tight where all of
-    them stand close to it. ``hold_out`` leaves out the request's own number or block.
+    Anchors of one number count as one (``doors``, which may be given instead); an exact hit is
+    tight where all of them stand close together. ``hold_out`` leaves out the request's own number or block.
     """
     side = lambda number: (F.col(number) % 2 if same_side else F.lit(0)).cast("int").alias("side")
-    doors = anchors.select("street_id", side("number"), "number", "lng", "lat")
-    one = doors.groupBy("street_id", "side", "number").agg(F.min(F.struct("lng", "lat")).alias("p"))
-    apart = geo.distance(F.col("p.lng"), F.col("p.lat"), F.col("lng"), F.col("lat"))
-    one = doors.join(one, ["street_id", "side", "number"]).groupBy("street_id", "side", "number", "p").agg(F.max(apart).alias("spread"))
-    one = one.select("street_id", "side", "number", F.struct("number", "p.lng", "p.lat", "spread").alias("value"))
+    one = anchors if "spread" in anchors.columns else doors(anchors)
+    one = one.select("street_id", side("number"), "number", F.struct("number", "lng", "lat", "spread").alias("value"))
     asked = requests.select("req_id", "street_id", "num", side("num"))
     found = beside(asked, one, {"": 1, "anchor": 1, "block": 100}[hold_out])
     g = found.select("req_id", "num", (F.lit(None).cast(found.schema["own"].dataType) if hold_out else F.col("own")).alias("e"), F.col("below").alias("l"), F.col("above").alias("h"))
@@ -108,7 +115,6 @@ class Blocks:
                 box[hundred] = box.get(hundred, 0) + weight
         self.hundred: dict[int, int] = {j: min(v, key=lambda h: (-v[h], h)) for j, v in enumerate(votes) if v}
         marked = {at(c) for _, c in marks}
-        self.source = {j: "marca" if j in marked else "ancla" for j in self.hundred}
         self.voted = sorted(self.hundred)
         self.direction = self._direction(marked, anchors)
         self.inside = {j: [(num / 100, c) for num, c in anchors if at(c) == j and num // 100 == h] for j, h in self.hundred.items()}
@@ -132,7 +138,6 @@ class Blocks:
                 self.hundred |= {j: known[p] + d * (j - p) for j in range(p + 1, q)}
         for end, steps in ((self.voted[0], range(-1, -SPREAD - 1, -1)), (self.voted[-1], range(1, SPREAD + 1))):
             self.hundred |= {end + s: known[end] + d * s for s in steps if 0 <= end + s < self.n and known[end] + d * s >= 0}
-        self.source |= {j: "secuencia" for j in self.hundred if j not in self.source}
 
     @staticmethod
     def _along(points: list[tuple[float, float]], x: float) -> float | None:
@@ -157,31 +162,42 @@ class Blocks:
         return None if c is None else (c, False)
 
 
-def place_by_blocks(requests: DataFrame, anchors: DataFrame, cuts: DataFrame, marks: DataFrame, extents: DataFrame) -> DataFrame:
-    """req_id, street_id, num, chainage, sure: numbers placed by their street's block model.
+def block_streets(anchors: DataFrame, cuts: DataFrame, marks: DataFrame, extents: DataFrame) -> DataFrame:
+    """street_id, lo, hi and the street's anchors, cuts and marks as sorted arrays: all that its block model needs."""
+    pairs = lambda df, *c: df.groupBy("street_id").agg(F.sort_array(F.collect_list(F.struct(*c) if len(c) > 1 else c[0])).alias("_".join(c)))
+    d = extents.join(pairs(anchors, "number", "chainage"), "street_id", "left").join(pairs(cuts, "cut"), "street_id", "left").join(pairs(marks, "hundred", "chainage"), "street_id", "left")
+    return d.where((F.col("hi") > F.col("lo")) & (F.col("hundred_chainage").isNotNull() | (F.col("cut").isNotNull() & F.col("number_chainage").isNotNull())))
+
+
+def placed_in_blocks(requests: DataFrame, streets: DataFrame) -> DataFrame:
+    """req_id, street_id, num, chainage, sure: numbers placed by their street's block model, from ``block_streets``.
 
-    A street's data are gathered as arrays by plain aggregations and the model is built once per
-    street and batch; nothing beyond one street is held at a time.
+    A street's distinct numbers are placed once, so no row holds more than a street's numbers, however many ask for them.
     """
-    pairs = lambda df, *c: df.groupBy("street_id").agg(F.sort_array(F.collect_list(F.struct(*c) if len(c) > 1 else c[0])).alias("_".join(c)))
-    street = extents.join(pairs(anchors, "number", "chainage"), "street_id", "left").join(pairs(cuts, "cut"), "street_id", "left").join(pairs(marks, "hundred", "chainage"), "street_id", "left")
-    asked = requests.groupBy("street_id").agg(F.collect_list(F.struct("req_id", "num")).alias("asked"))
+    asked = requests.groupBy("street_id").agg(F.collect_set("num").alias("asked"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for s in batch.to_dict("records"):
-                rows = {k: [] if s[k] is None or isinstance(s[k], float) else list(s[k]) for k in ("number_chainage", "cut", "hundred_chainage")}
-                a = [(int(x["number"]), float(x["chainage"])) for x in rows["number_chainage"]]
-                m = [(int(x["hundred"]), float(x["chainage"])) for x in rows["hundred_chainage"]]
-                if (m or (rows["cut"] and a)) and s["hi"] > s["lo"] and math.isfinite(s["hi"]):
-                    blocks = Blocks(s["lo"], s["hi"], [float(c) for c in rows["cut"]], a, m)
-                    for q in s["asked"]:
-                        if found := blocks.place(int(q["num"])):
-                            out.append((q["req_id"], s["street_id"], int(q["num"]), *found))
-            yield pd.DataFrame(out, columns=["req_id", "street_id", "num", "chainage", "sure"])
+            column = {name: batch.column(name) for name in batch.schema.names}
+            for i in range(batch.num_rows):
+                value = lambda name: column[name][i].as_py()  # noqa: E731, B023
+                hi, ident = value("hi"), value("street_id")
+                if not math.isfinite(hi):
+                    continue
+                anchors = [(x["number"], x["chainage"]) for x in value("number_chainage") or ()]
+                blocks = Blocks(value("lo"), hi, value("cut") or [], anchors, [(x["hundred"], x["chainage"]) for x in value("hundred_chainage") or ()])
+                out += [(ident, num, *found) for num in value("asked") if (found := blocks.place(num))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.bool_()))], ["street_id", "num", "chainage", "sure"])
+
+    placed = streets.join(asked, "street_id").withColumn("lo", F.col("lo").cast("double")).withColumn("hi", F.col("hi").cast("double"))
+    placed = placed.mapInArrow(run, "street_id long, num int, chainage double, sure boolean")
+    return requests.select("req_id", "street_id", F.col("num").cast("int").alias("num")).join(placed, ["street_id", "num"]).select("req_id", "street_id", "num", "chainage", "sure")
+
 
-    return street.join(asked, "street_id").mapInPandas(run, f"req_id {requests.schema['req_id'].dataType.simpleString()}, street_id long, num int, chainage double, sure boolean")
+def place_by_blocks(requests: DataFrame, anchors: DataFrame, cuts: DataFrame, marks: DataFrame, extents: DataFrame) -> DataFrame:
+    """``placed_in_blocks`` on tables that are not gathered yet."""
+    return placed_in_blocks(requests, block_streets(anchors, cuts, marks, extents))
 
 
 # -- from the axis to the map ----------------------------------------------------
@@ -277,47 +293,61 @@ def parallel_hints(segments: DataFrame, anchors: DataFrame) -> DataFrame:
     return g.select("street_id", "number", "n.lng", "n.lat", "anchor_id")
 
 
-def on_street(requests: DataFrame, segments: DataFrame, anchors: DataFrame, crossings: DataFrame, marks: DataFrame, hints: DataFrame) -> DataFrame:
+def prepared(segments: DataFrame, anchors: DataFrame, crossings: DataFrame, marks: DataFrame, hints: DataFrame) -> dict[str, DataFrame]:
+    """The tables that ``on_street`` reads, which depend on the gazetteer alone: build and publish them once a version."""
+    axis = stored(frames(segments), "street-axes")
+    extents = axis.select("street_id", "lo", "hi")
+    chain = lambda a: chained(a.select("street_id", "number", "lng", "lat"), axis).select("street_id", "number", "chainage")
+    cuts = chained(crossings.select("street_id", "lng", "lat"), axis).select("street_id", F.col("chainage").alias("cut"))
+    marked = chained(marks.select("street_id", "hundred", "lng", "lat"), axis).select("street_id", "hundred", "chainage")
+    lent = stored(hints.select("street_id", "number", "lng", "lat"), "street-hints")
+    return {
+        "segments": segments, "axis": axis, "middle": middle_points(segments), "doors": doors(anchors), "chain": chain(anchors),
+        "blocks": block_streets(chain(anchors), cuts, marked, extents), "lent_blocks": block_streets(chain(lent), cuts, marked, extents.join(lent.select("street_id").distinct(), "street_id", "left_semi")),
+        "offsets": side_offsets(anchors, segments, axis), "lent_offsets": side_offsets(lent, segments, axis),
+    }
+
+
+def on_street(requests: DataFrame, g: dict[str, DataFrame]) -> DataFrame:
     """req_id, lng, lat, precision, tight, note: the place of a number (or of none) on a known street.
 
     ``requests`` holds (req_id, street_id, num, near_lng, near_lat), of which the last three may be
-    null. In order: anchors of the number's side, the block model, anchors of any side, the blocks
-    that parallel streets imply, extrapolation, the point nearest to a named area, the middle.
-    Each step is set-based; the first that has an answer counts. Tables of streets that several
-    steps read are built once and stored; ``requests`` is read by every step, so store it too if
-    it is costly.
+    null; ``g`` is ``prepared``. In order: anchors of the number's side, the block model, anchors of any
+    side, the blocks that parallel streets imply, extrapolation, the point nearest to a named area,
+    the middle. Up to extrapolation a number's place depends on its street alone, so each number
+    of a street is placed once, and a step gets only what those before it left open.
     """
-    axis, middle, hints = stored(frames(segments), "street-axes"), middle_points(segments), stored(hints, "street-hints")
-    asked = requests.where("num IS NOT NULL").select("req_id", "street_id", "num")
-    cuts = chained(crossings.select("street_id", "lng", "lat"), axis).select("street_id", F.col("chainage").alias("cut"))
-    cuts = stored(cuts, "street-cuts")
-    marked = chained(marks.select("street_id", "hundred", "lng", "lat"), axis).select("street_id", "hundred", "chainage")
-    extents, offsets = axis.select("street_id", "lo", "hi"), stored(side_offsets(anchors, segments, axis), "street-sides")
-    chain = lambda a: chained(a.select("street_id", "number", "lng", "lat"), axis).select("street_id", "number", "chainage")
+    segments, axis = g["segments"], g["axis"]
+    numbers = requests.where("num IS NOT NULL").select("street_id", "num").distinct()
+    numbers = stored(numbers.withColumn("req_id", F.monotonically_increasing_id()), "street-numbers")
+    found: list[DataFrame] = []
+
+    def left() -> DataFrame:
+        return reduce(lambda d, f: d.join(f.select("req_id"), "req_id", "left_anti"), found, numbers)
 
-    def blocks(r: DataFrame, a: DataFrame, shift: DataFrame) -> DataFrame:
-        return to_side(place_by_blocks(r, chain(a), cuts, marked, extents), segments, axis, shift, ("sure",))
+    def settle(df: DataFrame, precision: Column, tight: Column | None, note: Column | str) -> None:
+        tight = F.lit(None).cast("boolean") if tight is None else tight
+        place = F.struct("lng", "lat", precision.alias("precision"), tight.alias("tight"), (F.lit(note) if isinstance(note, str) else note).alias("note"))
+        found.append(stored(df.select("req_id", place.alias("p")), "street-places"))
 
-    def named(df: DataFrame, step: str, precision: Column, tight: Column | None, note: Column | str) -> DataFrame:
-        return df.select("req_id", F.struct("lng", "lat", precision.alias("precision"), (F.lit(None).cast("boolean") if tight is None else tight).alias("tight"), (F.lit(note) if isinstance(note, str) else note).alias("note")).alias(step))
+    def by_blocks(streets: str, shift: str) -> DataFrame:
+        return to_side(placed_in_blocks(left(), g[streets]), segments, axis, g[shift], ("sure",))
 
     street = F.lit("STREET")
-    own, other = interpolate(asked, anchors), interpolate(asked, anchors, same_side=False)
-    by_block = blocks(asked, anchors, offsets)
-    lent = blocks(asked.join(hints.select("street_id").distinct(), "street_id", "left_semi").select("req_id", "street_id", "num"), hints, side_offsets(hints, segments, axis))
-    far = extrapolate(asked, chain(anchors))
-    area = nearest_of_street(requests, segments).where(F.col("metres") <= AREA_M)
-    steps = [
-        named(own, "a", F.col("precision"), F.col("tight"), ""),
-        named(by_block, "b", F.when(F.col("sure"), "SEGMENT_INTERPOLATED").otherwise("STREET"), F.when(F.col("sure"), False), F.when(F.col("sure"), "BLOCK_RANGE").otherwise("BLOCK_SEQUENCE_FAR")),
-        named(other, "d", F.col("precision"), F.lit(False), ""),
-        named(lent, "e", street, None, "PARALLEL_BLOCKS"),
-        named(to_side(far, segments, axis, offsets), "f", street, F.lit(False), "EXTRAPOLATED_FROM_ANCHORS"),
-        named(area, "g", street, None, "STREET_NEAR_AREA"),
-    ]
-    d = requests.select("req_id", "street_id").join(middle, "street_id")
-    for s in steps:
-        d = d.join(s, "req_id", "left")
-    last = F.struct("lng", "lat", street.alias("precision"), F.lit(None).cast("boolean").alias("tight"), F.lit("").alias("note"))
-    d = d.select("req_id", F.coalesce(*"abdefg", last).alias("p"), (F.col("span") <= SPAN_M).alias("short"))
+    settle(interpolate(numbers, g["doors"]), F.col("precision"), F.col("tight"), "")
+    sure = F.col("sure")
+    settle(by_blocks("blocks", "offsets"), F.when(sure, "SEGMENT_INTERPOLATED").otherwise("STREET"), F.when(sure, False), F.when(sure, "BLOCK_RANGE").otherwise("BLOCK_SEQUENCE_FAR"))
+    settle(interpolate(left(), g["doors"], same_side=False), F.col("precision"), F.lit(False), "")
+    settle(by_blocks("lent_blocks", "lent_offsets"), street, None, "PARALLEL_BLOCKS")
+    settle(to_side(extrapolate(left(), g["chain"]), segments, axis, g["offsets"]), street, F.lit(False), "EXTRAPOLATED_FROM_ANCHORS")
+
+    places = numbers.join(reduce(DataFrame.unionByName, found), "req_id").select("street_id", "num", "p")
+    d = requests.join(places, ["street_id", "num"], "left")
+    open_ = d.where("p IS NULL AND near_lng IS NOT NULL").select("req_id", "street_id", "near_lng", "near_lat")
+    area = nearest_of_street(open_, segments).where(F.col("metres") <= AREA_M)
+    null = F.lit(None).cast("boolean").alias("tight")
+    area = area.select("req_id", F.struct("lng", "lat", street.alias("precision"), null, F.lit("STREET_NEAR_AREA").alias("note")).alias("q"))
+    d = d.select("req_id", "street_id", "p").join(area, "req_id", "left").join(g["middle"], "street_id")
+    last = F.struct("lng", "lat", street.alias("precision"), null, F.lit("").alias("note"))
+    d = d.select("req_id", F.coalesce("p", "q", last).alias("p"), (F.col("span") <= SPAN_M).alias("short"))
     return d.select("req_id", "p.lng", "p.lat", "p.precision", F.coalesce("p.tight", "short").alias("tight"), "p.note")

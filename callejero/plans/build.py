@@ -326,7 +326,8 @@ def suggest_with_edits(spark, sf_dir):
     edited = r.join(edits.select("street_id", F.col("number").alias("num")), ["street_id", "num"], "left_semi")
     asked = edited.select("req_id", "street_id", "num", F.lit(None).cast("double").alias("near_lng"), F.lit(None).cast("double").alias("near_lat"))
     none = a.limit(0).select("street_id", "lng", "lat", F.lit(0).alias("hundred"))
-    at = loc.on_street(asked, segments(spark, sf_dir), res.with_edits(a, edits), none, none, a.limit(0).select("street_id", "number", "lng", "lat"))
+    g = loc.prepared(segments(spark, sf_dir), res.with_edits(a, edits), none, none, a.limit(0).select("street_id", "number", "lng", "lat"))
+    at = loc.on_street(asked, g)
     return at.select("req_id", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"), "precision")
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text as T
 from ..operators import catalog as cat, gazetteer as gaz, locate as loc, normalize as norm, resolve as res, review as rev, synth, truth
-from ..operators.geocode import geocode
+from ..operators.geocode import geocode, published
+from ..sources import files
+from ..sources.shared import fresh_path, stored
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,7 +304,24 @@ def anchor_extrapolate(spark, sf_dir):
     return loc.extrapolate(X.view(spark, sf_dir, "request").select("req_id", "street_id", "num"), spark.sql(CHAINED)).select("req_id", F.round("chainage", 2).alias("chainage"))
 
 
-@query()
+#: The block model in SQL, on streets of nine blocks of 100 m, of which some have their fourth marked.
+BLOCKS = X.sql("street", "anchor", "request") + f""", c AS ({CHAINED}), st AS (SELECT street_id FROM street WHERE street_id % 9 = 0 OR street_id IN (SELECT street_id FROM c)), steps AS (SELECT unnest(range(1, 9))::INT AS s),
+v AS (SELECT street_id, least(8, greatest(0, ceil(chainage / 100) - 1))::INT AS j, (number // 100)::INT AS h, count(*) AS w FROM c GROUP BY ALL UNION ALL SELECT street_id, 3, 3, 1000 FROM street WHERE street_id % 9 = 0),
+w AS (SELECT street_id, j, h FROM (SELECT street_id, j, h, sum(w) AS w FROM v GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY street_id, j ORDER BY w DESC, h) = 1),
+d AS (SELECT st.street_id, coalesce(sign(round(covar_pop(number, chainage), 6)), 0)::INT AS d FROM st LEFT JOIN c USING (street_id) GROUP BY st.street_id),
+n AS (SELECT w.*, d, lead(j) OVER o AS j2, lead(h) OVER o AS h2, row_number() OVER o AS up, row_number() OVER (PARTITION BY street_id ORDER BY j DESC) AS down FROM w JOIN d USING (street_id) WINDOW o AS (PARTITION BY street_id ORDER BY j)),
+k AS (SELECT street_id, j, h FROM w UNION ALL SELECT street_id, j + s, h + d * s FROM n, steps WHERE d <> 0 AND h2 - h = d * (j2 - j) AND j + s < j2
+  UNION ALL SELECT street_id, j - s, h - d * s FROM n, steps WHERE d <> 0 AND up = 1 AND j >= s AND h - d * s >= 0 UNION ALL SELECT street_id, j + s, h + d * s FROM n, steps WHERE d <> 0 AND down = 1 AND j + s <= 8 AND h + d * s >= 0),
+q AS (SELECT r.req_id, r.street_id, r.num, r.num / 1e2 AS x, d, min(k.j) FILTER (WHERE k.h = r.num // 100) AS blk FROM request r JOIN d USING (street_id) JOIN k USING (street_id) GROUP BY ALL),
+p AS (SELECT req_id, h + e AS px, 1e2 * (k.j + CASE WHEN d = 1 THEN e ELSE 1 - e END) AS pc, 0 AS o, k.j AS o2, e * 1e0 AS o3 FROM q JOIN k ON k.street_id = q.street_id AND (blk IS NULL OR k.j = blk), (SELECT unnest([0, 1]) AS e) WHERE d <> 0
+  UNION ALL SELECT req_id, number / 1e2, chainage, 1, number, chainage FROM q JOIN w ON w.street_id = q.street_id AND w.j = blk JOIN c ON c.street_id = q.street_id AND least(8, greatest(0, ceil(chainage / 100) - 1)) = blk AND number // 100 = w.h WHERE d <> 0),
+g AS (SELECT p.*, q.x, lag(px) OVER o AS px0, lag(pc) OVER o AS pc0, row_number() OVER o AS i FROM p JOIN q USING (req_id) WINDOW o AS (PARTITION BY req_id ORDER BY px, o, o2, o3)),
+f AS (SELECT req_id, CASE WHEN px = px0 THEN (pc + pc0) / 2 ELSE pc0 + (x - px0) / (px - px0) * (pc - pc0) END AS place FROM g WHERE i > 1 AND px >= x AND px0 <= x QUALIFY row_number() OVER (PARTITION BY req_id ORDER BY i) = 1)
+SELECT q.req_id, q.street_id, round(CASE WHEN d = 0 THEN blk * 1e2 + 50 ELSE place END, 4) AS chainage, coalesce(CASE WHEN d = 0 THEN true ELSE blk IS NOT NULL AND (SELECT min(abs(w.j - blk)) FROM w WHERE w.street_id = q.street_id) <= 1 END, false) AS sure
+FROM q LEFT JOIN f USING (req_id) WHERE CASE WHEN d = 0 THEN blk IS NOT NULL ELSE place IS NOT NULL END"""
+
+
+@query(BLOCKS)
 def block_locate(spark, sf_dir):
     X.view(spark, sf_dir, "anchor").createOrReplaceTempView("anchor")
     a = spark.sql(CHAINED)
@@ -443,19 +463,41 @@ def normalize_idempotence(spark, sf_dir):
     return again.agg(F.count("*").alias("n"), F.count_if(F.col("address") == F.col("normalized")).alias("same"))
 
 
+#: Where the gazetteer of an application and scale was published.
+PUBLISHED: dict[tuple[str, str], str] = {}
+
+
+def _gazetteer(spark, sf_dir) -> dict[str, DataFrame]:
+    """The fixture's gazetteer with all its tables, published once an application, as a resolver finds it."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in PUBLISHED:
+        s, a = X.view(spark, sf_dir, "street"), X.view(spark, sf_dir, "anchor")
+        one = lambda cond: F.when(cond, F.array("alias")).otherwise(F.array().cast("array<string>"))
+        streets = s.select("street_id", "ubigeo", "type", "name", "key", one(F.col("alias") != "").alias("aliases"), one((F.col("alias") != "") & F.col("promoted")).alias("promoted"))
+        segments = s.select("street_id", F.lit(0).alias("line_id"), F.lit(0).alias("seg"), *loc.SEGMENT)
+        ends = s.select("street_id", "key", F.inline(F.array(*[F.struct(F.round(f"lng{i}", 3).alias("lng"), F.round(f"lat{i}", 3).alias("lat")) for i in (0, 1)])))
+        marks = s.where("street_id % 9 = 0").select("street_id", F.lit(3).alias("hundred"), F.col("lng0").alias("lng"), F.col("lat0").alias("lat"))
+        areas = s.groupBy("ubigeo", F.col("name").alias("key")).agg(F.min_by(F.struct(F.col("lng0").alias("lng"), F.col("lat0").alias("lat")), "street_id").alias("p")).select("ubigeo", "key", "p.*")
+        centroids = s.groupBy("ubigeo").agg(F.avg("lng0").alias("lng"), F.avg("lat0").alias("lat"))
+        root = fresh_path(spark, "gazetteer")
+        files.publish(published(streets, segments, stored(a, "anchors"), gaz.crossings(ends), marks, areas, centroids), root, "1")
+        PUBLISHED[at] = root
+    return files.latest(spark, PUBLISHED[at])
+
+
+@query(X.sql("street", "anchor") + "SELECT 'streets' AS name, count(*) AS n FROM street UNION ALL SELECT 'segments', count(*) FROM street UNION ALL SELECT 'axis', count(*) FROM street UNION ALL SELECT 'middle', count(*) FROM street UNION ALL SELECT 'chain', count(*) FROM anchor UNION ALL SELECT 'doors', count(*) FROM (SELECT DISTINCT street_id, number FROM anchor)")
+def geocode_publish(spark, sf_dir):
+    """How many rows the published tables have."""
+    g = _gazetteer(spark, sf_dir)
+    counts = [g[name].agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name in ("streets", "segments", "axis", "middle", "chain", "doors")]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query()
 def geocode_full(spark, sf_dir):
-    """Normalize, match, locate and decide every request, with all of a gazetteer's tables."""
-    s, a = X.view(spark, sf_dir, "street"), X.view(spark, sf_dir, "anchor")
-    one = lambda cond: F.when(cond, F.array("alias")).otherwise(F.array().cast("array<string>"))
-    streets = s.select("street_id", "ubigeo", "type", "name", "key", one(F.col("alias") != "").alias("aliases"), one((F.col("alias") != "") & F.col("promoted")).alias("promoted"))
-    segments = s.select("street_id", F.lit(0).alias("line_id"), F.lit(0).alias("seg"), *loc.SEGMENT)
-    ends = s.select("street_id", "key", F.inline(F.array(*[F.struct(F.round(f"lng{i}", 3).alias("lng"), F.round(f"lat{i}", 3).alias("lat")) for i in (0, 1)])))
-    marks = s.where("street_id % 9 = 0").select("street_id", F.lit(3).alias("hundred"), F.col("lng0").alias("lng"), F.col("lat0").alias("lat"))
-    areas = s.groupBy("ubigeo", F.col("name").alias("key")).agg(F.min_by(F.struct(F.col("lng0").alias("lng"), F.col("lat0").alias("lat")), "street_id").alias("p")).select("ubigeo", "key", "p.*")
+    """Normalize, match, locate and decide every request on a published gazetteer."""
     verified = spark.createDataFrame([("AVENIDA|LOS SAUCES|1", "150116", -77.03, -12.08, "gps")], "k string, u string, lng double, lat double, method string").select(T.address_hash(F.col("k"), F.col("u")).alias("address_hash"), "lng", "lat", "method")
-    centroids = s.groupBy("ubigeo").agg(F.avg("lng0").alias("lng"), F.avg("lat0").alias("lat"))
-    d = geocode(_normalized(spark, sf_dir), streets, segments, a, gaz.crossings(ends), marks, loc.parallel_hints(segments, a), areas, verified, centroids)
+    d = geocode(_normalized(spark, sf_dir), _gazetteer(spark, sf_dir), verified)
     return d.withColumn("lng", F.round("lng", 6)).withColumn("lat", F.round("lat", 6))
 
 

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,19 @@ def test_truth(spark, deliveries, quality, reason):
     assert (r.quality, r.reason) == (quality, reason)
 
 
+def test_medoid_of_many_points(spark):
+    """A busy address by cells and bounds gives the same as by comparing all in an array."""
+    rng = random.Random(5)
+    rows = []
+    for addr, spread, n in ((1, 1e-4, 900), (2, 2.5e-5, 400), (3, 9e-4, 300), (4, 1e-6, 5), (5, 1.2e-4, 700)):
+        for i in range(n):
+            x, y = rng.gauss(0, 1) * spread, rng.uniform(-1, 1) * spread
+            rows.append((addr * 10_000 + i, addr, -77.0 + (round(x, 6) if i % 3 else x), -12.0 + (round(y, 6) if i % 3 else y)))
+    df = spark.createDataFrame(rows, "delivery_id long, addr_key long, lng double, lat double")
+    by_cells, by_array = ({r.addr_key: r for r in truth.medoids(df, few).collect()} for few in (0, 1_000_000))
+    assert by_cells == by_array and len(by_cells) == 5 and not by_cells[2].far and by_cells[3].far
+
+
 def test_batch_counts(spark):
     rows = [(0, "x", 1, *BASE), (1, "y", 1, *NEAR), (2, "x", 1, *BASE), (3, "z", 2, *BASE), (4, "w", 1, -76.9, -12.0)]
     df = spark.createDataFrame(rows, "delivery_id long, addr_key string, day int, lng double, lat double")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from callejero.functions import text as T
 from callejero.operators import locate as loc, synth
-from callejero.operators.geocode import geocode
+from callejero.operators.geocode import geocode, published
 from callejero.operators.normalize import normalize
 
 ENTRIES = [
@@ -45,11 +45,17 @@ def gazetteer(spark):
     )
 
 
+def tables(spark):
+    g = gazetteer(spark)
+    verified = g.pop("verified")
+    return dict(g=published(**g), verified=verified)
+
+
 @pytest.fixture(scope="module")
 def answers(spark):
     rows = [(i, a, "Lince", "") for i, (a, *_) in enumerate(CASES)] + [(100, "Av. Los Olivos 100", "Bellavista", "Callao"), (101, "Calle Sin Distrito 5", None, None), (102, None, "Lince", None)]
     read = normalize(spark.createDataFrame(rows, "req_id long, address string, district string, province string"), ENTRIES, frozenset({"LIMA"}))
-    return {r.req_id: r for r in geocode(read, **gazetteer(spark)).collect()}
+    return {r.req_id: r for r in geocode(read, **tables(spark)).collect()}
 
 
 @pytest.mark.parametrize("i", range(len(CASES)))
@@ -81,10 +87,10 @@ def place(spark, num, crossings=(), marks=(), hints=(), anchors=(), near=(None,
     make = spark.createDataFrame
     at = lambda rows, columns: make(list(rows), columns)
     r = make([(1, 2, num, *near)], "req_id long, street_id long, num int, near_lng double, near_lat double")
-    found = loc.on_street(
-        r, g["segments"], at(anchors, "street_id long, number int, lng double, lat double"), at(crossings, "street_id long, lng double, lat double"),
+    found = loc.on_street(r, loc.prepared(
+        g["segments"], at(anchors, "street_id long, number int, lng double, lat double"), at(crossings, "street_id long, lng double, lat double"),
         at(marks, "street_id long, hundred int, lng double, lat double"), at(hints, "street_id long, number int, lng double, lat double"),
-    )
+    ))
     return found.first()
 
 
