@@ -49,27 +49,30 @@ def fingerprint(text: str) -> int:
     digest, join = xxhash.xxh64_intdigest, b" ".join
     if n <= 1:
         return digest(join(words), 42)
-    hashes = np.fromiter((digest(join(words[i : i + SHINGLE]), 42) for i in range(n)), np.uint64, n)
+    return majority(np.fromiter((digest(join(words[i : i + SHINGLE]), 42) for i in range(n)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(hashes), 4096):
         total += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """The input's columns and ``_cj_fp``, the fingerprint as a long, for every whole text."""
-    columns = docs.columns
-    at = columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """The input's columns but for ``text``, and ``_cj_fp``, the fingerprint of every whole text as a long."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                fp = np.array([fingerprint(t or "") for t in part.column(at).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], [*columns, "_cj_fp"])
+                fp = np.array([fingerprint(t or "") for t in part.column(0).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fp)], [*(f.name for f in kept), "_cj_fp"])
 
-    return docs.mapInArrow(run, f"{fields}, `_cj_fp` long")
+    return docs.select("text", *(f.name for f in kept)).mapInArrow(run, f"{fields}, `_cj_fp` long")
 
 
 def code_words() -> np.ndarray:
@@ -227,7 +230,7 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every document."""
-    prints = stored(fingerprints(docs.select("doc_id", "text")).select("doc_id", "_cj_fp"), "simhash-prints")
+    prints = stored(fingerprints(docs.select("doc_id", "text")), "simhash-prints")
     d = prints.join(classes(prints), prints["_cj_fp"] == F.col("fp"))
     return d.select("doc_id", F.lower(F.lpad(F.hex("_cj_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -245,14 +248,19 @@ def first_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     return first.select(*[F.col(f"_cj_row.`{c}`").alias(c) for c in columns])
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, by_similarity: bool = False) -> DataFrame:
     """One document of each component, with all its columns: the one of smallest id, and of rows that share that id one by text.
 
-    Texts are fingerprinted, then only ids and fingerprints move; kept rows are found by an id's
+    Documents link by their fingerprints, or ``by_similarity`` of their five-word shingles at 0.8 or
+    more: see ``near_copies``, which checks links exactly and completes what fingerprints find. Texts are fingerprinted, then only ids and fingerprints move; kept rows are found by an id's
     and text's hash. Rows equal in id and text count as one.
     """
+    if by_similarity:
+        from . import near_copies
+
+        return near_copies.near_dedup(docs)
     text = text_of("text")
     keyed = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("doc_id", text).alias("ka"), F.xxhash64(text, "doc_id", F.lit(7)).alias("kb"))
-    prints = stored(fingerprints(keyed).select("doc_id", "ka", "kb", "_cj_fp"), "simhash-prints")
+    prints = stored(fingerprints(keyed), "simhash-prints")
     d = prints.join(classes(prints), prints["_cj_fp"] == F.col("fp"))
     return first_of_each(docs, d)
