@@ -2,13 +2,21 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but
 the last return the columns of ``documents``.
+
+Defined cases of the whole: null and empty texts fail the quality rules and go, so a table of
+these, or an empty one, gives no rows. A null id is kept as it is and counts as the largest where
+the smallest id decides. Rows equal in id and text are one document to line and near dedup: the
+same lines go from each, and one of them stays. Rows that share an id but not the text are
+documents of their own. Ties go to the smaller id, then to the text's hash. A document that the
+mix takes several times has as many rows at the end. Columns beyond those of ``documents``, of any
+name, come through all stages but the last, which returns the columns of ``bpe.encode``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callejero.llm import bpe, line_dedup, mixing, near_copies, quality_rules, simhash
+from callejero.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from callejero.llm.common import stored, table
 from callejero.llm.queries import tokenizer_path
 
@@ -21,12 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.line_dedup(docs)
 
 
-def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
-
-
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.near_dedup(docs)
+    return simhash.near_dedup(docs, by_similarity=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_rules", keep_good),
     ("line_dedup", drop_repeated_lines),
-    ("near_dedup", one_of_near_copies),
+    ("simhash_near_dedup", one_of_near_copies),
     ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]
