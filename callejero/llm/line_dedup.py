@@ -15,8 +15,8 @@ occurred earlier (by document id, then position) is a later copy, and its lines
    longest such window, not at the longest copy.
 4. In every interval the earliest window stays; the lines of all others go.
 
-Counts are combined before each shuffle; a line or run that a third of all rows share meets
-only in joins whose partitions Spark can split, never in one group. Main path: DataFrame
+Counts are combined before each shuffle; a line that a third of all rows share meets only in
+joins whose partitions Spark can split, and the windows of the most frequent runs are salted. Main path: DataFrame
 functions only.
 
 Defined cases: a null text stays null and has no lines; an empty text has one empty line. Rows
@@ -36,6 +36,8 @@ from .common import WORD, stored
 MIN_WORDS = 50
 #: Ranks are summed within ranges of this many parts, then over the parts.
 PARTS = 4096
+#: The most frequent runs (a number fixed for each doubling, broadcast) and over how many tasks each is dealt.
+HOT, SALTS = 1024, 64
 
 
 def document_keys(ident: Column, text: Column) -> list[Column]:
@@ -113,8 +115,15 @@ def later_copies(windows: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
         w = w.withColumn("rb", F.col("ra"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "ka", "kb", "s")
     w = w.select("ka", "kb", "s", "e", "n", "ra", "rb", place.alias("place"))
-    first = w.groupBy("n", "ra", "rb").agg(F.min("place").alias("first"), F.max("place").alias("final")).where("final > first").drop("final")
-    return w.join(first, ["n", "ra", "rb"]).where("place > first").select("ka", "kb", "s", "e")
+    run = ["n", "ra", "rb"]
+    first = w.groupBy(*run).agg(F.min("place").alias("first"), F.max("place").alias("final"), F.count("*").alias("copies")).where("final > first").drop("final")
+    # Windows of the most frequent runs are dealt over SALTS tasks each, whose first place goes to all of these.
+    hot = F.broadcast(first.orderBy(F.desc("copies"), *run).limit(HOT).select(*run, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("ka", "kb", "s"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    dealt = w.join(hot, run, "left").withColumn("salt", salt).drop("hot")
+    spread = first.join(hot, run, "left").select(*run, "first", salts.alias("salt"))
+    return dealt.join(spread, [*run, "salt"]).where("place > first").select("ka", "kb", "s", "e")
 
 
 def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -125,7 +134,7 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     deepest = windows.agg(F.max("k")).first()[0]
     ranks, copies = found.select("ka", "kb", "seg", "pos", "rank"), []
     for k in range((deepest or 0) + 1):
-        copies.append(later_copies(windows, ranks, k))
+        copies.append(stored(later_copies(windows, ranks, k), "lines-copies"))
         if k < (deepest or 0):
             ranks = stored(doubled(ranks, 1 << k), "lines-ranks")
     spans = reduce(DataFrame.unionByName, copies)
