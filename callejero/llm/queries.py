@@ -40,10 +40,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes().alias("kept"),
+        (~quality_rules.passes("base")).alias("base_failed"), quality_rules.passes().alias("kept"), "failures",
     )
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy costs, from the ledger alone."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,8 +71,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_warc, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_hmm_lm, op8_topk_search, op9_secret_scan, op10_simhash)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_warc, op4_bpe, op5_quality_rules, op6_quality_classifier, op7_hmm_lm, op8_topk_search, op9_secret_scan, op10_simhash, quality_rule_ablations)}
+
 
+#: The ledger of the quality rules in SQL.
+LEDGER = r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT u, i, count(*) OVER (PARTITION BY u, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT u, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+rep AS (SELECT u, count(DISTINCT p) AS n FROM (SELECT u, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY u),
+lin AS (SELECT u, count(*) - count(DISTINCT l) AS n, count(*) AS m FROM (SELECT u, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY u),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(lin.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lin.m, 0) AS n_lines
+  FROM d LEFT JOIN rep USING (u) LEFT JOIN lin USING (u)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END
+  + CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 8 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END)::BIGINT AS failures FROM m)
+"""
 
 ORACLES = {
     "op1_mixing": r"""
@@ -113,18 +132,12 @@ q AS (SELECT page_id, n, sha256(h) AS digest, CASE WHEN n >= 100 THEN min(page_i
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN f = page_id THEN NULL ELSE f END::BIGINT AS refers_to FROM q
 """,
-    "op5_quality_rules": r"""
-WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-win AS (SELECT u, i, count(*) OVER (PARTITION BY u, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT u, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-rep AS (SELECT u, count(DISTINCT p) AS n FROM (SELECT u, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY u),
-lin AS (SELECT u, count(*) - count(DISTINCT l) AS n, count(*) AS m FROM (SELECT u, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY u),
-m AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    coalesce(lin.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lin.m, 0) AS n_lines
-  FROM d LEFT JOIN rep USING (u) LEFT JOIN lin USING (u)),
-v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_dup_lines > n_lines) AS kept FROM v
+    "op5_quality_rules": LEDGER + r"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM b
+""",
+    "quality_rule_ablations": LEDGER + r""", r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'word_length', 'repeated_lines']) AS rule, unnest([1, 2, 4, 8, 16]) AS bit)
+SELECT rule, count(*) AS n_docs, count(*) FILTER (WHERE failures & bit <> 0) AS n_failed, count(*) FILTER (WHERE failures = bit) AS n_only, count(*) FILTER (WHERE failures IN (0, bit)) AS n_kept_without
+FROM b, r GROUP BY rule
 """,
     "op8_topk_search": r"""
 WITH v AS (
