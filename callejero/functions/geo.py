@@ -78,6 +78,25 @@ def only_district(points: DataFrame, edge_table: DataFrame, ident: str = "point_
     return found.groupBy(ident).agg(F.count("*").alias("n"), F.first("ubigeo").alias("ubigeo")).where("n = 1").drop("n")
 
 
+def touching(lines: DataFrame, edge_table: DataFrame, ident: str = "line_id", cell: float = CELL) -> DataFrame:
+    """line_id, ubigeo: each district that a line (line_id, points) touches: one of its points lies inside, or a segment meets an outline.
+
+    Segments and edges meet in the grid cells of their boxes.
+    """
+    ends = lines.select(ident, F.posexplode("points").alias("i", "p")).select(F.col(ident).alias("_line"), "i", "p.lng", "p.lat").withColumn("_at", F.concat_ws("|", F.col("_line").cast("string"), F.col("i").cast("string")))
+    inside = locate(ends, edge_table, "_at", cell).join(ends.select("_at", "_line"), "_at").select("_line", "ubigeo")
+    at = lambda v: F.floor(v / cell)
+    span = lambda a, b: F.explode(F.sequence(at(F.least(a, b)), at(F.greatest(a, b))))
+    pair = F.expr("CASE WHEN size(points) > 1 THEN transform(sequence(0, size(points) - 2), i -> struct(points[i].lng AS a, points[i].lat AS b, points[i + 1].lng AS c, points[i + 1].lat AS d)) ELSE array() END")
+    s = lines.select(F.col(ident).alias("_line"), F.inline(pair))
+    s = s.select("*", span(F.col("a"), F.col("c")).alias("cx")).select("*", span(F.col("b"), F.col("d")).alias("cy"))
+    e = edge_table.select("ubigeo", "x0", "y0", "x1", "y1", span(F.col("x0"), F.col("x1")).alias("cx")).select("*", span(F.col("y0"), F.col("y1")).alias("cy"))
+    turn = lambda ax, ay, bx, by, cx, cy: (F.col(bx) - F.col(ax)) * (F.col(cy) - F.col(ay)) - (F.col(by) - F.col(ay)) * (F.col(cx) - F.col(ax))
+    apart = (turn("a", "b", "c", "d", "x0", "y0") * turn("a", "b", "c", "d", "x1", "y1") > 0) | (turn("x0", "y0", "x1", "y1", "a", "b") * turn("x0", "y0", "x1", "y1", "c", "d") > 0)
+    met = s.join(e, ["cx", "cy"]).where(~apart).where((F.greatest("a", "c") >= F.least("x0", "x1")) & (F.greatest("x0", "x1") >= F.least("a", "c")) & (F.greatest("b", "d") >= F.least("y0", "y1")) & (F.greatest("y0", "y1") >= F.least("b", "d")))
+    return inside.unionByName(met.select("_line", "ubigeo")).distinct().withColumnRenamed("_line", ident)
+
+
 def centroids(edge_table: DataFrame) -> DataFrame:
     """ubigeo, lng, lat: the area-weighted centroid of each district's largest ring."""
     cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")

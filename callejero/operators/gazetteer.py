@@ -130,3 +130,10 @@ def overlay(base: DataFrame, edits: DataFrame) -> DataFrame:
     """Live edits over a base of (street_id, number, lng, lat, ref): an edited number replaces the base's."""
     live = edits.where("deleted_at IS NULL").select("street_id", "number", "lng", "lat", "ref")
     return base.join(live.select("street_id", "number").distinct(), ["street_id", "number"], "left_anti").select("street_id", "number", "lng", "lat", "ref").unionByName(live)
+
+
+def edit_counts(streets: DataFrame, edits: DataFrame) -> DataFrame:
+    """kind, applied, orphans: live edits (kind, street_id, deleted_at) whose street a new build still has, and those it no longer has."""
+    known = streets.select("street_id", F.lit(True).alias("known")).distinct()
+    d = edits.where("deleted_at IS NULL").join(known, "street_id", "left")
+    return d.groupBy("kind").agg(F.count_if("known").alias("applied"), F.count_if(F.col("known").isNull()).alias("orphans"))

@@ -40,6 +40,25 @@ def stratified(rows: DataFrame, per_group: int, limit: int, group: str, order: C
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_group).orderBy("_n", order).limit(limit).drop("_n")
 
 
+def order_sample(orders: DataFrame, now: Column, days: int = 90, per_account: int = 40, total: int = 600) -> DataFrame:
+    """A sample of customers' addresses: pseudonymous, masked, each address of an account once, at most ``per_account`` of an account, in hash order.
+
+    The customer's side of a direct order is its destination (columns ``*_to``), of an inverse one its
+    origin (``*_from``). ``orders`` is (order_id, account, state, logistics, created_at) and address, number, ubigeo of both sides.
+    """
+    inverse = F.col("logistics") == "LOGISTICA_INVERSA"
+    side = lambda c: F.when(inverse, F.col(f"{c}_from")).otherwise(F.col(f"{c}_to")).alias(c)
+    masked = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\s@]+@[^\s@]+", "<CORREO>"), "[0-9]{7,}", "<NUM>")
+    live = orders.where((F.col("state") == "A") & (F.col("created_at") >= now - F.make_dt_interval(days=F.lit(days))))
+    d = live.select("account", F.md5(F.col("order_id").cast("string")).alias("hash"), F.when(inverse, "ORIGEN").otherwise("DESTINO").alias("side"), side("address"), side("number"), side("ubigeo"))
+    d = d.where(F.trim(F.coalesce("address", F.lit(""))) != "").withColumn("address", masked("address"))
+    same = ("account", F.lower(F.trim("address")).alias("_a"), F.coalesce("number", F.lit("")).alias("_n"), F.coalesce("ubigeo", F.lit("")).alias("_u"))
+    once = d.groupBy(*same).agg(F.min_by(F.struct("hash", "side", "address", "number", "ubigeo"), "hash").alias("r")).select("account", "r.*")
+    w = Window.partitionBy("account").orderBy("hash")
+    few = once.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_account).orderBy("hash").limit(total)
+    return few.select(F.left("hash", F.lit(12)).alias("sample_id"), "account", "side", "address", "number", "ubigeo")
+
+
 def floor_rank(values: str, p: float) -> Column:
     """The element at floor(p * (n - 1)) of the sorted values."""
     lst = F.sort_array(F.collect_list(values))

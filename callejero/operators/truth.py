@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -22,6 +22,28 @@ def latest_events(events: DataFrame, keys: tuple[str, ...] = ("order_id", "kind"
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def deliveries(events: DataFrame, orders: DataFrame, now: Column, days: int = 90, areas: tuple[str, ...] = ("1501", "0701")) -> DataFrame:
+    """order_id, day, lat, lng, arr_lat, arr_lng and the orders' address columns: where each live, direct order was delivered, and where the driver had arrived.
+
+    The last event of each code (EMC delivered, LPE arrived) of the past ``days`` that has a place counts;
+    ties go to the larger event id. ``events`` is (event_id, order_id, code, ts, lat, lng), ``orders``
+    (order_id, state, logistics, address, ubigeo, ...); only orders with an address in ``areas`` are kept.
+    """
+    placed = (F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lng", F.lit(0.0)) != 0)
+    live = events.where(F.col("code").isin("EMC", "LPE") & placed & (F.col("ts") >= now - F.make_dt_interval(days=F.lit(days))))
+    of = lambda code: F.when(F.col("code") == code, F.struct("ts", "event_id", "lat", "lng"))
+    both = live.groupBy("order_id").agg(F.max(of("EMC")).alias("e"), F.max(of("LPE")).alias("l")).where("e IS NOT NULL")
+    kept = orders.where((F.col("state") == "A") & (F.col("logistics") == "LOGISTICA_DIRECTA") & F.left("ubigeo", F.lit(4)).isin(*areas) & (F.trim(F.coalesce("address", F.lit(""))) != ""))
+    six = lambda c: F.round(c, 6)
+    d = both.select("order_id", F.to_date("e.ts").alias("day"), six("e.lat").alias("lat"), six("e.lng").alias("lng"), six("l.lat").alias("arr_lat"), six("l.lng").alias("arr_lng"))
+    return d.join(kept.drop("state", "logistics"), "order_id")
+
+
+def addressed(read: DataFrame) -> DataFrame:
+    """``read`` (deliveries with the normalizer's columns) with addr_key, the normalized address and its district; those without either are left out."""
+    return read.where("match_key <> '' AND loc_ubigeo <> ''").withColumn("addr_key", F.concat_ws("|", "match_key", "loc_ubigeo"))
+
+
 def batch_counts(deliveries: DataFrame, reach: float = CLUSTER_M) -> DataFrame:
     """delivery_id, batch: deliveries of other addresses on the same day within ``reach`` metres; itself counts once."""
     a = deliveries.select("delivery_id", "addr_key", "day", "lng", "lat")

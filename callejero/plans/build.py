@@ -384,6 +384,38 @@ def points_along(spark, sf_dir):
     return at.select("street_id", "asked", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
 
 
+@query(X.sql("street") + f""", d AS (SELECT drawn_id, 'drawn' AS kind, gone FROM ({DRAWN})), e AS (SELECT street_id, CASE WHEN street_id % 2 = 0 THEN 'mark' ELSE 'number' END AS kind FROM street WHERE street_id % 4 <> 0)
+SELECT kind, count(*) FILTER (WHERE street_id % 3 <> 0) AS applied, count(*) FILTER (WHERE street_id % 3 = 0) AS orphans FROM e GROUP BY kind""")
+def edit_orphans(spark, sf_dir):
+    """Edits of a build's streets under the next build, which lost every third street."""
+    s = X.view(spark, sf_dir, "street")
+    i = F.col("street_id")
+    edits = s.select("street_id", F.when(i % 2 == 0, "mark").otherwise("number").alias("kind"), F.when(i % 4 == 0, F.current_timestamp()).alias("deleted_at"))
+    return gaz.edit_counts(s.where(i % 3 != 0), edits)
+
+
+LINES = "SELECT street_id AS line_id, -77.07e0 + (street_id % 13) * 5e-3 AS lng0, -12.04e0 + (street_id % 7) * 7e-3 AS lat0, -77.07e0 + (street_id % 13) * 5e-3 + (street_id % 4) * 4e-3 AS lng1, -12.04e0 + (street_id % 7) * 7e-3 + (street_id % 3) * 6e-3 + 1e-4 AS lat1 FROM street"
+
+
+@query(X.sql("street").rstrip() + f", lines AS ({LINES}), anchor AS (SELECT line_id * 2 AS anchor_id, lng0 AS lng, lat0 AS lat FROM lines UNION ALL SELECT line_id * 2 + 1, lng1, lat1 FROM lines)" + RING_SQL + """, t AS (SELECT line_id, ubigeo, (lng1 - lng0) * (y0 - lat0) - (lat1 - lat0) * (x0 - lng0) AS a, (lng1 - lng0) * (y1 - lat0) - (lat1 - lat0) * (x1 - lng0) AS b, (x1 - x0) * (lat0 - y0) - (y1 - y0) * (lng0 - x0) AS c, (x1 - x0) * (lat1 - y0) - (y1 - y0) * (lng1 - x0) AS d FROM lines, edge)
+SELECT anchor_id // 2 AS line_id, ubigeo FROM inside UNION SELECT line_id, ubigeo FROM t WHERE a * b <= 0 AND c * d <= 0""")
+def lines_touching(spark, sf_dir):
+    X.view(spark, sf_dir, "street").createOrReplaceTempView("street")
+    lines = spark.sql(LINES).select("line_id", points("0", "1").alias("points"))
+    return geo.touching(lines, geo.edges(_rings(spark, sf_dir)))
+
+
+@query("SELECT CAST(s_suppkey % 3 AS VARCHAR) AS ubigeo, 'NOMBRE ' || (s_suppkey % 5) AS alias, s_suppkey AS street_id, 'op1' AS operator FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 5 <> 0")
+def alias_votes(spark, sf_dir):
+    """Names that operators found in place of a street's own, from accepted pins."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("street_id"))
+    i = F.col("street_id")
+    streets = s.select("street_id", (i % 3).cast("string").alias("ubigeo"), F.lit("NOMBRE 0").alias("key"))
+    tickets = s.select(i.alias("ticket_id"), F.concat(F.lit("Nombré "), (i % 5).cast("string")).alias("street_name"))
+    judged = s.select(i.alias("ticket_id"), "street_id", F.lit("op1").alias("actor"), F.when(i % 4 == 0, "").otherwise("CLOSED").alias("error"), F.lit("pin").alias("action"))
+    return desk.alias_candidates(judged, tickets, streets)
+
+
 @query("SELECT n_nationkey AS id, 'ñandú áéíóú Ñ' || n_nationkey AS text FROM nation")
 def mojibake_repair(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import locate as loc, review as rev
+from ..operators import locate as loc, normalize as norm, review as rev, truth
 from ..sources import files
 from ..sources.shared import fresh_path
 from ..streaming import events
 from . import fixtures as X
-from .queries import AS_OF, query, read
+from .queries import AS_OF, ENTRIES, query, read
 
 # -- evaluation ------------------------------------------------------------------
 NOTED = "SELECT *, CASE WHEN row_id % 3 = 0 THEN 'osm' ELSE 'synthetic' || CASE WHEN row_id % 3 = 1 THEN '_mzlt' ELSE '' END END AS src, CASE row_id % 4 WHEN 0 THEN 'a;b' WHEN 1 THEN 'b' WHEN 2 THEN '' ELSE 'c;a;d' END AS notes FROM judged_row"
@@ -78,6 +78,45 @@ def label_import(spark, sf_dir):
     return rev.imported_labels(sheet, "ana", "revision_humana").select("id", "raw_address", "expected_number", "notes", "verified_by", "split")
 
 
+# -- deliveries and samples --------------------------------------------------------
+TRACKED = """SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS order_id, CASE event_type WHEN 'purchase' THEN 'EMC' WHEN 'click' THEN 'LPE' ELSE 'OTRO' END AS code, CAST(ts AS TIMESTAMP) AS ts,
+CASE WHEN event_id % 11 = 0 THEN 0e0 WHEN event_id % 13 = 0 THEN NULL ELSE -12e0 - (event_id % 100) / 1e4 END AS lat, -77e0 - (event_id % 70) / 1e4 AS lng FROM events"""
+ORDERED = f"""SELECT CAST(c_custkey AS BIGINT) AS order_id, CASE WHEN c_custkey % 5 = 0 THEN 'X' ELSE 'A' END AS state, CASE WHEN c_custkey % 4 = 0 THEN 'LOGISTICA_INVERSA' ELSE 'LOGISTICA_DIRECTA' END AS logistics,
+CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE 'Av. X ' || CAST(c_custkey AS VARCHAR(20)) END AS address, {X.choose('c_custkey', ('150101', '070102', '040110'))} AS ubigeo FROM customer"""
+
+
+@query(f"""WITH t AS ({TRACKED}), o AS ({ORDERED}), l AS (SELECT * FROM t WHERE code <> 'OTRO' AND lat <> 0 AND lng <> 0 AND ts >= TIMESTAMP '2024-01-31' - INTERVAL 20 DAY QUALIFY row_number() OVER (PARTITION BY order_id, code ORDER BY ts DESC, event_id DESC) = 1)
+SELECT e.order_id, CAST(e.ts AS DATE) AS day, round(e.lat, 6) AS lat, round(e.lng, 6) AS lng, round(a.lat, 6) AS arr_lat, round(a.lng, 6) AS arr_lng, o.ubigeo, o.address
+FROM l e JOIN o ON o.order_id = e.order_id LEFT JOIN l a ON a.order_id = e.order_id AND a.code = 'LPE' WHERE e.code = 'EMC' AND state = 'A' AND logistics = 'LOGISTICA_DIRECTA' AND left(ubigeo, 4) IN ('1501', '0701') AND trim(address) <> ''""")
+def gps_deliveries(spark, sf_dir):
+    for t in ("events", "customer"):
+        read(spark, sf_dir, t).createOrReplaceTempView(t)
+    return truth.deliveries(spark.sql(TRACKED), spark.sql(ORDERED), F.lit("2024-01-31").cast("timestamp"), 20)
+
+
+@query(X.sql("request") + "SELECT req_id, CASE req_id % 2 WHEN 0 THEN 'AVENIDA|' ELSE '' END || req_key || '|' || num || '|150116' AS addr_key FROM request WHERE req_id % 3 <> 0")
+def gps_address_keys(spark, sf_dir):
+    """Deliveries grouped by their normalized address; those whose district is not told take no part."""
+    r = X.view(spark, sf_dir, "request")
+    text = F.concat(F.when(F.col("req_id") % 2 == 0, "Av. ").otherwise(""), F.col("req_key"), F.lit(" "), F.col("num").cast("string"))
+    asked = r.select("req_id", text.alias("address"), F.when(F.col("req_id") % 3 != 0, "Lince").alias("district"))
+    return truth.addressed(norm.normalize(asked, ENTRIES, frozenset({"LIMA_METRO"}))).select("req_id", "addr_key")
+
+
+SHIPPED = """SELECT CAST(o_orderkey AS BIGINT) AS order_id, CAST(o_custkey % 9 AS BIGINT) AS account, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE 'A' END AS state, CASE WHEN o_orderkey % 3 = 0 THEN 'LOGISTICA_INVERSA' ELSE 'LOGISTICA_DIRECTA' END AS logistics,
+CAST(o_orderdate AS TIMESTAMP) AS created_at, 'Av. X ' || CAST(o_custkey AS VARCHAR(20)) || CASE WHEN o_orderkey % 4 = 0 THEN ' tel 987654321' ELSE '' END AS address_to, 'Jr. Y a.b@c.pe ' || CAST(o_custkey % 50 AS VARCHAR(20)) AS address_from,
+CASE WHEN o_orderkey % 2 = 0 THEN '10' END AS number_to, '5' AS number_from, '150101' AS ubigeo_to, '150116' AS ubigeo_from FROM orders"""
+
+
+@query(f"""WITH s AS ({SHIPPED}), l AS (SELECT account, md5(order_id::VARCHAR) AS hash, CASE WHEN logistics = 'LOGISTICA_INVERSA' THEN 'ORIGEN' ELSE 'DESTINO' END AS side, CASE WHEN logistics = 'LOGISTICA_INVERSA' THEN 'Jr. Y <CORREO>' || substr(address_from, 15) ELSE replace(address_to, '987654321', '<NUM>') END AS address,
+CASE WHEN logistics = 'LOGISTICA_INVERSA' THEN number_from ELSE number_to END AS number, CASE WHEN logistics = 'LOGISTICA_INVERSA' THEN ubigeo_from ELSE ubigeo_to END AS ubigeo FROM s WHERE state = 'A' AND created_at >= TIMESTAMP '1998-01-01' - INTERVAL 900 DAY),
+u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY account, lower(trim(address)), coalesce(number, ''), coalesce(ubigeo, '') ORDER BY hash) = 1), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY account ORDER BY hash) <= 40)
+SELECT left(hash, 12) AS sample_id, account, side, address, number, ubigeo FROM k ORDER BY hash LIMIT 200""")
+def order_sample(spark, sf_dir):
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return rev.order_sample(spark.sql(SHIPPED), F.lit("1998-01-01").cast("timestamp"), 900, 40, 200)
+
+
 # -- streams ---------------------------------------------------------------------
 REQUESTS = "SELECT CAST(user_id % 20 AS VARCHAR(10)) AS client, CAST(event_id % 50 AS VARCHAR(10)) AS key, CAST(event_id AS BIGINT) AS request_id, CAST(ts AS TIMESTAMP) AS time, event_type AS decision, CASE WHEN event_id % 2 = 0 THEN 'STREET' ELSE 'ZONE' END AS precision_level FROM events"
 
