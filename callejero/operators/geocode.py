@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text as T
@@ -48,18 +50,26 @@ def geocode(read: DataFrame, g: dict[str, DataFrame], verified: DataFrame) -> Da
     live = (F.col("ubigeo") != "") & F.coalesce("in_scope", F.lit(False))
     asked = r.where(live & F.col("v").isNull() & (F.col("req_key") != ""))
 
-    found = res.candidates(asked, streets).withColumn("best", F.max("score").over(Window.partitionBy("req_id"))).where(F.col("score") >= F.col("best") - res.BAND).drop("best")
-    pairs = found.join(asked.select("req_id", "num", "near_lng", "near_lat"), "req_id").withColumn("pair", F.concat_ws("|", "req_id", "street_id"))
-    pairs = stored(pairs, "geocode-pairs")
-    places = pairs.select(F.col("pair").alias("req_id"), "street_id", "num", "near_lng", "near_lat")
-    at = loc.on_street(places, g).select(F.col("req_id").alias("pair"), F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
-    off = loc.nearest_of_street(places, g["segments"]).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
-    full = pairs.join(at, "pair").join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name", "n_anchors"), "street_id")
+    # Streets are sought once a name, and placed and chosen once an address: batches repeat both.
+    name = ["ubigeo", "req_type", "req_key", "req_phon"]
+    address = [*name, "num", "near_lng", "near_lat"]
+    once = stored(asked.select(*address).distinct().withColumn("address_id", F.monotonically_increasing_id()), "geocode-addresses")
+    names = stored(once.select(*name).distinct().withColumn("req_id", F.monotonically_increasing_id()), "geocode-names")
+    found = res.candidates(names, streets).withColumn("best", F.max("score").over(Window.partitionBy("req_id"))).where(F.col("score") >= F.col("best") - res.BAND).drop("best")
+    found = found.join(names, "req_id").drop("req_id")
+    pairs = once.join(found, name).withColumnRenamed("address_id", "req_id").drop(*name)
+    pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "geocode-pairs")
+    at = loc.on_street(pairs, g, "pair").select(*pairs.columns, F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
+    off = loc.nearest_of_street(pairs.select(F.col("pair").alias("req_id"), "street_id", "near_lng", "near_lat"), g["segments"]).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
+    full = at.join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name", "n_anchors"), "street_id")
     full = stored(full, "geocode-places").withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
     chosen = res.pick(full.select("req_id", "street_id", "key", "score", "n_anchors", "covers", "area_m"))
     hit = chosen.join(full.select("req_id", "street_id", "match", "score", "at", F.trim(F.concat_ws(" ", "type", "name")).alias("street")), ["req_id", "street_id"])
 
-    d = r.join(hit.withColumnRenamed("flag", "how"), "req_id", "left")
+    by = once.select(*[F.col(c).alias(f"_{c}") for c in address], "address_id")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in address])
+    known = r.join(by, same & live & F.col("v").isNull(), "left").drop(*[f"_{c}" for c in address])
+    d = known.join(hit.withColumnRenamed("flag", "how").withColumnRenamed("req_id", "address_id"), "address_id", "left")
     case = (
         F.when(F.col("ubigeo") == "", "NO_DISTRICT").when(~live, "OUT_OF_SCOPE").when(F.col("v").isNotNull(), "VERIFIED").when(F.col("at").isNotNull(), F.col("match"))
         .when(F.col("near_lng").isNotNull(), "AREA_MATCH").when(F.col("centre").isNotNull(), "DISTRICT_CENTROID").otherwise("NONE")
