@@ -67,31 +67,38 @@ def bounds(q: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray]) -
 
 
 def best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best candidates of another id, ties to smaller ids."""
+    """(query, candidate, score) of each query's k best candidates of another id, ties to smaller ids.
+
+    A stripe of queries is worked on together: its exact scores are one product over the candidates
+    that survive for any of them, in which those that a query's bounds dropped do not count.
+    """
     order = np.argsort(x_ids, kind="stable")
     x_ids, x = x_ids[order], x[order]
     coarse, fine = (statistics(x, s) for s in LEVELS)
-    out = []
+    out, m = [], min(2 * k, len(x))
     for at in range(0, len(q), STRIPE):
-        block = q[at : at + STRIPE]
-        rough = bounds(statistics(block, LEVELS[0]), coarse)
-        sharp = statistics(block, LEVELS[1])
-        for i, query in enumerate(block):
-            own = q_ids[at + i]
-            upper = rough[i]
-            upper[x_ids == own] = -np.inf
-            m = min(2 * k, len(upper))
-            tried = np.argpartition(-upper, m - 1)[:m]
-            tried = tried[upper[tried] > -np.inf]
-            scores = x[tried] @ query
-            least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-            alive = np.flatnonzero((upper >= least) & (upper > -np.inf))
-            if len(alive) > len(tried):
-                finer = bounds((sharp[0][i : i + 1], sharp[1][i : i + 1]), (fine[0][alive], fine[1][alive]))[0]
-                alive = alive[finer >= least]
-            scores = x[alive] @ query
-            top = np.lexsort((alive, -scores))[:k]
-            out += [(int(own), int(x_ids[alive[t]]), int(scores[t])) for t in top]
+        block, own = q[at : at + STRIPE], q_ids[at : at + STRIPE]
+        upper = bounds(statistics(block, LEVELS[0]), coarse)
+        upper[own[:, None] == x_ids[None, :]] = -np.inf
+        # Exact scores of the candidates with the highest bounds set each query's threshold.
+        tried = np.argpartition(-upper, m - 1, axis=1)[:, :m]
+        scores = np.einsum("imd,id->im", x[tried], block)
+        scores[np.take_along_axis(upper, tried, 1) == -np.inf] = -np.inf
+        least = np.partition(scores, m - k, axis=1)[:, m - k] if m >= k else np.full(len(block), -np.inf)
+        alive = (upper >= least[:, None]) & (upper > -np.inf)
+        some = np.flatnonzero(alive.any(0))
+        alive = alive[:, some] & (bounds(statistics(block, LEVELS[1]), (fine[0][some], fine[1][some])) >= least[:, None])
+        left = np.flatnonzero(alive.any(0))
+        some, alive = some[left], alive[:, left]
+        scores = np.where(alive, block @ x[some].T, -np.inf)
+        for i, row in enumerate(scores):
+            if len(row) > k:
+                row_least = max(np.partition(row, len(row) - k)[len(row) - k], -1e300)
+                hit = np.flatnonzero(row >= row_least)
+            else:
+                hit = np.flatnonzero(row > -np.inf)
+            top = hit[np.lexsort((hit, -row[hit]))[:k]]
+            out += [(int(own[i]), int(x_ids[some[t]]), int(row[t])) for t in top]
     return out
 
 
