@@ -34,7 +34,6 @@ classes equally likely. Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -59,7 +58,7 @@ GAIN = 0.001
 #: Distinct tokens that a task holds before it passes their counts on, documents encoded and tokens worked on at a time.
 HOLD, SLICE, HELD_TOKENS = 100_000, 256, 250_000
 #: Steps of a block.
-LENGTH = 1024
+LENGTH = 256
 #: Classes whose place as right neighbour the first guess tells apart, its starts and rounds.
 RIGHT, STARTS, ROUNDS = 256, 4, 150
 #: Expected counts by token are whole multiples of 1 / PARTS, so their sums are the same in any order.
