@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
 from ..operators import locate as loc, normalize as norm, review as rev, truth
 from ..sources import files
 from ..sources.shared import fresh_path
