@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RADIUS = 6_371_000.0
+#: A degree of latitude in metres.
+DEGREE_M = RADIUS * math.pi / 180
 #: Side of the cells in which points meet edges, in degrees (some 2 km).
 CELL = 0.02
 

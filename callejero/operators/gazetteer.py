@@ -24,6 +24,13 @@ def cells(lng, lat, reach: int = 0, size: float = CELL):
     return F.flatten(F.transform(around(x), lambda i: F.transform(around(y), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
+def reached(lng, lat, reach: float, size: float, room: float = 0.0):
+    """The cells of side ``size`` that hold a place within ``reach`` metres of a point, and ``room`` degrees around them."""
+    up = reach * 1.01 / geo.DEGREE_M
+    span = lambda v, d: F.sequence(F.floor((v - d - room) / size), F.floor((v + d + room) / size))
+    return F.flatten(F.transform(span(lng, up / F.cos(F.radians(lat))), lambda i: F.transform(span(lat, F.lit(up)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
 def named_ways(ways: DataFrame) -> DataFrame:
     """Ways of two points or more that have a name and are streets."""
     return ways.where((F.coalesce(F.col("tags")["name"], F.lit("")) != "") & ~F.col("tags")["highway"].isin(*SKIPPED_KINDS) & (F.size("points") >= 2))

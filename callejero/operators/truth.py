@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..sources.shared import stored
-from .gazetteer import cells
+from .gazetteer import reached
 
 ARRIVAL_M, IDENTICAL_M, CLUSTER_M, BATCH = 50, 1, 30, 3
 #: Distinct points of an address that are compared in an array, and the side of the cells beyond that.
@@ -45,12 +45,25 @@ def addressed(read: DataFrame) -> DataFrame:
 
 
 def batch_counts(deliveries: DataFrame, reach: float = CLUSTER_M) -> DataFrame:
-    """delivery_id, batch: deliveries of other addresses on the same day within ``reach`` metres; itself counts once."""
+    """delivery_id, batch: deliveries of other addresses on the same day within ``reach`` metres; itself counts once.
+
+    Deliveries of one day and place are compared as one, with their number: all those around a
+    place, less those of the delivery's own address.
+    """
     a = deliveries.select("delivery_id", "addr_key", "day", "lng", "lat")
-    b = a.select(F.col("delivery_id").alias("o_id"), F.col("addr_key").alias("o_key"), "day", F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), F.explode(cells(F.col("lng"), F.col("lat"), 1)).alias("c"))
-    near = a.withColumn("c", cells(F.col("lng"), F.col("lat"))[0]).join(b, ["day", "c"])
-    n = near.where((F.col("addr_key") != F.col("o_key")) & (geo.distance(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat")) <= reach)).groupBy("delivery_id").agg(F.count("*").alias("n"))
-    return a.select("delivery_id").join(n, "delivery_id", "left").select("delivery_id", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("batch"))
+    known, side = a.where("addr_key IS NOT NULL"), 2 * reach / geo.DEGREE_M
+
+    def around(keys: list[str], label: str) -> DataFrame:
+        """``keys``, lng, lat, ``label``: how many deliveries with these keys are within reach of each place."""
+        spots = known.groupBy(*keys, "lng", "lat").agg(F.count("*").alias("m"))
+        others = spots.select(*keys, F.col("lng").alias("o_lng"), F.col("lat").alias("o_lat"), "m", F.explode(reached(F.col("lng"), F.col("lat"), reach, side)).alias("c"))
+        near = spots.drop("m").withColumn("c", reached(F.col("lng"), F.col("lat"), 0, side)[0]).join(others, [*keys, "c"])
+        near = near.where(geo.distance(F.col("lng"), F.col("lat"), F.col("o_lng"), F.col("o_lat")) <= reach)
+        return near.groupBy(*keys, "lng", "lat").agg(F.sum("m").alias(label))
+
+    n = around(["day", "addr_key"], "own").join(around(["day"], "met"), ["day", "lng", "lat"])
+    d = a.join(n, ["day", "addr_key", "lng", "lat"], "left")
+    return d.select("delivery_id", (F.coalesce(F.col("met") - F.col("own"), F.lit(0)) + 1).cast("int").alias("batch"))
 
 
 def judged(deliveries: DataFrame) -> DataFrame:

@@ -99,6 +99,25 @@ def test_batch_counts(spark):
     assert [r.batch - 1 for r in truth.batch_counts(df).orderBy("delivery_id").collect()] == [1, 2, 1, 0, 0]
 
 
+def test_batch_counts_of_one_place(spark):
+    """A day's deliveries at one place meet as one row, not in pairs: 200,000 of them would be 40,000,000,000."""
+    i = F.col("id")
+    df = spark.range(200_000).select(i.alias("delivery_id"), F.when(i % 4 != 3, i % 4).alias("addr_key"), F.lit(1).alias("day"), F.when(i % 8 != 2, -77.0).alias("lng"), F.lit(-12.0).alias("lat"))
+    got = truth.batch_counts(df).groupBy(F.pmod("delivery_id", F.lit(8)).alias("k")).agg(F.min("batch").alias("lo"), F.max("batch").alias("hi")).orderBy("k").collect()
+    # Those of address 2 without a place count for none; nor do those without address.
+    assert [(r.lo, r.hi) for r in got] == [(n, n) for n in (75_001, 75_001, 1, 1, 75_001, 75_001, 100_001, 1)]
+
+
+def test_batch_counts_by_pairs(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(9), rng.randrange(2), -77.0 + rng.randrange(12) * 1.1e-4, -12.0 + rng.randrange(9) * 1.3e-4) for i in range(400)]
+    df = spark.createDataFrame(rows, "delivery_id long, addr_key long, day int, lng double, lat double")
+    apart = geo.distance(*[F.col(c) for c in ("a.lng", "a.lat", "b.lng", "b.lat")])
+    pairs = df.alias("a").join(df.alias("b"), (F.col("a.day") == F.col("b.day")) & (F.col("a.addr_key") != F.col("b.addr_key")) & (apart <= truth.CLUSTER_M))
+    want = {r.delivery_id: r["count"] for r in pairs.groupBy("a.delivery_id").count().collect()}
+    assert {r.delivery_id: r.batch - 1 for r in truth.batch_counts(df).collect()} == {i: want.get(i, 0) for i in range(400)}
+
+
 def test_distance(spark):
     d = spark.range(1).select(geo.distance(F.lit(-77.0), F.lit(-12.0), F.lit(-77.0), F.lit(-12.001)).alias("d")).first().d
     assert abs(d - 111.19) < 0.1
