@@ -118,6 +118,17 @@ def test_batch_counts_by_pairs(spark):
     assert {r.delivery_id: r.batch - 1 for r in truth.batch_counts(df).collect()} == {i: want.get(i, 0) for i in range(400)}
 
 
+@pytest.mark.parametrize("name", ["district_locate"])
+def test_anchors_meet_streets_by_key(spark, name):
+    """The anchors' view holds no join of all pairs of parts and streets; its oracles keep their SQL."""
+    import __spark_entry__
+    from callejero.plans import fixtures as X
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin" in plan or "SortMergeJoin" in plan
+    assert not any("NestedLoopJoin" in line and " = " in line for line in plan.splitlines()) and X.MATCHED in __spark_entry__.oracle_sql()[name]
+
+
 def test_distance(spark):
     d = spark.range(1).select(geo.distance(F.lit(-77.0), F.lit(-12.0), F.lit(-77.0), F.lit(-12.001)).alias("d")).first().d
     assert abs(d - 111.19) < 0.1
