@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -115,11 +114,12 @@ def labelled_anchors(points: DataFrame, streets: DataFrame, held: DataFrame) ->
     number = T.anchor_number(F.col("house_number"))
     d = points.join(held.select("osm_id").distinct().withColumn("held", F.lit(True)), "osm_id", "left")
     usable = d.where(F.col("held").isNull() & number.isNotNull() & F.col("ubigeo").isNotNull() & (F.col("key") != ""))
-    best = gaz.attach(usable.select("point_id", "ubigeo", "key", "type", "lng", "lat"), streets, math.inf)
-    d = d.select("point_id", number.alias("number"), "held", "ubigeo", "key").join(best, "point_id", "left")
+    best = gaz.attach(usable.select("point_id", "ubigeo", "key", "type", "lng", "lat"), streets)
+    named = streets.select("ubigeo", "key").distinct().withColumn("named", F.lit(True))
+    d = d.select("point_id", number.alias("number"), "held", "ubigeo", "key").join(best, "point_id", "left").join(named, ["ubigeo", "key"], "left")
     reason = (
         F.when(F.col("held"), "excluido_test").when(F.col("number").isNull(), "numero_no_simple").when(F.col("ubigeo").isNull(), "sin_distrito").when(F.col("key") == "", "calle_no_parseable")
-        .when(F.col("street_id").isNull(), "sin_calle").when(F.col("metres") > gaz.ATTACH_M, "lejos_de_su_calle").otherwise("ok")
+        .when(F.col("named").isNull(), "sin_calle").when(F.col("street_id").isNull(), "lejos_de_su_calle").otherwise("ok")
     )
     ok = reason == "ok"
     return d.select("point_id", F.when(ok, F.col("street_id")).alias("street_id"), F.when(ok, F.col("number")).alias("number"), reason.alias("reason"))

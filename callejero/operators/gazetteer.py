@@ -83,11 +83,23 @@ def crossings(vertices: DataFrame) -> DataFrame:
 
 
 def attach(points: DataFrame, streets: DataFrame, reach: float = ATTACH_M) -> DataFrame:
-    """point_id, street_id, metres: the nearest street of the point's district, type and key, or else of its key alone, within ``reach``."""
-    d = geo.segment_distance(F.col("lng"), F.col("lat"), F.col("lng0"), F.col("lat0"), F.col("lng1"), F.col("lat1"))
+    """point_id, street_id, metres: the nearest street of the point's district, type and key, or where none has that type of its key alone, within ``reach``.
+
+    Points meet the streets of their key in the cells that hold all places within ``reach``; distances
+    are compared to the micrometre, then by street.
+    """
+    size = 2 * reach / geo.DEGREE_M
     s = streets.select("street_id", "ubigeo", "key", F.col("type").alias("s_type"), "lng0", "lat0", "lng1", "lat1")
-    hit = points.join(s, ["ubigeo", "key"]).withColumn("same", F.col("type") == F.col("s_type")).withColumn("metres", d)
-    best = hit.groupBy("point_id").agg(F.min_by(F.struct("street_id", "metres"), F.struct(~F.col("same"), "metres", "street_id")).alias("r"))
+    own = s.select("ubigeo", "key", F.col("s_type").alias("type")).distinct().withColumn("own", F.lit(True))
+    # A street stands in the cells of places at most half a cell apart, so each of its places is within a quarter of one of them.
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("lng1") - F.col("lng0")), F.abs(F.col("lat1") - F.col("lat0"))) / (size / 2))).cast("int")
+    along = F.transform(F.sequence(F.lit(0), steps), lambda i: F.struct(F.floor((F.col("lng0") + (F.col("lng1") - F.col("lng0")) * i / steps) / size).alias("cx"), F.floor((F.col("lat0") + (F.col("lat1") - F.col("lat0")) * i / steps) / size).alias("cy")))
+    placed = s.withColumn("c", F.explode(F.array_distinct(along)))
+    p = points.select("point_id", "ubigeo", "key", "type", "lng", "lat").join(own, ["ubigeo", "key", "type"], "left")
+    near = p.withColumn("c", F.explode(reached(F.col("lng"), F.col("lat"), reach, size, size / 4)))
+    d = geo.segment_distance(F.col("lng"), F.col("lat"), F.col("lng0"), F.col("lat0"), F.col("lng1"), F.col("lat1"))
+    hit = near.join(placed, ["ubigeo", "key", "c"]).where(F.col("own").isNull() | (F.col("type") == F.col("s_type"))).withColumn("metres", d)
+    best = hit.groupBy("point_id").agg(F.min(F.struct(F.round("metres", 6).alias("r"), "street_id", "metres")).alias("r"))
     return best.select("point_id", "r.street_id", "r.metres").where(F.col("metres") <= reach)
 
 

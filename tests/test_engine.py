@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callejero.functions import geo
-from callejero.operators import locate as loc, truth
+from callejero.operators import gazetteer as gaz, locate as loc, truth
 from callejero.plans import build, desk, evaluate, queries as plans, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +129,21 @@ def test_anchors_meet_streets_by_key(spark, name):
     assert not any("NestedLoopJoin" in line and " = " in line for line in plan.splitlines()) and X.MATCHED in __spark_entry__.oracle_sql()[name]
 
 
+def test_attach_by_pairs(spark):
+    """Streets of one name meet points in cells alone, and give what all pairs give: the own type first, if it exists anywhere."""
+    rng = random.Random(11)
+    streets = [(i, "u", f"K{i % 2}", ("A", "B", "")[i % 3] if i % 2 else "A", *(x := (-77.0 + rng.random() * 0.02, -12.0 + rng.random() * 0.02)), x[0] + rng.uniform(-1, 1) * 6e-3, x[1] + rng.uniform(-1, 1) * 6e-3) for i in range(60)]
+    points = [(i, "u", f"K{i % 3}", ("A", "B", "C")[i % 7 % 3], -77.0 + rng.random() * 0.02, -12.0 + rng.random() * 0.02) for i in range(300)]
+    s = spark.createDataFrame(streets, "street_id long, ubigeo string, key string, type string, lng0 double, lat0 double, lng1 double, lat1 double")
+    p = spark.createDataFrame(points, "point_id long, ubigeo string, key string, type string, lng double, lat double")
+    d = geo.segment_distance(*[F.col(c) for c in ("lng", "lat", "lng0", "lat0", "lng1", "lat1")])
+    pairs = p.join(s.withColumnRenamed("type", "s_type"), ["ubigeo", "key"]).select("point_id", F.struct(F.col("type") != F.col("s_type"), F.round(d, 6).alias("m"), "street_id").alias("r"))
+    want = {r.point_id: r.r.street_id for r in pairs.groupBy("point_id").agg(F.min("r").alias("r")).collect() if r.r.m <= gaz.ATTACH_M}
+    found = gaz.attach(p, s)
+    assert {r.point_id: r.street_id for r in found.collect()} == want and len(want) > 50
+    assert "cx" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_distance(spark):
     d = spark.range(1).select(geo.distance(F.lit(-77.0), F.lit(-12.0), F.lit(-77.0), F.lit(-12.001)).alias("d")).first().d
     assert abs(d - 111.19) < 0.1
