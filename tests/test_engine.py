@@ -4,8 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from callejero.functions import geo
-from callejero.operators import gazetteer as gaz, locate as loc, truth
+from callejero.functions import geo, text as T
+from callejero.operators import build as gazetteer_build, gazetteer as gaz, locate as loc, truth
 from callejero.plans import build, desk, evaluate, queries as plans, rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -144,6 +144,24 @@ def test_attach_by_pairs(spark):
     assert "cx" in found._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("bits, alike", [(9, 1), (11, 1), (30, 400)])
+def test_stable_ids_in_order(spark, monkeypatch, bits, alike):
+    """Each street takes the first free number from its hash on, in order of pos; streets of one hash take no round each."""
+    i = F.col("id")
+    s = spark.range(400).select((i * 7 % 400).alias("pos"), F.lit("u").alias("ubigeo"), F.lit("t").alias("type"), F.lit("k").alias("key"), F.array(F.floor(i / alike).cast("string")).alias("refs"))
+    hi, _ = T.fnv1a(F.concat_ws("|", "ubigeo", "type", "key", s["refs"][0]))
+    taken, want = set(), {}
+    for r in s.select("pos", F.shiftright(hi, 32 - bits).alias("h")).orderBy("pos").collect():
+        at = max(1, r.h)
+        while at in taken:
+            at += 1
+        taken.add(at)
+        want[r.pos] = at
+    stores, real = [], gazetteer_build.stored
+    monkeypatch.setattr(gazetteer_build, "stored", lambda df, label: stores.append(label) or real(df, label))
+    assert {r.pos: r.street_id for r in gazetteer_build.stable_ids(s, bits).collect()} == want and len(stores) <= 2
+
+
 def test_distance(spark):
     d = spark.range(1).select(geo.distance(F.lit(-77.0), F.lit(-12.0), F.lit(-77.0), F.lit(-12.001)).alias("d")).first().d
     assert abs(d - 111.19) < 0.1
