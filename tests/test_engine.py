@@ -162,6 +162,14 @@ def test_stable_ids_in_order(spark, monkeypatch, bits, alike):
     assert {r.pos: r.street_id for r in gazetteer_build.stable_ids(s, bits).collect()} == want and len(stores) <= 2
 
 
+@pytest.mark.parametrize("name", ["street_candidates_topk"])
+def test_streets_sought_once_a_name(spark, monkeypatch, name):
+    """Requests of one name share its candidates: these are found, ranked and picked once, then given to all."""
+    seen, real = [], plans.res.candidates
+    monkeypatch.setattr(plans.res, "candidates", lambda requests, streets: seen.append(requests.count()) or real(requests, streets))
+    assert plans.QUERIES[name](spark, "/root/testdata/sf0.001").count() > len(plans.X.ASKED) == seen[0]
+
+
 def test_distance(spark):
     d = spark.range(1).select(geo.distance(F.lit(-77.0), F.lit(-12.0), F.lit(-77.0), F.lit(-12.001)).alias("d")).first().d
     assert abs(d - 111.19) < 0.1
