@@ -162,7 +162,7 @@ def test_stable_ids_in_order(spark, monkeypatch, bits, alike):
     assert {r.pos: r.street_id for r in gazetteer_build.stable_ids(s, bits).collect()} == want and len(stores) <= 2
 
 
-@pytest.mark.parametrize("name", ["street_candidates_topk", "street_pick"])
+@pytest.mark.parametrize("name", ["street_candidates_topk", "street_pick", "street_candidates"])
 def test_streets_sought_once_a_name(spark, monkeypatch, name):
     """Requests of one name share its candidates: these are found, ranked and picked once, then given to all."""
     seen, real = [], plans.res.candidates
