@@ -12,10 +12,10 @@ PIN_FAR_M, EDIT_FAR_M = 100, 60
 MAX_HUNDRED, MAX_NUMBER = 999, 99_999
 
 
-def _street_metres(points: DataFrame, ident: str, segments: DataFrame) -> DataFrame:
-    """``ident``, metres to the point's own street; no row where the street is unknown."""
-    near = points.select(F.col(ident).alias("req_id"), "street_id", F.col("lng").alias("near_lng"), F.col("lat").alias("near_lat"))
-    return loc.nearest_of_street(near, segments).select(F.col("req_id").alias(ident), "metres")
+def _with_metres(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """``points`` with metres to the point's own street; null where the street is unknown. Points are not shuffled by their id."""
+    columns = points.columns
+    return geo.with_nearest(points.join(loc.gathered(segments), "street_id", "left")).select(*columns, F.col("n.metres").alias("metres"))
 
 
 def pin_alerts(pins: DataFrame, edges: DataFrame, segments: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def pin_alerts(pins: DataFrame, edges: DataFrame, segments: DataFrame) -> DataFr
     """
     inside = geo.locate(pins.select("pin_id", "lng", "lat"), edges, "pin_id").withColumn("inside", F.lit(True))
     drawn = edges.select("ubigeo").distinct().withColumn("drawn", F.lit(True))
-    d = pins.join(inside, ["pin_id", "ubigeo"], "left").join(drawn, "ubigeo", "left").join(_street_metres(pins, "pin_id", segments), "pin_id", "left")
+    metres = _with_metres(pins, segments).select("pin_id", "metres")
+    d = pins.join(inside, ["pin_id", "ubigeo"], "left").join(drawn, "ubigeo", "left").join(metres, "pin_id", "left")
     outside = F.col("drawn") & F.col("inside").isNull()
     far = F.col("street_id").isNotNull() & (F.coalesce("metres", F.lit(1e9)) > PIN_FAR_M)
     return d.select("pin_id", F.array_compact(F.array(F.when(outside, "PIN_OUTSIDE_DISTRICT"), F.when(far, "PIN_FAR_FROM_STREET"))).alias("alerts"))
@@ -34,7 +35,7 @@ def pin_alerts(pins: DataFrame, edges: DataFrame, segments: DataFrame) -> DataFr
 
 def edit_errors(edits: DataFrame, segments: DataFrame) -> DataFrame:
     """edit_id, error ('' if none) of (edit_id, kind: mark or anchor, street_id, value, lng, lat)."""
-    d = edits.join(_street_metres(edits, "edit_id", segments), "edit_id", "left")
+    d = _with_metres(edits, segments)
     sound = F.when(F.col("kind") == "mark", F.col("value").between(0, MAX_HUNDRED)).otherwise(F.col("value").between(1, MAX_NUMBER))
     error = F.when(~F.coalesce(sound, F.lit(False)), "VALUE_OUT_OF_RANGE").when(F.col("metres").isNull(), "UNKNOWN_STREET").when(F.col("metres") > EDIT_FAR_M, "FAR_FROM_STREET").otherwise("")
     return d.select("edit_id", error.alias("error"))
