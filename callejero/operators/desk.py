@@ -26,8 +26,7 @@ def pin_alerts(pins: DataFrame, edges: DataFrame, segments: DataFrame) -> DataFr
     """
     inside = geo.locate(pins.select("pin_id", "lng", "lat"), edges, "pin_id").withColumn("inside", F.lit(True))
     drawn = edges.select("ubigeo").distinct().withColumn("drawn", F.lit(True))
-    metres = _with_metres(pins, segments).select("pin_id", "metres")
-    d = pins.join(inside, ["pin_id", "ubigeo"], "left").join(drawn, "ubigeo", "left").join(metres, "pin_id", "left")
+    d = _with_metres(pins, segments).join(inside, ["pin_id", "ubigeo"], "left").join(drawn, "ubigeo", "left")
     outside = F.col("drawn") & F.col("inside").isNull()
     far = F.col("street_id").isNotNull() & (F.coalesce("metres", F.lit(1e9)) > PIN_FAR_M)
     return d.select("pin_id", F.array_compact(F.array(F.when(outside, "PIN_OUTSIDE_DISTRICT"), F.when(far, "PIN_FAR_FROM_STREET"))).alias("alerts"))

@@ -143,7 +143,7 @@ def test_nearest_of_many_segments(spark):
     assert rows(loc.nearest_of_street(p, s)) == rows(want) and want.count() == 60
 
 
-@pytest.mark.parametrize("name", ["nearest_on_street", "edit_validation"])
+@pytest.mark.parametrize("name", ["nearest_on_street", "edit_validation", "pin_alerts"])
 def test_points_are_not_grouped(spark, name):
     """A point meets its street's segments in one row, so points are not shuffled by their id to find the nearest."""
     import __spark_entry__
