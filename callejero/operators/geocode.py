@@ -20,11 +20,12 @@ def published(streets: DataFrame, segments: DataFrame, anchors: DataFrame, cross
     ``areas`` is (ubigeo, key, lng, lat), ``centroids`` (ubigeo, lng, lat), each with one row per key;
     ``hints`` are those of parallel streets unless others are given.
     """
-    hints = loc.parallel_hints(segments, anchors) if hints is None else hints
+    axis = stored(loc.with_segments(loc.frames(segments), segments), "street-axes")
+    hints = loc.parallel_hints(segments, anchors, axis) if hints is None else hints
     n = anchors.groupBy("street_id").agg(F.count("*").alias("n_anchors"))
     named = streets.join(n, "street_id", "left").withColumn("n_anchors", F.coalesce("n_anchors", F.lit(0)))
     indexed = streets.select("ubigeo").union(areas.select("ubigeo")).distinct()
-    return {"streets": named, "indexed": indexed, "areas": areas, "centroids": centroids} | loc.prepared(segments, anchors, crossings, marks, hints)
+    return {"streets": named, "indexed": indexed, "areas": areas, "centroids": centroids} | loc.prepared(segments, anchors, crossings, marks, hints, axis)
 
 
 def geocode(read: DataFrame, g: dict[str, DataFrame], verified: DataFrame) -> DataFrame:

@@ -152,6 +152,54 @@ def test_points_are_not_grouped(spark, name):
     assert "hashpartitioning(street_id" in plan and "hashpartitioning(req_id" not in plan and "hashpartitioning(edit_id" not in plan
 
 
+def _crooked(spark):
+    """Streets of no, one or several segments, one of them a single point, and anchors around them."""
+    rng = random.Random(3)
+    streets = {i: (-77.0 + rng.random() * 0.01, -12.0 + rng.random() * 0.01, rng.uniform(-0.3, 0.3)) for i in range(30)}
+    segments = [(i, k // 2, k % 2, x + k * 9e-4, y + k * 9e-4 * a, x + (k + 1) * 9e-4, y + (k + 1) * 9e-4 * a) for i, (x, y, a) in streets.items() for k in range(i % 5)] + [(29, 9, 0, -77.0, -12.0, -77.0, -12.0)]
+    anchors = [(n, n % 30, n % 97 + 1, streets[n % 30][0] + rng.random() * 3e-3, streets[n % 30][1] + rng.uniform(-1, 1) * 4e-4) for n in range(900)]
+    s = spark.createDataFrame(segments, "street_id long, line_id long, seg int, lng0 double, lat0 double, lng1 double, lat1 double")
+    return s, spark.createDataFrame(anchors, "anchor_id long, street_id long, number int, lng double, lat double")
+
+
+def test_hints_by_pairs(spark):
+    """Cells leave no anchor out: hints are those of all pairs of a street and an anchor, and no row of theirs is shuffled once a pair has met."""
+    s, a = _crooked(spark)
+    axis = loc.frames(s)
+    mine, own = axis.select("street_id", "angle", "mx", "my", "lo", "hi"), axis.select(F.col("street_id").alias("owner"), F.col("angle").alias("own_angle"))
+    pairs = mine.crossJoin(a.withColumnRenamed("street_id", "owner").join(own, "owner")).where("street_id <> owner").where(F.abs(F.cos(F.col("angle") - F.col("own_angle"))) >= loc.PARALLEL_COS)
+    pairs = pairs.where(F.round(geo.on_axis(F.col("lng"), F.col("lat"))[0], 6).between(F.round("lo", 6), F.round("hi", 6))).join(s, "street_id")
+    near = pairs.groupBy("street_id", "anchor_id", "number").agg(F.min(geo.nearest_on_segment(*[F.col(c) for c in ("lng", "lat", *loc.SEGMENT)])).alias("n")).where(F.col("n.metres") <= loc.LATERAL_M)
+    rows = lambda d: sorted((r.street_id, r.anchor_id, r.number, round(r.lng, 9), round(r.lat, 9)) for r in d.collect())
+    found = loc.parallel_hints(s, a)
+    assert rows(found) == rows(near.select("street_id", "anchor_id", "number", "n.*")) and near.count() > 500
+    assert "hashpartitioning(street_id, anchor_id" not in (plan := found._jdf.queryExecution().executedPlan().toString().replace("#", " ")) and "anchor_id" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+
+
+def test_gathered_hints(spark):
+    """Hints gathered in one pass tell what the chain and the offsets tell row by row, on the street's segment that reaches nearest to a chainage."""
+    s, a = _crooked(spark)
+    axis = loc.frames(s)
+    lines = loc.with_segments(axis, s)
+    got = {r.street_id: r for r in loc.gathered_hints(a, lines).collect()}
+    chain = {}
+    for r in loc.chained(a.select("street_id", "number", "lng", "lat"), axis).collect():
+        chain.setdefault(r.street_id, []).append((r.number, round(r.chainage, 6)))
+    assert {i: [(x.number, round(x.chainage, 6)) for x in r.number_chainage] for i, r in got.items()} == {i: sorted(v) for i, v in chain.items()}
+    j = loc.chained(a.select("anchor_id", "street_id", "number", "lng", "lat"), axis).join(axis, "street_id").join(s, "street_id")
+    c = F.greatest("lo", F.least("hi", "chainage"))
+    c0, c1 = (geo.on_axis(F.col(f"lng{i}"), F.col(f"lat{i}"))[0] for i in (0, 1))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(c - c0, c1 - c0), F.lit(0.0))))
+    at = geo.on_axis(F.col("lng0") + t * (F.col("lng1") - F.col("lng0")), F.col("lat0") + t * (F.col("lat1") - F.col("lat0")))[1]
+    d = j.groupBy("anchor_id", "street_id", "number").agg(F.min_by(geo.on_axis(F.col("lng"), F.col("lat"))[1] - at, F.struct(F.round(F.abs(c - (c0 + t * (c1 - c0))), 6), "line_id", "seg")).alias("off"))
+    offs = {}
+    for r in d.collect():
+        offs.setdefault((r.street_id, r.number % 2), []).append(r.off)
+    want = {k: round(max(-40.0, min(40.0, sorted(v)[len(v) // 2])), 6) for k, v in offs.items()}
+    assert {(i, x.side): round(x.offset, 6) for i, r in got.items() for x in r.sides} == want
+    assert {(r.street_id, r.side): round(r.offset, 6) for r in loc.side_offsets(a, s, axis).collect()} == want and len(want) > 40
+
+
 def test_attach_by_pairs(spark):
     """Streets of one name meet points in cells alone, and give what all pairs give: the own type first, if it exists anywhere."""
     rng = random.Random(11)
