@@ -60,9 +60,8 @@ def geocode(read: DataFrame, g: dict[str, DataFrame], verified: DataFrame) -> Da
     found = found.join(names, "req_id").drop("req_id")
     pairs = once.join(found, name).withColumnRenamed("address_id", "req_id").drop(*name)
     pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "geocode-pairs")
-    at = loc.on_street(pairs, g, "pair").select(*pairs.columns, F.struct("lng", "lat", "precision", "tight", "note").alias("at"))
-    off = loc.nearest_of_street(pairs.select(F.col("pair").alias("req_id"), "street_id", "near_lng", "near_lat"), g["segments"]).select(F.col("req_id").alias("pair"), F.col("metres").alias("area_m"))
-    full = at.join(off, "pair", "left").join(streets.select("street_id", "key", "type", "name", "n_anchors"), "street_id")
+    at = loc.on_street(pairs, g).select(*pairs.columns, F.struct("lng", "lat", "precision", "tight", "note").alias("at"), "area_m")
+    full = at.join(streets.select("street_id", "key", "type", "name", "n_anchors"), "street_id")
     full = stored(full, "geocode-places").withColumn("covers", F.col("at.precision").isin("ADDRESS_POINT", "SEGMENT_INTERPOLATED"))
     chosen = res.pick(full.select("req_id", "street_id", "key", "score", "n_anchors", "covers", "area_m"))
     hit = chosen.join(full.select("req_id", "street_id", "match", "score", "at", F.trim(F.concat_ws(" ", "type", "name")).alias("street")), ["req_id", "street_id"])

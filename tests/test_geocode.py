@@ -116,6 +116,21 @@ def test_near_area_and_middle(spark):
     assert (place(spark, None).note, place(spark, None).tight) == ("", False)
 
 
+def test_area_in_the_pair_s_row(spark):
+    """Each pair of an address and a street has its distance from the named area without a join back by the pair; a pair without an area has none."""
+    g = gazetteer(spark)
+    make = spark.createDataFrame
+    tables = loc.prepared(g["segments"], g["anchors"], g["crossings"], g["marks"], g["hints"])
+    pairs = make([(1, 2, None, -77.04, -12.071), (2, 2, None, None, None), (3, 4, 810, -77.0348, -12.0752), (4, 1, 900, -77.2, -12.3), (5, 99, None, -77.04, -12.071)], "pair long, street_id long, num int, near_lng double, near_lat double")
+    found = loc.on_street(pairs, tables)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join [street_id" in plan and "Join [pair" not in plan
+    rows = {r.pair: r for r in found.collect()}
+    off = {r.req_id: r.metres for r in loc.nearest_of_street(pairs.withColumnRenamed("pair", "req_id"), g["segments"]).collect()}
+    assert set(rows) == {1, 2, 3, 4} and {i: r.area_m for i, r in rows.items() if r.area_m is not None} == off and set(off) == {1, 3, 4}
+    assert [rows[i].note for i in (1, 2, 3)] == ["STREET_NEAR_AREA", "", ""] and rows[3].precision == "SEGMENT_INTERPOLATED"
+
+
 def test_side_of_the_street(spark):
     anchors = [(2, 100, -77.049, -12.0699), (2, 300, -77.045, -12.0699), (2, 101, -77.0489, -12.0701)]
     r = place(spark, 340, anchors=anchors)
