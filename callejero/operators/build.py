@@ -60,44 +60,46 @@ def with_drawn(ways: DataFrame, drawn: DataFrame) -> DataFrame:
 def stable_ids(streets: DataFrame, bits: int = ID_BITS) -> DataFrame:
     """``streets`` with ``street_id``: the upper bits of a hash of district, type, key and oldest way, the same on every build.
 
-    Streets (pos, ubigeo, type, key, refs) take, in order of ``pos``, the first number from their hash on
+    Streets (pos, ubigeo, type, key, refs) take, in order of ``pos`` (null last), the first number from their hash on
     that is free. A hash of 0 counts as 1. Streets of one hash count on from it, unless their
     numbers reach the next hash: such runs of hashes are found by sums over ranges of hashes,
-    and only within them are streets taken one after another.
+    and only within them are streets taken one after another. A street is known by its hash and its place
+    among that hash's streets: ``pos`` may occur twice or be null.
     """
     oldest = F.expr("array_sort(refs, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(a) - length(b) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)[0]")
     hi, _ = T.fnv1a(F.concat_ws("|", "ubigeo", "type", "key", oldest))
-    asked = stored(streets.select("pos", F.greatest(F.lit(1), F.shiftright(hi, 32 - bits)).cast("long").alias("id")), "street-ids")
+    alike = Window.partitionBy("_id").orderBy(F.asc_nulls_last("pos"))
+    asked = streets.withColumn("_id", F.greatest(F.lit(1), F.shiftright(hi, 32 - bits)).cast("long"))
+    asked = stored(asked.withColumn("_nth", F.row_number().over(alike)), "street-ids")
 
     # With ``n`` streets before a hash, its run's numbers end where the greatest (hash - n) so far says; a greater one begins a run.
-    inside = Window.partitionBy("part").orderBy("id")
-    g = asked.groupBy("id").agg(F.count("*").alias("n")).withColumn("part", F.shiftright("id", max(0, bits - PART_BITS)))
-    g = g.withColumn("start", F.col("id") - (F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")))
+    inside = Window.partitionBy("part").orderBy("_id")
+    g = asked.groupBy("_id").agg(F.count("*").alias("n")).withColumn("part", F.shiftright("_id", max(0, bits - PART_BITS)))
+    g = g.withColumn("start", F.col("_id") - (F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")))
     g = stored(g.withColumn("top", F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0))), "street-hashes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = g.groupBy("part").agg(F.sum("n").alias("n"), F.max("start").alias("start")).withColumn("less", F.coalesce(F.sum("n").over(before), F.lit(0)))
     parts = parts.select("part", "less", F.max(F.col("start") - F.col("less")).over(before).alias("above"))
-    runs = g.join(parts, "part").select("id", F.greatest(F.col("top") - F.col("less"), "above").alias("run"))
-    mixed = runs.groupBy("run").agg(F.count("*").alias("hashes")).where("hashes > 1")
-    rows = asked.join(runs.join(mixed, "run", "left"), "id")
-    alone = rows.where("hashes IS NULL").select("pos", (F.col("id") + F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).alias("street_id"))
+    runs = g.join(parts, "part").select("_id", F.greatest(F.col("top") - F.col("less"), "above").alias("run"))
+    mixed = runs.groupBy("run").agg(F.count("*").alias("hashes")).where("hashes > 1").select("run")
 
     def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
+        table = table.sort_by([("pos", "ascending"), ("_nth", "ascending")])
         free: dict[int, int] = {}  # a taken number leads to one that may be free
         out = []
-        for want in table.column("id").to_pylist():
+        for want in table.column("_id").to_pylist():
             passed, at = [], want
             while at in free:
                 passed.append(at)
                 at = free[at]
             out.append(at)
             free |= dict.fromkeys((*passed, at), at + 1)
-        return pa.table({"pos": table.column("pos"), "street_id": pa.array(out, pa.int64())})
+        return table.select(["_id", "_nth"]).append_column("street_id", pa.array(out, pa.int64()))
 
-    schema = StructType([asked.schema["pos"], StructField("street_id", LongType())])
-    among = rows.where("hashes IS NOT NULL").select("run", "pos", "id").groupBy("run").applyInArrow(settle, schema)
-    return streets.join(alone.unionByName(among), "pos")
+    schema = StructType([asked.schema["_id"], asked.schema["_nth"], StructField("street_id", LongType())])
+    among = asked.select("pos", "_id", "_nth").join(runs.join(mixed, "run"), "_id").groupBy("run").applyInArrow(settle, schema)
+    number = F.coalesce("street_id", F.col("_id") + F.col("_nth") - 1)
+    return asked.join(among, ["_id", "_nth"], "left").withColumn("street_id", number).drop("_id", "_nth")
 
 
 def held_points(golden: DataFrame, split: str = "test") -> DataFrame:

@@ -233,6 +233,34 @@ def test_stable_ids_in_order(spark, monkeypatch, bits, alike):
     assert {r.pos: r.street_id for r in gazetteer_build.stable_ids(s, bits).collect()} == want and len(stores) <= 2
 
 
+@pytest.mark.parametrize("bits", [6, 9, 30])
+def test_stable_ids_where_pos_repeats(spark, bits):
+    """Streets whose pos occurs twice or is null are there once each, with a number of their own."""
+    i = F.col("id") % 20
+    s = spark.range(50).select(F.when(i > 1, i).alias("pos"), F.lit("u").alias("ubigeo"), F.lit("t").alias("type"), F.lit("k").alias("key"), F.array(F.when(i > 1, i).otherwise(0).cast("string")).alias("refs"))
+    hi, _ = T.fnv1a(F.concat_ws("|", "ubigeo", "type", "key", s["refs"][0]))
+    taken, want = set(), []
+    for r in s.select("pos", F.shiftright(hi, 32 - bits).alias("h")).orderBy(F.asc_nulls_last("pos")).collect():
+        at = max(1, r.h)
+        while at in taken:
+            at += 1
+        taken.add(at)
+        want.append((r.pos, at))
+    got = gazetteer_build.stable_ids(s, bits)
+    assert got.columns == [*s.columns, "street_id"]
+    assert sorted(((r.pos, r.street_id) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_stable_street_ids_of_repeated_keys(spark, tmp_path):
+    """A supplier's key that occurs twice or is null is a row each time, as in the SQL."""
+    con = duckdb.connect()
+    rows = f"SELECT CASE WHEN s_suppkey IN (7, 8, 9) THEN NULL ELSE s_suppkey END AS s_suppkey, s_name, s_nationkey, s_acctbal FROM '{SF}/supplier.parquet' UNION ALL SELECT * FROM '{SF}/supplier.parquet'"
+    con.execute(f"COPY ({rows}) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    got = [tuple(r) for r in plans.QUERIES["stable_street_ids"](spark, str(tmp_path)).select("pos", "street_id").collect()]
+    assert sorted(got, key=repr) == sorted(con.execute(plans.ORACLES["stable_street_ids"]).fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("name", ["street_candidates_topk", "street_pick", "street_candidates"])
 def test_streets_sought_once_a_name(spark, monkeypatch, name):
     """Requests of one name share its candidates: these are found, ranked and picked once, then given to all."""
